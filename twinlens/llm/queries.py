@@ -17,6 +17,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import findings, labelled_findings, train
+
+    return findings(table(spark, sf_dir, "documents"), train(labelled_findings(spark)), path_col="source")
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -61,6 +67,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op3_secret_scan": op3_secret_scan,
     "op4_quality": op4_quality,
     "op5_exact_topk": op5_exact_topk,
     "op7_projected_ann": op7_projected_ann,

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import mixing, toolcalls
 from .common import table
 
 
@@ -17,6 +18,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toolcalls import SCHEMAS, calls_of_conversations, link
+
+    return link(*calls_of_conversations(table(spark, sf_dir, "conversations")), SCHEMAS)
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import findings, labelled_findings, train
 
@@ -40,12 +47,24 @@ def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_products(table(spark, sf_dir, "embeddings"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import WEIGHTS, mix, source_domain
+
+    return mix(table(spark, sf_dir, "documents"), source_domain(), WEIGHTS)
+
+
 def op7_projected_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .search import nearest_by_projection
 
     return nearest_by_projection(table(spark, sf_dir, "embeddings"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan, train
+
+    return scan(table(spark, sf_dir, "documents"), train())
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -67,14 +86,19 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_tool_calls": op2_tool_calls,
     "op3_secret_scan": op3_secret_scan,
     "op4_quality": op4_quality,
     "op5_exact_topk": op5_exact_topk,
+    "op6_mixing": op6_mixing,
     "op7_projected_ann": op7_projected_ann,
+    "op8_license_scan": op8_license_scan,
     "op9_simhash": op9_simhash,
     "op10_packing": op10_packing,
 }
 ORACLE: dict[str, str] = {
+    "op2_tool_calls": toolcalls.ORACLE,
+    "op6_mixing": mixing.oracle(),
     "op5_exact_topk": """
         WITH v AS (
             SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e

@@ -17,7 +17,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, limit_arrow_batches
@@ -63,15 +63,20 @@ def fingerprint_of(text: str | None, words: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
-    """doc_id and the fingerprint as a signed long ``fp``."""
+    """doc_id, the fingerprint as a signed long ``fp``, and ``text_hash``, a hash of the text (null: empty) that tells texts of one id apart."""
     limit_arrow_batches(docs.sparkSession)
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), text_hash(text_col).alias("text_hash"))
 
     def run(batches):
         for b in batches:
             fps = np.array([fingerprint_of(t, words) for t in b.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), b.column(2)], names=["doc_id", "fp", "text_hash"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return own.mapInArrow(run, "doc_id long, fp long, text_hash long")
+
+
+def text_hash(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
 class Forest:
@@ -172,15 +177,8 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         current, mark = new, (row.n, row.h)
 
 
-def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, max_bits: int = 4, posting_rows: int = 400_000
-) -> DataFrame:
-    """One row per document: doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable).
-
-    Null and empty texts have fingerprint zero and link like any other. Copies share a fingerprint and so a component.
-    Repeated rows are returned each; a null id takes its component's least id; an empty table gives no rows; extra
-    columns are not read. ``posting_rows`` sets how many index rows a task gets; no posting is capped.
-    """
+def grouped(docs: DataFrame, id_col: str, text_col: str, words: int, max_bits: int, posting_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp, text_hash) of every document, and (own, root, component_id) of every distinct fingerprint ``own``."""
     if not 0 <= max_bits <= 4:
         raise ValueError("the position triples guarantee a meeting for at most 4 differing bits")
     spark = docs.sparkSession
@@ -198,5 +196,33 @@ def near_duplicates(
     roots = components(links, scratch)
     known = entries.join(roots, entries.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = known.join(ids, "root").select(F.col("fp").alias("own"), "component_id")
+    return marked, known.join(ids, "root").select(F.col("fp").alias("own"), "root", "component_id")
+
+
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, max_bits: int = 4, posting_rows: int = 400_000
+) -> DataFrame:
+    """One row per document: doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable).
+
+    Null and empty texts have fingerprint zero and link like any other. Copies share a fingerprint and so a component.
+    Repeated rows are returned each; a null id takes its component's least id; an empty table gives no rows; extra
+    columns are not read. ``posting_rows`` sets how many index rows a task gets; no posting is capped.
+    """
+    marked, named = grouped(docs, id_col, text_col, words, max_bits, posting_rows)
     return marked.join(named, marked.fp == named.own).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def deduplicate(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, max_bits: int = 4, posting_rows: int = 400_000
+) -> DataFrame:
+    """``docs`` with one row of each component: that of the least id, of repeated rows one. Null ids are the last choice."""
+    marked, named = grouped(docs, id_col, text_col, words, max_bits, posting_rows)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("keep")
+    least = marked.groupBy("fp").agg(first).join(named, F.col("fp") == F.col("own")).groupBy("root").agg(F.min("keep").alias("keep"))
+    keep = least.select(F.col("keep.doc_id").alias("keep_id"), F.col("keep.text_hash").alias("keep_hash"))
+    hold = "text_hash"
+    while hold in docs.columns:
+        hold += "_"
+    own = docs.withColumn(hold, text_hash(text_col))
+    kept = own.join(keep, own[id_col].cast("long").eqNullSafe(F.col("keep_id")) & (own[hold] == F.col("keep_hash")), "left_semi")
+    return kept.dropDuplicates([id_col, hold]).select(*docs.columns)

@@ -25,7 +25,7 @@ from .common import limit_arrow_batches
 HASH_BITS = 16
 RANK = 8
 #: Labelled rows that a model is fitted on at most; more change the fit little and would grow the driver.
-MAX_TRAIN = 6000
+MAX_TRAIN = 4000
 SHARE_EDGES = np.array([0.0005, 0.002, 0.005, 0.01, 0.02, 0.04, 0.07, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.65, 0.8, 0.95])
 SIZE_EDGES = 2.0 ** np.arange(0, 16)
 BINS = 17
@@ -179,8 +179,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = texts.join(F.broadcast(sample), "id").select("id", "label", "text").mapInArrow(vectors, "id long, label double, slots array<int>, vals array<float>")
     got = rows.dropDuplicates(["id"]).toArrow().sort_by("id")
-    slots = [np.array(x.values, dtype=np.int64) for x in got.column("slots")]
-    values = [np.array(x.values, dtype=np.float64) for x in got.column("vals")]
+    slots = [x.values.to_numpy() for x in got.column("slots")]
+    values = [x.values.to_numpy() for x in got.column("vals")]
     return fit(slots, values, got.column("label").to_numpy())
 
 

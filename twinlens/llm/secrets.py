@@ -42,7 +42,7 @@ EDGES: dict[str, list[float]] = {n: _SHARES for n in FEATURES} | {
 
 
 def features(value: Column, before: Column, after: Column, path: Column) -> Column:
-    """The features of one candidate, by name, as a struct of doubles."""
+    """The features of one candidate as an array of doubles, in the order of FEATURES."""
     low, size = F.lower(value), F.length(value)
     flag = lambda c: F.when(c, 1.0).otherwise(0.0)
     share = lambda c: c.cast("double") / size
@@ -66,7 +66,7 @@ def features(value: Column, before: Column, after: Column, path: Column) -> Colu
         "only_digits": flag(value.rlike(r"^[0-9+/_=\-]+$")),
         "longest_run": F.array_max(F.transform(runs, lambda x: F.length(x))).cast("double"),
     }
-    return F.struct(*(named[n].alias(n) for n in FEATURES))
+    return F.array(*(named[n] for n in FEATURES))
 
 
 def labelled_findings(spark: SparkSession, n: int = 4000) -> DataFrame:
@@ -113,25 +113,49 @@ def labelled_findings(spark: SparkSession, n: int = 4000) -> DataFrame:
     )
 
 
+def constants(values: list, kind: str) -> Column:
+    """A short expression for a long constant array, which the optimiser folds."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
+
+
 @dataclass
 class Forest:
-    """Trees as nested (feature, edge, left, right) tuples; leaves are shares of secrets."""
+    """Binary trees in flat arrays: node n of tree t is at ``t * 2**(depth + 1) + n``, its children are 2n and 2n + 1.
 
-    trees: list
+    ``feature`` is -1 at leaves; ``share`` is the share of secrets at a node.
+    """
 
-    def score(self, f: Column) -> Column:
-        """The mean leaf of the trees for a struct of features."""
+    trees: int
+    depth: int
+    feature: list[int]
+    edge: list[float]
+    share: list[float]
+
+    @classmethod
+    def bare(cls, trees: int, depth: int) -> Forest:
+        size = trees << (depth + 1)
+        return cls(trees, depth, [-1] * size, [0.0] * size, [0.0] * size)
+
+    def at(self, t: int, n: int) -> int:
+        return (t << (self.depth + 1)) + n
+
+    def node(self, f: Column, t: Column, steps: int) -> Column:
+        """The node of tree ``t`` that an array of features reaches in ``steps`` steps, or the leaf where it rests before."""
+        if not steps:
+            return F.lit(1)
+        feature, edge = constants(self.feature, "int"), constants(self.edge, "double")
+
+        def down(n: Column, _: Column) -> Column:
+            k = t * F.lit(2 << self.depth) + n
+            return F.when(feature[k] < 0, n).otherwise(n * 2 + F.when(f[feature[k]] < edge[k], 0).otherwise(1))
 
-        def walk(t) -> Column:
-            if isinstance(t, float):
-                return F.lit(t)
-            name, edge, left, right = t
-            return F.when(f[name] < edge, walk(left)).otherwise(walk(right))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(1), down)
 
-        total = walk(self.trees[0])
-        for t in self.trees[1:]:
-            total = total + walk(t)
-        return total / len(self.trees)
+    def score(self, f: Column) -> Column:
+        """The mean of the trees' leaves for an array of features."""
+        share = constants(self.share, "double")
+        leaf = lambda t: share[t * F.lit(2 << self.depth) + self.node(f, t, self.depth)]
+        return F.aggregate(F.sequence(F.lit(0), F.lit(self.trees - 1)), F.lit(0.0), lambda acc, t: acc + leaf(t)) / self.trees
 
 
 def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = 5, max_rows: int = 100_000) -> Forest:
@@ -142,68 +166,47 @@ def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int
     findings used, taken by hashed id; null labels and values are not used.
     """
     used = findings.where("label IS NOT NULL AND value IS NOT NULL").orderBy(F.xxhash64("id"), "id").limit(max_rows)
-    described = used.select("id", F.col("label").cast("int").alias("label"), features(F.col("value"), F.coalesce("before", F.lit("")), F.coalesce("after", F.lit("")), F.col("path")).alias("f"))
     scratch = Scratch(findings.sparkSession)
+    described = used.select("id", F.col("label").cast("int").alias("label"), features(F.col("value"), F.coalesce("before", F.lit("")), F.coalesce("after", F.lit("")), F.col("path")).alias("f"))
     f = scratch.write(described.coalesce(4))
-    draw = lambda t: F.pmod(F.xxhash64("id", F.lit(f"boot{t}")), F.lit(1000))
-    weight = lambda t: F.when(draw(t) < 368, 0).when(draw(t) < 736, 1).when(draw(t) < 920, 2).otherwise(3)
+    bins = F.transform(F.sequence(F.lit(0), F.lit(len(FEATURES) - 1)), lambda j: F.struct(j.alias("j"), F.size(F.filter(_edges()[j], lambda e: e <= F.col("f")[j])).alias("bin")))
+    f = scratch.write(f.select("id", "label", "f", bins.alias("bins")).coalesce(4))
+    draw = F.pmod(F.xxhash64("id", F.col("t")), F.lit(1000))
+    weight = F.when(draw < 368, 0).when(draw < 736, 1).when(draw < 920, 2).otherwise(3)
     rng = random.Random(seed)
-    splits: list[dict[int, tuple[str, float]]] = [{} for _ in range(trees)]
-    counts: list[dict[int, tuple[float, float]]] = [{} for _ in range(trees)]
-
-    def node(t: int, level: int) -> Column:
-        """The number of the node of ``level`` that holds a row: children of n are 2n and 2n + 1; 0 once it rests in a leaf."""
-
-        def walk(n: int, left: int) -> Column:
-            if not left:
-                return F.lit(n)
-            if n not in splits[t]:
-                return F.lit(0)
-            name, edge = splits[t][n]
-            return F.when(F.col("f")[name] < edge, walk(2 * n, left - 1)).otherwise(walk(2 * n + 1, left - 1))
-
-        return walk(1, level)
-
-    binned = lambda n: sum((F.when(F.col("f")[n] >= e, 1).otherwise(0) for e in EDGES[n]), F.lit(0))
+    out = Forest.bare(trees, depth)
     for level in range(depth + 1):
-        placed = f.select(
-            "label",
-            F.explode(F.array(*(F.struct(F.lit(t).alias("t"), node(t, level).alias("n"), weight(t).alias("w")) for t in range(trees)))).alias("p"),
-            F.array(*(F.struct(F.lit(n).alias("name"), binned(n).alias("bin")) for n in FEATURES)).alias("bins"),
-        ).where("p.n > 0 AND p.w > 0")
-        rows = placed.select("label", "p.*", F.explode("bins").alias("b")).groupBy("t", "n", "b.name", "b.bin").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("label")).alias("pos")).collect()
+        placed = f.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+        placed = placed.select("label", "t", "bins", out.node(F.col("f"), F.col("t"), level).alias("n"), weight.alias("w")).where(f"w > 0 AND n >= {1 << level}")
+        sums = placed.select("label", "t", "n", "w", F.explode("bins").alias("b")).groupBy("t", "n", "b.j", "b.bin").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("label")).alias("pos"))
         tally: dict = {}
-        for x in rows:
-            tally.setdefault((x.t, x.n), {}).setdefault(x.name, {})[x.bin] = (x.w, x.pos)
+        for x in sums.collect():
+            tally.setdefault((x.t, x.n), {}).setdefault(x.j, {})[x.bin] = (x.w, x.pos)
         for (t, n), by in sorted(tally.items()):
-            total = tuple(map(sum, zip(*by[FEATURES[0]].values(), strict=True)))
-            counts[t][n] = total
-            tried = rng.sample(FEATURES, 5)
+            total = tuple(map(sum, zip(*by[0].values(), strict=True)))
+            above = out.share[out.at(t, n // 2)] if n > 1 else 0.3
+            out.share[out.at(t, n)] = round((total[1] + above) / (total[0] + 1), 6)
+            tried = rng.sample(range(len(FEATURES)), 5)
             if level == depth or total[0] < 8 or not 0 < total[1] < total[0]:
                 continue
             gini = lambda w, p: 2 * p * (w - p) / w if w else 0.0
-            best = (gini(*total) - 1e-9, None)
-            for name in tried:
+            best = gini(*total) - 1e-9
+            for j in tried:
                 w = p = 0
-                for k, edge in enumerate(EDGES[name]):
-                    dw, dp = by[name].get(k, (0, 0))
+                for k, edge in enumerate(EDGES[FEATURES[j]]):
+                    dw, dp = by[j].get(k, (0, 0))
                     w, p = w + dw, p + dp
                     cost = gini(w, p) + gini(total[0] - w, total[1] - p)
-                    if 0 < w < total[0] and cost < best[0]:
-                        best = (cost, (name, edge))
-            if best[1]:
-                splits[t][n] = best[1]
-
+                    if 0 < w < total[0] and cost < best:
+                        best, out.feature[out.at(t, n)], out.edge[out.at(t, n)] = cost, j, float(edge)
     scratch.drop(f)
+    return out
 
-    def tree(t: int, n: int, above: float):
-        w, p = counts[t].get(n, (0, 0))
-        share = (p + above) / (w + 1)
-        if n not in splits[t]:
-            return float(share)
-        return (*splits[t][n], tree(t, 2 * n, share), tree(t, 2 * n + 1, share))
 
-    return Forest([tree(t, 1, 0.3) for t in range(trees)])
+def _edges() -> Column:
+    """The edges of all features, by position."""
+    rows = ";".join(",".join(map(repr, EDGES[n])) for n in FEATURES)
+    return F.transform(F.split(F.lit(rows), ";"), lambda x: F.split(x, ",").cast("array<double>"))
 
 
 def candidates(text: Column) -> Column:

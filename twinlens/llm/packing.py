@@ -11,6 +11,7 @@ There is no shuffle, and a lost task repeats with the same result, since it depe
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 
@@ -38,19 +39,26 @@ class ByteBpe:
     """
 
     def __init__(self, vocab: str, ranks: str | None = None, pattern: str | None = None):
-        from tokenizers import Tokenizer
-
-        self.exact = Tokenizer.from_file(vocab)
-        self.fast = None
+        self.vocab, self.made, self.fast = vocab, None, None
         if ranks:
             import tiktoken
 
             with open(ranks, "rb") as f:
                 merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            special = {t.content: i for i, t in self.exact.get_added_tokens_decoder().items()}
+            with open(vocab, encoding="utf-8") as f:
+                special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
             self.fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=merges, special_tokens=special)
             self.special = set(special)
 
+    @property
+    def exact(self):
+        """The reference encoder, read when a text first needs it."""
+        if self.made is None:
+            from tokenizers import Tokenizer
+
+            self.made = Tokenizer.from_file(self.vocab)
+        return self.made
+
     def encode(self, text: str) -> bytes:
         if self.fast is not None and not _ODD.search(text):
             try:

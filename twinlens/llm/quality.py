@@ -74,7 +74,7 @@ def vector(text: str | None) -> tuple[list[int], np.ndarray]:
     bins = [*np.searchsorted(SHARE_EDGES, shares, side="right").tolist(), *np.searchsorted(SIZE_EDGES, sizes, side="right").tolist()]
     slots = [BINS * k + b for k, b in enumerate(bins)]
     n_bins = len(slots)
-    if len(_slots) > 500_000:
+    if len(_slots) > 200_000:
         _slots.clear()
     for w in counts:
         s = _slots.get(w)

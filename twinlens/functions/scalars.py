@@ -144,7 +144,8 @@ def line_count(text: Column) -> Column:
 
 
 def human_bytes(n: Column) -> Column:
-    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).otherwise(F.format_string("%.1f KiB", n / F.lit(1024.0)))
+    """Bytes, or KiB with one decimal, halves to even."""
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).otherwise(F.format_string("%.1f KiB", F.bround(n / F.lit(1024.0), 1)))
 
 
 def first_line(text: Column) -> Column:

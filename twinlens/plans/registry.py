@@ -1,58 +1,14 @@
-"""Names, callables and SQL of the agreement-analysis queries."""
+"""All agreement-analysis queries."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from ..operators import matching, scoring
-from . import demo
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    """Register a callable under ``name``, with its SQL where SQL can express it."""
-
-    def keep(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLE[name] = sql
-        return f
-
-    return keep
-
-
-def event_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.linked(demo.event_diagnostics(spark, sf_dir), demo.MAPPINGS, demo.BASELINE, demo.CANDIDATE)
-
-
-SUMMARY_SQL = """
-    SELECT count(*) FILTER (b_tie IS NOT NULL) AS baseline_diagnostics, count(*) FILTER (c_tie IS NOT NULL) AS candidate_diagnostics,
-        count(*) FILTER (kind = 'exact_match') AS exact_matches, count(*) FILTER (kind = 'approximate_rule_match') AS approximate_matches, CAST(0 AS BIGINT) AS probable_matches,
-        count(*) FILTER (bucket = 'baseline_only') AS baseline_only, count(*) FILTER (bucket = 'candidate_only') AS candidate_only,
-        count(*) FILTER (bucket = 'unmapped_baseline') AS unmapped_baseline, count(*) FILTER (bucket = 'unmapped_candidate') AS unmapped_candidate,
-        count(*) FILTER (kind = 'severity_changed') AS severity_changes, count(*) FILTER (kind = 'range_changed') AS range_changes,
-        count(*) FILTER (kind = 'message_changed') AS message_changes FROM links"""
-
-
-@query(
-    "lint_raw_summary",
-    f"{demo.LINK_SQL}, s AS ({SUMMARY_SQL}) SELECT *, CAST(0 AS BIGINT) AS tool_failures, 2.0::DOUBLE * exact_matches * 100.0::DOUBLE / (baseline_diagnostics + candidate_diagnostics) AS exact_agreement FROM s",
-)
-def lint_raw_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conditional counts and agreement over all diagnostics."""
-    return scoring.raw_summary(event_links(spark, sf_dir))
 
+from . import lint_queries, plan_queries, scalar_queries  # noqa: F401  they fill the register
+from .register import ORACLE, QUERIES
 
-@query("match_links", f"{demo.LINK_SQL} SELECT bucket, path, kind, CAST(confidence AS INTEGER) AS confidence, b_tie, c_tie FROM links")
-def match_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy one-to-one links with residuals."""
-    return event_links(spark, sf_dir).select("bucket", "path", "kind", "confidence", F.col("b.tie").alias("b_tie"), F.col("c.tie").alias("c_tie"))
+__all__ = ["ORACLE", "QUERIES", "flagship"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lint_raw_summary(spark, sf_dir)
+    return lint_queries.a2_raw_summary(spark, sf_dir)

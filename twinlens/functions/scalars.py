@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,11 @@ def lookup(c: Column, table: dict[str, str]) -> Column:
     return F.try_element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), c)
 
 
+def bound(c: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(c)`` with ``c`` evaluated once."""
+    return F.transform(F.array(c), use)[0]
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -70,8 +77,7 @@ def kebab(c: Column) -> Column:
 
 def canonical_rule(rule: Column, spellings: dict[str, str]) -> Column:
     """The base name after one look-up among the spellings."""
-    base = canonical_base(rule)
-    return F.coalesce(lookup(base, spellings), base)
+    return bound(canonical_base(rule), lambda base: F.coalesce(lookup(base, spellings), base))
 
 
 def offset_position(text: Column, offset: Column) -> Column:

@@ -74,16 +74,17 @@ class Mappings:
             out.setdefault(f"{b}|{a}", str(conf))
         return out
 
-    def endpoint_confidence(self, tool: Column, code: Column, other_tool: Column) -> Column:
+    def endpoint_confidence(self, tool: Column, code: Column, other_tool: Column, canonical: Column | None = None) -> Column:
         """Whether a rule is known against another tool: the least configured confidence, else exact for built-in rules, else null."""
         ends: dict[str, str] = {}
         for t1, c1, t2, c2, conf in self.table:
             for k in (f"{TOOLS[t1]}:{rule_key(c1)}|{TOOLS[t2]}", f"{TOOLS[t2]}:{rule_key(c2)}|{TOOLS[t1]}"):
                 ends[k] = min(ends.get(k, str(conf)), str(conf))
         found = lookup(F.concat(end_key(tool, code), F.lit("|"), other_tool), ends).cast("int")
-        return F.coalesce(found, F.when(self.canonical(code).isin(*RULES), 0))
+        own = self.canonical(code) if canonical is None else canonical
+        return F.coalesce(found, F.when(own.isin(*RULES), 0))
 
-    def component(self, tool: Column, code: Column) -> Column:
+    def component(self, tool: Column, code: Column, canonical: Column) -> Column:
         """A name shared by all rules that might be matched with each other; null for a null code.
 
         Rules match by equal canonical names or a configured pair, so components follow from the configuration alone.
@@ -107,9 +108,8 @@ class Mappings:
                 up[root(k)] = root(c)
         of_end = {k: root(k) for k in spelt}
         of_name = {k[1:]: root(k) for k in up if k.startswith("=")}
-        own = self.canonical(code)
-        # a configured end may be written in a spelling whose canonical name differs from the configured one
-        return F.coalesce(lookup(end_key(tool, code), of_end), lookup(own, of_name), F.concat(F.lit("="), own))
+        by_name = F.coalesce(lookup(canonical, of_name), F.concat(F.lit("="), canonical))
+        return F.coalesce(lookup(end_key(tool, code), of_end), by_name) if of_end else by_name
 
     def configured_counts(self, left: str, right: str) -> tuple[int, int]:
         """Configured exact and approximate mappings between two tools."""

@@ -1,16 +1,21 @@
 """One-to-one linkage of two sides' diagnostics: greedy, nearest first, in the sorted order of the baseline.
 
-Both sides are grouped once by (path, rule component), since only rules of a component can match; a fold over the sorted
-baseline takes for each row the unused candidate of least (line distance, column distance, confidence, order). Everything
-is one aggregation: no pairs are shuffled, and matches and residuals come out of the same fold.
+Only rules of one component can match, so rows are dealt once by (path, component) and sorted natively; an Arrow function
+walks the groups as they stream by and takes for each baseline row the unused candidate of least (line distance, column
+distance, confidence, order). No pairs are shuffled; matches and residuals leave the same pass with their whole rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.scalars import fingerprint, lookup
+from ..functions.scalars import fingerprint
 from ..functions.values import NO_POSITION
 from .mappings import Mappings, end_key
 
@@ -20,7 +25,10 @@ FIELDS = [x.split()[0] for x in DIAGNOSTIC.split(", ")]
 
 def with_identity(diagnostics: DataFrame, mappings: Mappings) -> DataFrame:
     """Diagnostics with canonical_code and fingerprint."""
-    d = diagnostics.withColumn("canonical_code", mappings.canonical(F.col("code")))
+    return with_fingerprint(diagnostics.withColumn("canonical_code", mappings.canonical(F.col("code"))))
+
+
+def with_fingerprint(d: DataFrame) -> DataFrame:
     span = F.struct("start_line", "start_column", "end_line", "end_column")
     return d.withColumn("fingerprint", fingerprint(F.col("tool"), F.col("path"), F.col("canonical_code"), F.col("severity"), F.col("message"), span))
 
@@ -34,10 +42,62 @@ def sort_key() -> Column:
     )
 
 
-def distance(b: Column, c: Column, at: str) -> Column:
-    """0 when neither row has a position, the largest number when one has, else the absolute difference."""
-    none_b, none_c = b["start_line"].isNull(), c["start_line"].isNull()
-    return F.when(none_b & none_c, F.lit(0).cast("long")).when(none_b | none_c, F.lit(NO_POSITION)).otherwise(F.abs(b[at] - c[at]))
+#: Distances are packed into one number each side of this many bits; larger positions are compared in full.
+PACKED_BITS = 30
+TAKEN = np.iinfo(np.int64).max
+#: Pairs of a group that are laid out at once; larger groups are compared row by row.
+MATRIX = 1 << 22
+
+
+def _gaps(line: int, col: int, lines: np.ndarray, cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distances of one row to many; -1 is no position: none to none is near, none to some is as far as can be."""
+    if line < 0:
+        far = np.where(lines < 0, 0, NO_POSITION)
+        return far, far
+    none = lines < 0
+    return np.where(none, NO_POSITION, np.abs(lines - line)), np.where(none, NO_POSITION, np.abs(cols - col))
+
+
+def pick(b_line: np.ndarray, b_col: np.ndarray, c_line: np.ndarray, c_col: np.ndarray, confidence: np.ndarray | None) -> list[tuple[int, int]]:
+    """For each baseline row in order its candidate's place, or -1, and the confidence.
+
+    ``confidence`` (rows by candidates: 0, 1, or -1 for no match) is None where all pairs match exactly.
+    """
+    nb, nc = len(b_line), len(c_line)
+    if not nb or not nc:
+        return [(-1, 0)] * nb
+    small = max(map(int, (b_line.max(), b_col.max(), c_line.max(), c_col.max()))) < (1 << PACKED_BITS) - 1
+    free, out = np.ones(nc, dtype=bool), []
+    conf = lambda i: np.zeros(nc, dtype=np.int64) if confidence is None else confidence[i]
+    if small and nb * nc <= MATRIX:
+        far = (1 << PACKED_BITS) - 1
+        none = (b_line < 0)[:, None] != (c_line < 0)[None, :]
+        both = (b_line < 0)[:, None] & (c_line < 0)[None, :]
+        dl, dc = np.abs(b_line[:, None] - c_line[None, :]), np.abs(b_col[:, None] - c_col[None, :])
+        dl, dc = np.where(both, 0, np.where(none, far, dl)), np.where(both, 0, np.where(none, far, dc))
+        keys = (dl << (PACKED_BITS + 1)) | (dc << 1)
+        if confidence is not None:
+            keys = np.where(confidence < 0, TAKEN, keys | confidence)
+        for i in range(nb):
+            row = keys[i]
+            j = int(row.argmin())
+            if row[j] == TAKEN:
+                out.append((-1, 0))
+            else:
+                out.append((j, int(row[j] & 1)))
+                keys[i + 1 :, j] = TAKEN
+        return out
+    for i in range(nb):
+        dl, dc = _gaps(int(b_line[i]), int(b_col[i]), c_line, c_col)
+        own = conf(i)
+        open_ = np.flatnonzero(free & (own >= 0))
+        if not len(open_):
+            out.append((-1, 0))
+            continue
+        j = int(open_[np.lexsort((open_, own[open_], dc[open_], dl[open_]))[0]])
+        free[j] = False
+        out.append((j, int(own[j])))
+    return out
 
 
 def match_kind(b: Column, c: Column, confidence: Column) -> Column:
@@ -58,52 +118,93 @@ def linked(diagnostics: DataFrame, mappings: Mappings, baseline_tool: str, candi
     Columns: bucket (match, baseline, candidate), path, kind, confidence (0 exact, 1 approximate), b, c (structs or null). Rows
     without a rule never match. Extra columns are dropped. An empty table gives no rows.
     """
-    d = with_identity(diagnostics.select("side", *FIELDS), mappings)
-    d = d.withColumn("component", F.when(F.col("code").isNotNull(), mappings.component(F.col("tool"), F.col("code"))))
-    row = F.struct(sort_key().alias("key"), *FIELDS, "canonical_code", "fingerprint", end_key(F.col("tool"), F.col("code")).alias("end"))
-    side = lambda s: F.sort_array(F.collect_list(F.when(F.col("side") == s, row)))
-    known = d.where("component IS NOT NULL").groupBy("path", "component").agg(side("baseline").alias("bs"), side("candidate").alias("cs"))
-    known = known.withColumn("cs", F.transform("cs", lambda c, i: c.withField("i", i)))
+    d = diagnostics.select("side", *FIELDS).withColumn("canonical_code", mappings.canonical(F.col("code")))
+    d = d.withColumn("component", F.when(F.col("code").isNotNull(), mappings.component(F.col("tool"), F.col("code"), F.col("canonical_code"))))
+    # the exchange keeps what is computed before it from being computed again in the expressions after it
+    dealt = with_fingerprint(d.where("component IS NOT NULL").repartition("path", "component"))
+    row = F.struct("key", *FIELDS, "canonical_code", "fingerprint", end_key(F.col("tool"), F.col("code")).alias("end"))
+    known = dealt.withColumn("key", sort_key()).sortWithinPartitions("path", "component", "side", "key").select("path", "component", "side", row.alias("row"))
+    item = known.schema["row"].dataType
+    schema = T.StructType([T.StructField("bucket", T.StringType()), T.StructField("path", T.StringType()), T.StructField("conf", T.IntegerType()), T.StructField("b", item), T.StructField("c", item)])
     explicit = mappings.explicit()
 
-    def confidence(b: Column, c: Column) -> Column:
-        equal = F.when(b.canonical_code == c.canonical_code, 0)
-        return F.coalesce(lookup(F.concat(b.end, F.lit("|"), c.end), explicit).cast("int"), equal) if explicit else equal
-
-    def step(acc: Column, b: Column) -> Column:
-        free = F.filter(F.col("cs"), lambda c: confidence(b, c).isNotNull() & ~F.array_contains(acc.used, c.i))
-        best = F.array_min(F.transform(free, lambda c: F.struct(distance(b, c, "start_line").alias("dl"), distance(b, c, "start_column").alias("dc"), confidence(b, c).alias("conf"), c.i.alias("i"))))
-        # the best is bound once by a transform over a one-element array
-        return F.transform(
-            F.array(best),
-            lambda x: F.struct(
-                F.when(x.isNull(), acc.used).otherwise(F.array_append(acc.used, x.i)).alias("used"),
-                F.array_append(acc.pairs, F.struct(F.coalesce(x.i, F.lit(-1)).alias("i"), x.conf.alias("conf"))).alias("pairs"),
-            ),
-        )[0]
-
-    zero = F.struct(F.array().cast("array<int>").alias("used"), F.array().cast("array<struct<i:int,conf:int>>").alias("pairs"))
-    folded = known.withColumn("f", F.aggregate("bs", zero, step))
-    c_type = known.schema["cs"].dataType.elementType.simpleString()
-    none_c, none_b = F.lit(None).cast(c_type), F.lit(None).cast(known.schema["bs"].dataType.elementType.simpleString())
-    from_b = F.transform(
-        "bs",
-        lambda b, k: F.struct(
-            F.when(F.col("f.pairs")[k].i >= 0, "match").otherwise("baseline").alias("bucket"), b.alias("b"),
-            F.when(F.col("f.pairs")[k].i >= 0, F.get("cs", F.greatest(F.col("f.pairs")[k].i, F.lit(0)))).otherwise(none_c).alias("c"), F.col("f.pairs")[k].conf.alias("conf"),
-        ),
-    )
-    left = F.filter("cs", lambda c: ~F.array_contains(F.col("f.used"), c.i))
-    from_c = F.transform(left, lambda c: F.struct(F.lit("candidate").alias("bucket"), none_b.alias("b"), c.alias("c"), F.lit(None).cast("int").alias("conf")))
-    rows = folded.select("path", F.explode(F.concat(from_b, from_c)).alias("x")).select("path", "x.*")
-    lone = d.where("component IS NULL").select(
-        "path", F.col("side").alias("bucket"), F.when(F.col("side") == "baseline", row).alias("b"),
-        F.when(F.col("side") == "candidate", row.withField("i", F.lit(0))).alias("c"), F.lit(None).cast("int").alias("conf"),
-    )
+    def confidences(bs: pa.Array, cs: pa.Array) -> np.ndarray | None:
+        """Configured first, then equal names; without configured mappings all rules of a component are equal."""
+        if not explicit:
+            return None
+        coded = [(x.field("end").dictionary_encode(), x.field("canonical_code").dictionary_encode()) for x in (bs, cs)]
+        pairs = {}
+        for i, e in enumerate(coded[0][0].dictionary.to_pylist()):
+            for j, f in enumerate(coded[1][0].dictionary.to_pylist()):
+                pairs[i, j] = int(explicit.get(f"{e}|{f}", -1))
+        table = np.full((len(coded[0][0].dictionary), len(coded[1][0].dictionary)), -1, dtype=np.int64)
+        for (i, j), v in pairs.items():
+            table[i, j] = v
+        names = [x[1].to_pylist() for x in coded]
+        lookup_names = {n: k for k, n in enumerate(dict.fromkeys(names[0] + names[1]))}
+        same = np.array([lookup_names[n] for n in names[0]])[:, None] == np.array([lookup_names[n] for n in names[1]])[None, :]
+        listed = table[coded[0][0].indices.to_numpy()[:, None], coded[1][0].indices.to_numpy()[None, :]]
+        return np.where(listed >= 0, listed, np.where(same, 0, -1))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def finish(table: pa.Table) -> pa.RecordBatch:
+            table = table.combine_chunks()
+            rows = table.column("row").combine_chunks() if table.num_rows else None
+            rows = rows.chunk(0) if isinstance(rows, pa.ChunkedArray) else rows
+            cand = np.array(table.column("side").to_pylist()) == "candidate"
+            line = rows.field("start_line").fill_null(-1).to_numpy(zero_copy_only=False)
+            col = rows.field("start_column").fill_null(1).to_numpy(zero_copy_only=False)
+            b_at, c_at, conf = [], [], []
+            for start, stop in zip(*bounds(table), strict=True):
+                split = start + int((~cand[start:stop]).sum())
+                got = pick(line[start:split], col[start:split], line[split:stop], col[split:stop], confidences(rows.slice(start, split - start), rows.slice(split, stop - split)) if start < split < stop else None)
+                used = set()
+                for i, (j, k) in enumerate(got):
+                    b_at.append(start + i)
+                    c_at.append(split + j if j >= 0 else None)
+                    conf.append(k if j >= 0 else None)
+                    used.add(j)
+                left = [split + j for j in range(stop - split) if j not in used]
+                b_at += [None] * len(left)
+                c_at += left
+                conf += [None] * len(left)
+            bucket = ["candidate" if b is None else "baseline" if c is None else "match" for b, c in zip(b_at, c_at, strict=True)]
+            own = table.column("path").combine_chunks().take(pa.array([c if b is None else b for b, c in zip(b_at, c_at, strict=True)], pa.int64()))
+            own = own.combine_chunks() if isinstance(own, pa.ChunkedArray) else own
+            return pa.RecordBatch.from_arrays(
+                [pa.array(bucket, pa.string()), own, pa.array(conf, pa.int32()), rows.take(pa.array(b_at, pa.int64())), rows.take(pa.array(c_at, pa.int64()))], names=["bucket", "path", "conf", "b", "c"]
+            )
+
+        def bounds(table: pa.Table) -> tuple[list[int], list[int]]:
+            key = [table.column(n).combine_chunks().dictionary_encode() for n in ("path", "component")]
+            key = [k.combine_chunks() if isinstance(k, pa.ChunkedArray) else k for k in key]
+            a, b = (k.indices.to_numpy(zero_copy_only=False) for k in key)
+            cuts = (np.flatnonzero((np.diff(a) != 0) | (np.diff(b) != 0)) + 1).tolist()
+            return [0, *cuts], [*cuts, table.num_rows]
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(b)
+            table = pa.Table.from_batches(held)
+            last = bounds(table)[0][-1]
+            if last:
+                yield finish(table.slice(0, last))
+                held = table.slice(last).to_batches()
+        if held:
+            yield finish(pa.Table.from_batches(held))
+
+    rows = known.mapInArrow(walk, schema)
+    none = F.lit(None).cast(item)
+    lone = with_fingerprint(d.where("component IS NULL")).withColumn("key", sort_key()).select(
+        F.col("side").alias("bucket"), "path", F.lit(None).cast("int").alias("conf"), F.when(F.col("side") == "baseline", row).otherwise(none).alias("b"), F.when(F.col("side") == "candidate", row).otherwise(none).alias("c")
+    )
     both = rows.unionByName(lone)
     kind = F.when(F.col("bucket") == "match", match_kind(F.col("b"), F.col("c"), F.col("conf")))
     known_rule = F.when(
-        F.col("bucket") == "baseline", mappings.endpoint_confidence(F.lit(baseline_tool), F.col("b.code"), F.lit(candidate_tool)).isNotNull() & F.col("b.code").isNotNull()
-    ).when(F.col("bucket") == "candidate", mappings.endpoint_confidence(F.lit(candidate_tool), F.col("c.code"), F.lit(baseline_tool)).isNotNull() & F.col("c.code").isNotNull())
+        F.col("bucket") == "baseline", mappings.endpoint_confidence(F.lit(baseline_tool), F.col("b.code"), F.lit(candidate_tool), F.col("b.canonical_code")).isNotNull() & F.col("b.code").isNotNull()
+    ).when(F.col("bucket") == "candidate", mappings.endpoint_confidence(F.lit(candidate_tool), F.col("c.code"), F.lit(baseline_tool), F.col("c.canonical_code")).isNotNull() & F.col("c.code").isNotNull())
     bucket = F.when(F.col("bucket") == "match", "match").when(known_rule, F.concat("bucket", F.lit("_only"))).otherwise(F.concat(F.lit("unmapped_"), F.col("bucket")))
     return both.select(bucket.alias("bucket"), "path", kind.alias("kind"), F.col("conf").alias("confidence"), "b", "c")

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql import types as T
 
-from ..functions.scalars import normalized_eol
+from ..functions.scalars import bound, normalized_eol
 from ..functions.values import FORMAT_STATUSES, TOOL_NAMES
 
 Formatter = Callable[[Column], Column]
@@ -21,17 +21,18 @@ def outcome(text: Column, formatter: Formatter, failing: Column | None = None, e
     ``failing`` marks texts that the formatter refuses; ``planned``, where it is a status other than supported or unknown,
     stands for the run. A text is idempotent when the second pass gives back the first.
     """
-    once = formatter(text)
-    twice = formatter(once)
     bad = F.coalesce(failing, F.lit(False)) if failing is not None else F.lit(False)
     status = F.when(bad, "failed").otherwise("success")
     if planned is not None:
         status = F.when(planned.isin("unsupported", "skipped"), planned).otherwise(status)
     ran = status == "success"
-    return F.struct(
-        status.alias("status"), F.when(ran, once).alias("output"), F.when(ran, normalized_eol(once, eol).eqNullSafe(normalized_eol(twice, eol))).alias("idempotent"),
-        F.when(status == "failed", "exit code 2").alias("error"),
-    )
+    error = F.when(status == "failed", "exit code 2")
+
+    def both(once: Column) -> Column:
+        same = bound(formatter(once), lambda twice: normalized_eol(once, eol).eqNullSafe(normalized_eol(twice, eol)))
+        return F.struct(status.alias("status"), F.when(ran, once).alias("output"), F.when(ran, same).alias("idempotent"), error.alias("error"))
+
+    return bound(formatter(text), both)
 
 
 def format_status(b: Column, c: Column, eol: bool = False) -> Column:
@@ -50,11 +51,25 @@ def compare(files: DataFrame, baseline: Formatter, candidate: Formatter, failing
     out = files.select("path", outcome(text, baseline, failing, eol).alias("baseline"), outcome(text, candidate, failing, eol).alias("candidate"))
     out = out.withColumn("status", format_status(F.col("baseline"), F.col("candidate"), eol))
     if diffs:
-        left, right = normalized_eol(F.col("baseline.output"), eol), normalized_eol(F.col("candidate.output"), eol)
-        out = out.withColumn("diff", F.when(F.col("status") == "different", unified_diff(F.col("path"), left, right)))
+        out = out.mapInArrow(_with_diffs(out.columns, eol), T.StructType([*out.schema.fields, T.StructField("diff", T.StringType())]))
     return out
 
 
+def _with_diffs(names: list[str], eol: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A pass over results that adds the diff of different outputs; null for the rest."""
+    path, status, b, c = (names.index(n) for n in ("path", "status", "baseline", "candidate"))
+    unix = lambda t: t.replace("\r\n", "\n") if eol else t
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = (batch.column(k).field("output").to_pylist() for k in (b, c))
+            rows = zip(batch.column(path).to_pylist(), batch.column(status).to_pylist(), left, right, strict=True)
+            diffs = [diff_text(p, unix(x), unix(y)) if s == "different" else None for p, s, x, y in rows]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(diffs, pa.string())], names=[*names, "diff"])
+
+    return run
+
+
 def summary(results: DataFrame, discovered: Column | None = None) -> DataFrame:
     """One row of counts by status; ``compared`` leaves out unsupported and skipped files, failed ones count."""
     n = lambda s: F.count_if(F.col("status") == s).alias(s)
@@ -124,9 +139,3 @@ def diff_text(path: str, left: str, right: str, context: int = 3) -> str:
             line = b[j] if op == "+" else a[i]
             out.append(op + line + ("" if line.endswith("\n") else "\n\\ No newline at end of file\n"))
     return "".join(out)
-
-
-@F.pandas_udf(StringType())
-def unified_diff(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for paths, lefts, rights in batches:
-        yield pd.Series([None if a is None or b is None else diff_text(p, a, b) for p, a, b in zip(paths, lefts, rights, strict=True)], dtype=object)

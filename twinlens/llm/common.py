@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows an Arrow batch may carry into a Python worker; whole texts make rows large.
 ARROW_ROWS = 512
@@ -35,6 +36,16 @@ def shared_dir(spark: SparkSession) -> str:
     return current
 
 
+def spread_join(rows: DataFrame, per_key: DataFrame, key: str, by: str, ways: int = 8) -> DataFrame:
+    """Inner join of ``rows`` with one row a key, where a hot key's rows go to ``ways`` places by the column ``by``.
+
+    ``per_key`` is repeated that often; both sides are dealt anew, so a place that is still too large can be split at run time.
+    """
+    left = rows.withColumn("_way", F.pmod(F.xxhash64(by), F.lit(ways)))
+    right = per_key.withColumn("_way", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ways - 1).cast("long"))))
+    return left.join(right, [key, "_way"]).drop("_way")
+
+
 class Scratch:
     """Tables written once into the shared folder and read back, which cuts lineage without losing rows to a lost executor."""
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, limit_arrow_batches
+from .common import Scratch, limit_arrow_batches, spread_join
 
 BYTES = 8
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -159,7 +159,7 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     def large_star(e: DataFrame) -> DataFrame:
         pairs = e.select(F.col("src").alias("u"), F.col("dst").alias("v")).union(e.select(F.col("dst").alias("u"), F.col("src").alias("v")))
         low = pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        return pairs.where("v > u").join(low, "u").select(F.col("v").alias("src"), F.col("m").alias("dst")).distinct()
+        return spread_join(pairs.where("v > u"), low, "u", "v").select(F.col("v").alias("src"), F.col("m").alias("dst")).distinct()
 
     def small_star(e: DataFrame) -> DataFrame:
         low = e.groupBy("src").agg(F.min("dst").alias("m"))
@@ -196,7 +196,7 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, words: int, max_bits: i
     roots = components(links, scratch)
     known = entries.join(roots, entries.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    return marked, known.join(ids, "root").select(F.col("fp").alias("own"), "root", "component_id")
+    return marked, spread_join(known, ids, "root", "fp").select(F.col("fp").alias("own"), "root", "component_id")
 
 
 def near_duplicates(

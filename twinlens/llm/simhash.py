@@ -194,9 +194,13 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, words: int, max_bits: i
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-len(triples()) * n // posting_rows))
     links = scratch.write(posting_links(keyed.repartition(tasks, "triple", "key"), max_bits))
     roots = components(links, scratch)
-    known = entries.join(roots, entries.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    return marked, spread_join(known, ids, "root", "fp").select(F.col("fp").alias("own"), "root", "component_id")
+    # only linked fingerprints need their component's least id; the others are components of their own
+    linked = roots.select(F.col("node").alias("own"), "root").union(roots.select("root", "root").distinct())
+    members = linked.join(entries, linked.own == entries.fp).select("own", "root", "least")
+    ids = members.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = spread_join(members.select("own", "root"), ids, "root", "own").select("own", "root", "component_id")
+    every = entries.join(named, entries.fp == named.own, "left")
+    return marked, every.select(F.col("fp").alias("own"), F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def near_duplicates(

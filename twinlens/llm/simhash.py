@@ -200,7 +200,9 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, words: int, max_bits: i
     ids = members.groupBy("root").agg(F.min("least").alias("component_id"))
     named = spread_join(members.select("own", "root"), ids, "root", "own").select("own", "root", "component_id")
     every = entries.join(named, entries.fp == named.own, "left")
-    return marked, every.select(F.col("fp").alias("own"), F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+    every = every.select(F.col("fp").alias("own"), F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+    # dealt otherwise than by fingerprint, so that the join with the documents deals both sides anew and may split a hot fingerprint
+    return marked, every.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "component_id", "own")
 
 
 def near_duplicates(

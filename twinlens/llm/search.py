@@ -23,6 +23,8 @@ from .common import Scratch
 INDEX_BLOCK = 16384
 QUERY_BLOCK = 8192
 LEAF = 96
+#: Groups of queries are smaller, since the worst kth product of a group bounds what it can leave out.
+QUERY_LEAF = 16
 #: Children of a cover-tree node at most; points that no child covers within half the node's radius join the nearest.
 FAN = 24
 
@@ -95,7 +97,7 @@ def dual_tree_products(queries: np.ndarray, rows: np.ndarray, k: int) -> tuple[n
     bits = max(1, int(len(rows)).bit_length())
     if top * 2.0**bits >= 2.0**62:
         raise OverflowError("components are too large for exact long products")
-    q_tree, q_order = cover_tree(queries)
+    q_tree, q_order = cover_tree(queries, QUERY_LEAF)
     r_tree, r_order = cover_tree(rows)
     q, r = queries[q_order], rows[r_order]
     exact = np.float64 if top < 2.0**53 else np.int64

@@ -1,6 +1,7 @@
 """Secret scan with a random forest that removes false positives. DataFrame operations only.
 
-Candidates are runs of 16 or more key characters with a digit among them. A forest trained from labelled findings scores each on length, character transitions, dictionary
+Candidates are runs of 16 or more key characters with a digit among them, keys of a known prefix, and values of 6 or more
+characters of any kind assigned to a key word. A forest trained from labelled findings scores each on length, character transitions, dictionary
 coverage, the path and the neighbouring words. The scan is one projection: no shuffle, no Python.
 """
 
@@ -14,9 +15,12 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-#: A run of key characters that holds a digit, bounded on both sides.
-RUN = r"(?<![A-Za-z0-9_+/=\-])(?=[A-Za-z_+/=\-]{0,63}[0-9])[A-Za-z0-9_+/=\-]{16,}"
+#: A run of key characters that holds a digit or starts as keys of known makers do, bounded on both sides.
+RUN = r"(?<![A-Za-z0-9_+/=\-])(?:(?=[A-Za-z_+/=\-]{0,63}[0-9])|(?=(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9_+/=\-])|gh[pousr]_|xox[abps]-|[sr]k_live_|AIza|glpat-))[A-Za-z0-9_+/=\-]{16,}"
 KEY_WORDS = r"(?:token|secret|passw(?:or)?d|passphrase|api[_-]?key|access[_-]?key|auth|bearer|credentials?|private[_-]?key|pwd)"
+#: A key word and its sign of assignment; with a value of any characters, the last in its text.
+ASSIGNS = r"(?i)" + KEY_WORDS + r"[\"']?\s*[=:]"
+ASSIGNED = r"(?i)" + KEY_WORDS + r"[\"']?\s?[=:]{1,2}\s?[\"']?([^\s\"'=:][^\s\"']{5,}?)[.,;:)\]}>\"']*$"
 HASH_WORDS = r"(?:commit|sha-?\d*|md5|checksum|digest|etag|uuid|guid|revision|hash|blob|tree|isbn|doi|card|phone|tel|fax|order|invoice|account)"
 PATH_WORDS = r"(?i)test|example|sample|fixture|mock|demo|docs?/"
 #: Words whose presence inside a candidate speaks for a name rather than a random key.
@@ -30,15 +34,17 @@ DICTIONARY = (
     "load local lock log login long loop mail main manager map master match media member memory menu message method mode model module month mouse name network next "
     "node note null number object offset open option order page panel parent part path"
 ).split()
+#: What stands after a key word and is no secret.
+PLAIN = "required string optional undefined <password> ${PASSWORD} {{token}} process.env.TOKEN getpass() ******** changeme self.token config[key] Optional[str] hidden missing expired invalid authentication".split()
 TREES = 15
 DEPTH = 4
 SECRET_FROM = 0.5
-FEATURES = ("length", "transitions", "digits", "upper", "vowel_pairs", "distinct", "dictionary", "known_prefix", "key_word", "hash_word", "assigned", "test_path", "only_digits", "longest_run")
+FEATURES = ("length", "transitions", "digits", "upper", "vowel_pairs", "distinct", "dictionary", "known_prefix", "key_word", "hash_word", "assigned", "test_path", "only_digits", "longest_run", "symbols", "password_word")
 _SHARES = [0.02, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.7, 0.8, 0.9, 0.97]
 EDGES: dict[str, list[float]] = {n: _SHARES for n in FEATURES} | {
     "length": [12, 17, 19, 21, 25, 31, 33, 37, 39, 41, 45, 63, 65, 100],
     "longest_run": [2, 3, 4, 5, 6, 8, 10, 14, 18, 26],
-} | {n: [0.5] for n in ("known_prefix", "key_word", "hash_word", "assigned", "test_path", "only_digits")}
+} | {n: [0.5] for n in ("known_prefix", "key_word", "hash_word", "assigned", "test_path", "only_digits", "password_word")}
 
 
 def features(value: Column, before: Column, after: Column, path: Column) -> Column:
@@ -64,6 +70,8 @@ def features(value: Column, before: Column, after: Column, path: Column) -> Colu
         "assigned": flag(before.rlike(r"[=:]\s*[\"']?$")),
         "test_path": flag(F.coalesce(path, F.lit("")).rlike(PATH_WORDS)),
         "only_digits": flag(value.rlike(r"^[0-9+/_=\-]+$")),
+        "symbols": share(kept(r"[A-Za-z0-9_+/=\-]")),
+        "password_word": flag(F.lower(before).rlike(r"(?:passw(?:or)?d|passphrase|pwd)[\"']?\s*[=:]\s*[\"']?$")),
         "longest_run": F.array_max(F.transform(runs, lambda x: F.length(x))).cast("double"),
     }
     return F.array(*(named[n] for n in FEATURES))
@@ -73,7 +81,7 @@ def labelled_findings(spark: SparkSession, n: int = 4000) -> DataFrame:
     """(id, value, before, after, path, label): generated findings, a third of them secrets, from hashed row numbers.
 
     Stands in where no reviewed findings are at hand. Secrets are random hex, base62 and prefixed keys, mostly assigned to
-    key words; the rest are checksums, uuids, card and phone numbers, placeholders, identifiers and joined words.
+    key words, and passwords assigned to them; the rest are plain words assigned to key words, checksums, uuids, card and phone numbers, placeholders, identifiers and joined words.
     """
     r = lambda salt, m: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(m)).cast("int")
     pick = lambda salt, items: F.element_at(F.array(*map(F.lit, items)), r(salt, len(items)) + 1)
@@ -106,6 +114,18 @@ def labelled_findings(spark: SparkSession, n: int = 4000) -> DataFrame:
         .when((r("kind", 10) == 5) & (r("near", 2) == 0), F.concat(key, F.lit(' = "')))
         .otherwise(F.concat_ws(" ", pick("n1", DICTIONARY), pick("n2", DICTIONARY)))
     )
+    mark = pick("sym", ["!", "#", "$", "@", "%", "?", "*", "", "", ""])
+    letters = lambda salt: F.substring(F.translate(text(salt), "0123456789", "uoiaehrnst"), 1, 4 + r("n", 4))
+    password = (
+        F.when(r("pk", 3) == 0, F.concat(F.substring(base62, 1, 4 + r("n", 6)), mark, r("x", 100), F.substring(text("p"), 1, 2)))
+        .when(r("pk", 3) == 1, F.concat(pick("w1", DICTIONARY), r("x", 1000), mark, pick("w2", DICTIONARY), r("y", 10)))
+        .when(r("pq", 2) == 0, F.concat(letters("q1"), r("x", 100), mark, F.when(r("half", 2) == 0, letters("q2")).otherwise(letters("q1")), r("x", 100)))
+        .otherwise(F.concat(F.initcap(F.translate(pick("w1", DICTIONARY), "eao", "340")), mark, F.initcap(F.translate(pick("w2", DICTIONARY), "eaio", "34!0")), r("x", 100)))
+    )
+    plain = F.when(r("pk", 3) == 0, pick("pl", PLAIN)).when(r("pk", 3) == 1, F.concat(pick("w1", DICTIONARY), pick("w2", DICTIONARY))).otherwise(F.concat(pick("w1", DICTIONARY), pick("j", [".", "_", "-"]), pick("w2", DICTIONARY)))
+    given = F.concat(pick("gk", ["password", "passwd", "pwd", "passphrase", "password", "secret"]), pick("eq", [' = "', "=", ": ", ':"', " = '"]))
+    other, near_other = F.when(r("pw", 6) == 0, plain).otherwise(other), F.when(r("pw", 6) == 0, given).otherwise(near_other)
+    secret, near_secret = F.when(r("pw", 5) == 0, password).otherwise(secret), F.when(r("pw", 5) == 0, given).otherwise(near_secret)
     label = F.when(r("label", 3) == 0, 1).otherwise(0)
     return spark.range(n).select(
         "id", F.when(label == 1, secret).otherwise(other).alias("value"), F.when(label == 1, near_secret).otherwise(near_other).alias("before"),
@@ -212,18 +232,29 @@ def _edges() -> Column:
 def candidates(text: Column) -> Column:
     """array<struct<value, before, after, word>>: the candidates of a text in order, with the words around them."""
     near = F.lit(RUN)
-
-    def of(words: Column) -> Column:
-        at = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: words[i].rlike(RUN))
+    word = lambda words, i: F.coalesce(F.get(words, i), F.lit(""))
+
+    def assigned(words: Column, i: Column) -> Column:
+        """The value that ends a word and is assigned to a key word in it or in the two before; empty without one."""
+        return F.regexp_extract(F.concat_ws(" ", F.right(word(words, i - 2), F.lit(40)), F.right(word(words, i - 1), F.lit(40)), words[i]), ASSIGNED, 1)
+
+    def of(words: Column, keyed: bool) -> Column:
+        found = lambda i: F.regexp_extract_all(words[i], near, F.lit(0))
+        hit = lambda i: words[i].rlike(RUN)
+        values = lambda i: F.array_distinct(found(i))
+        if keyed:
+            hit = lambda i: words[i].rlike(RUN) | (assigned(words, i) != "")
+            values = lambda i: F.array_distinct(F.concat(F.filter(F.array(assigned(words, i)), lambda v: v != ""), found(i)))
+        at = F.filter(F.sequence(F.lit(0), F.size(words) - 1), hit)
         return F.flatten(
             F.transform(
                 at,
                 lambda i: F.transform(
-                    F.array_distinct(F.regexp_extract_all(words[i], near, F.lit(0))),
+                    values(i),
                     lambda v: F.struct(
                         v.alias("value"),
-                        F.concat_ws(" ", F.right(F.coalesce(F.get(words, i - 2), F.lit("")), F.lit(40)), F.right(F.coalesce(F.get(words, i - 1), F.lit("")), F.lit(40)), _before(words[i], v)).alias("before"),
-                        F.left(F.coalesce(F.get(words, i + 1), F.lit("")), F.lit(40)).alias("after"),
+                        F.concat_ws(" ", F.right(word(words, i - 2), F.lit(40)), F.right(word(words, i - 1), F.lit(40)), _before(words[i], v)).alias("before"),
+                        F.left(word(words, i + 1), F.lit(40)).alias("after"),
                         i.alias("word"),
                     ),
                 ),
@@ -231,8 +262,8 @@ def candidates(text: Column) -> Column:
         )
 
     none = F.array().cast("array<struct<value:string,before:string,after:string,word:int>>")
-    split = F.transform(F.array(F.split(text, r"\s+")), of)[0]
-    return F.when(F.coalesce(text.rlike(RUN), F.lit(False)), split).otherwise(none)
+    split = lambda keyed: F.transform(F.array(F.split(text, r"\s+")), lambda words: of(words, keyed))[0]
+    return F.when(F.coalesce(text.rlike(ASSIGNS), F.lit(False)), split(True)).when(F.coalesce(text.rlike(RUN), F.lit(False)), split(False)).otherwise(none)
 
 
 def _before(word: Column, value: Column) -> Column:

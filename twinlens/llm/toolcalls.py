@@ -104,7 +104,8 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], referen
 
     The level of a call on or behind a cycle of references is null and it is marked cyclic.
     Of several results of a call the earliest turn answers (ties: the least content) and all are counted; of repeated calls of
-    one id the earliest is used. Null ids never link: such calls are unanswered, such results orphans. Arguments that are
+    one id the earliest is used. Null ids never link: such calls are unanswered, such results orphans. Each
+    orphan is a row of its own with an n_results of 1. Arguments that are
     null or no JSON object, and tools without a schema, are not valid. Other columns are not read; empty tables give no rows.
     """
     scratch = Scratch(calls.sparkSession)
@@ -112,7 +113,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], referen
     keyed = calls.where("conv_id IS NOT NULL AND call_id IS NOT NULL").groupBy("conv_id", "call_id").agg(F.min(head).alias("h"))
     own = keyed.select("conv_id", "call_id", "h.*").unionByName(calls.where("conv_id IS NULL OR call_id IS NULL").select("conv_id", "call_id", "turn", "name", "arguments"))
     own = scratch.write(own)
-    answer = results.groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "content")).alias("r"), F.count("*").alias("n_results"))
+    answer = results.where("conv_id IS NOT NULL AND call_id IS NOT NULL").groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "content")).alias("r"), F.count("*").alias("n_results"))
     answer = answer.select(F.col("conv_id").alias("rc"), F.col("call_id").alias("ri"), F.col("r.turn").alias("r_turn"), F.col("r.content").alias("content"), "n_results")
     parsed = own.withColumn("args", F.try_parse_json("arguments"))
     needs = F.when(F.schema_of_variant("args").rlike(TYPES["object"]), F.try_variant_get("args", f"$['{references_key}']", "array<string>"))
@@ -134,7 +135,8 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], referen
         F.when(F.col("li").isNull(), 0).otherwise(F.col("level")).alias("level"), (F.col("li").isNotNull() & F.col("level").isNull()).alias("cyclic"), F.coalesce("n_results", F.lit(0)).cast("long").alias("n_results"), json.alias("json"),
     )
     known = own.select(F.col("conv_id").alias("kc"), F.col("call_id").alias("ki"))
-    lost = answer.join(known, (F.col("rc") == F.col("kc")) & (F.col("ri") == F.col("ki")), "left_anti")
+    single = results.select(F.col("conv_id").alias("rc"), F.col("call_id").alias("ri"), F.col("turn").alias("r_turn"), "content", F.lit(1).cast("long").alias("n_results"))
+    lost = single.join(known, (F.col("rc") == F.col("kc")) & (F.col("ri") == F.col("ki")), "left_anti")
     orphan = F.concat(F.lit('{"id":'), quoted(F.col("ri")), F.lit(',"result":'), quoted(F.col("content")), F.lit("}"))
     lost = lost.select(
         F.col("rc").alias("conv_id"), F.col("ri").alias("call_id"), F.col("r_turn").alias("turn"), F.lit(ORPHAN).alias("status"), F.lit(False).alias("valid"),

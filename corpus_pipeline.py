@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinlens.llm import mixing, near, packing, quality, secrets
+from twinlens.llm import mixing, packing, quality, secrets, simhash
 from twinlens.llm.common import Scratch, table
 
 #: A document stays when the probability of good quality is at least this.
@@ -27,7 +27,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the least id, of each group linked by a five-word Jaccard similarity of at least 0.8."""
-    return near.deduplicate(docs, words=5, similarity=0.8)
+    return simhash.deduplicate(docs, words=5, similarity=0.8)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

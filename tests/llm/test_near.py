@@ -6,7 +6,7 @@ from itertools import combinations
 import pytest
 
 import corpus_pipeline
-from twinlens.llm import near
+from twinlens.llm import near, simhash
 
 
 def plain_set(text, n=5):
@@ -53,9 +53,11 @@ def planted(seed=3):
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("size", [near.ALL_PAIRS, 3])
+@pytest.mark.parametrize("size", [near.HUB_ROWS, 3])
 def test_near_stage_keeps_what_brute_force_keeps(spark, monkeypatch, size):
-    monkeypatch.setattr(near, "ALL_PAIRS", size)
+    monkeypatch.setattr(near, "HUB_ROWS", size)
+    monkeypatch.setattr(near, "FEW", size * 100)
+    monkeypatch.setattr(near, "BATCH_ROWS", size * 50)
     rows = planted()
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = sorted(r.doc_id for r in corpus_pipeline.simhash_near_dedup(spark, docs, "").collect())
@@ -65,5 +67,5 @@ def test_near_stage_keeps_what_brute_force_keeps(spark, monkeypatch, size):
 def test_near_duplicates_of_odd_rows(spark):
     text = "a b c d e f g h"
     docs = spark.createDataFrame([(5, text), (5, text), (None, text), (7, text + " i"), (None, "alone here"), (8, "other words of this one")], "doc_id long, text string")
-    assert sorted((r.doc_id or 0, r.text) for r in near.deduplicate(docs).collect()) == [(0, "alone here"), (5, text), (8, "other words of this one")]
-    assert near.deduplicate(docs.limit(0)).count() == 0
+    assert sorted((r.doc_id or 0, r.text) for r in simhash.deduplicate(docs, words=5, similarity=0.8).collect()) == [(0, "alone here"), (5, text), (8, "other words of this one")]
+    assert simhash.deduplicate(docs.limit(0), words=5, similarity=0.8).count() == 0

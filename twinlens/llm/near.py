@@ -1,12 +1,13 @@
-"""Near duplicates by the Jaccard similarity of word shingles, through an index that loses no pair.
+"""Links between different texts whose sets of word shingles have a Jaccard similarity of s or more; none is lost.
 
-Texts are sets of hashed shingles. Under one order of all shingles, two sets of similarity s or more share a shingle
-among the first n - ceil(s * n) + 1 of each (prefix filter), so postings of those alone bring every such pair together.
-The order puts shingles that are frequent in a sample last; any order is right, this one keeps postings short. Pairs
-whose sizes and places leave room for the overlap are candidates, and the sets themselves decide.
+Under one order of all shingles, two sets of similarity s or more share a shingle among the first n - ceil(s * n) + 1 of
+each (prefix filter), so postings of those alone bring every such pair together. The order puts shingles of full slots
+last: all shingles of all texts are counted in ``SLOTS`` hashed slots, a table of fixed size. Any order is right; this one
+keeps shingles that many texts hold out of the prefixes. A pair whose sizes and places leave no room for the overlap is
+passed over, the others are decided by their whole sets.
 
-Postings of more than ``ALL_PAIRS`` texts are first compared by stars (one text with the others), and what the stars
-found to be of one component isn't compared again; in the end all other pairs of the posting are.
+A posting is first compared by stars (one text with the others); only texts that are still of different components after
+that are compared pair by pair. Postings travel as packed bytes, a row for each bucket of a batch.
 """
 
 from __future__ import annotations
@@ -16,78 +17,149 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, limit_arrow_batches
-from .simhash import _LOWER, components, text_hash
+from .common import Scratch
 
-#: Texts of the sample that tells frequent shingles, and how often one must be in it.
-SAMPLE = 20_000
-FREQUENT = 3
-#: Postings up to this size give all their pairs at once; larger ones go through ``STARS`` rounds of stars before.
-ALL_PAIRS = 32
-STARS = 3
-#: Index rows of a task, about.
+#: Slots that shingles are counted in, and the slots of a row of counts.
+SLOTS = 1 << 18
+BLOCK = 1 << 10
+#: Postings' entries of a task, about, and of a batch that is dealt at once.
 POSTING_ROWS = 400_000
-#: Up to so many keys are sent to all tasks.
-FEW = 500_000
+BATCH_ROWS = 1 << 20
+#: Rounds of stars before the rest is compared.
+STARS = 2
+#: Up to so many keys (a few bytes each) are sent to all tasks instead of dealing texts or members for them.
+FEW = 200_000
+#: Texts of one hub that a task compares; a hub of more goes to several tasks.
+HUB_ROWS = 2000
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+_MULTIPLY, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
+
+class _Digests(dict):
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        if len(self) > 200_000:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word, 42)
+        return h
+
+
+_digests = _Digests()
 
 
 def shingles(text: str | None, words: int = 5) -> np.ndarray:
-    """The distinct shingles of a text, hashed, ascending; a shorter text is one shingle, one without words none."""
-    import xxhash
+    """The distinct shingles of a whole text, hashed from the digests of their words, ascending.
 
+    A shorter text is one shingle, a text without words has none.
+    """
     tokens = (text or "").encode("utf-8").translate(_LOWER).split()
-    joined = b" ".join(tokens)
-    if len(tokens) <= words:
-        return np.array([xxhash.xxh64_intdigest(joined, 42)] if tokens else [], dtype=np.uint64)
-    sizes = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens))
-    ends = np.cumsum(sizes + 1) - 1
-    starts = (ends - sizes).tolist()
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(joined[a:b], 42) for a, b in zip(starts, ends[words - 1 :].tolist(), strict=False)], dtype=np.uint64))
+    if not tokens:
+        return np.zeros(0, dtype=np.uint64)
+    own = np.fromiter(map(_digests.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
+    size = min(words, len(tokens))
+    n = len(tokens) - size + 1
+    h = np.full(n, size, dtype=np.uint64)
+    for k in range(size):
+        h = h * _MULTIPLY + own[k : n + k]
+        h ^= h >> np.uint64(31)
+    h *= _MIX
+    return np.unique(h ^ (h >> np.uint64(32)))
 
 
-def _frequent(texts: DataFrame, n: int, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that at least FREQUENT of the sampled texts hold, ascending, and in how many."""
+def prefix_size(n: int, similarity: float) -> int:
+    return n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 1
+
+
+def described(texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(key, fp, size, block, counts): of each text (key, text) the fingerprint and the prefix size; of each task its counts by block of slots."""
+    from .simhash import majority_bits
 
     def run(batches):
+        slots = np.zeros(SLOTS, dtype=np.uint32)
         for b in batches:
-            found = [shingles(t, words) for t in b.column(0).to_pylist()]
-            if found:
-                value, count = np.unique(np.concatenate(found), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(count)], names=["s", "c"])
+            fps, sizes = [], []
+            for text in b.column(1).to_pylist():
+                s = shingles(text, words)
+                slots += np.bincount((s & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS).astype(np.uint32) if len(s) > SLOTS // 8 else 0
+                if len(s) <= SLOTS // 8:
+                    np.add.at(slots, (s & np.uint64(SLOTS - 1)).astype(np.int64), 1)
+                fps.append(majority_bits(s))
+                sizes.append(prefix_size(len(s), similarity))
+            none = pa.nulls(b.num_rows)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], names=["key", "fp", "size", "block", "counts"]
+            )
+        rows = [(k, _narrow(slots[k * BLOCK : (k + 1) * BLOCK])) for k in range(SLOTS // BLOCK) if slots[k * BLOCK : (k + 1) * BLOCK].any()]
+        none = pa.nulls(len(rows), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, none, pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["key", "fp", "size", "block", "counts"])
 
-    some = texts.where(F.pmod(F.xxhash64("key"), F.lit(max(1, n // SAMPLE))) == 0).select("text").mapInArrow(run, "s long, c long")
-    rows = some.groupBy("s").agg(F.sum("c").alias("c")).where(F.col("c") >= FREQUENT).toArrow()
-    value, count = rows["s"].to_numpy().view(np.uint64), rows["c"].to_numpy()
-    order = np.argsort(value)
-    return value[order], count[order]
+    return texts.select("key", "text").mapInArrow(run, "key long, fp long, size long, block int, counts binary")
 
 
-def _prepared(texts: DataFrame, frequent, words: int, similarity: float) -> DataFrame:
-    """(key, n, prefix, part): of each text the size of its set, the prefix in order, and 32 bits of the quarter of its shingles with the least hashes.
+def _narrow(counts: np.ndarray) -> bytes:
+    """Counts in the fewest bytes that hold them; the length tells the type."""
+    most = int(counts.max())
+    return counts.astype("<u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u8").tobytes()
 
-    A text without words has the shingle 0 as its prefix.
-    """
+
+def _wide(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, dtype={1: "<u1", 2: "<u2", 8: "<u8"}[len(raw) // BLOCK]).astype(np.uint64)
+
+
+def slot_counts(rows: DataFrame) -> np.ndarray:
+    """How many shingles fell in each slot, over all tasks: SLOTS numbers, whatever the number of texts."""
+
+    def add(batches):
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for block, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                total[block] = total.get(block, 0) + _wide(raw)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.astype("<u8").tobytes() for v in total.values()], pa.binary())], names=["block", "counts"])
+
+    got = rows.where("block IS NOT NULL").select("block", "counts").repartition("block").mapInArrow(add, "block int, counts binary").toArrow()
+    out = np.zeros(SLOTS, dtype=np.uint64)
+    for block, raw in zip(got["block"].to_pylist(), got["counts"].to_pylist(), strict=True):
+        out[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(raw, dtype="<u8")
+    return out
+
+
+#: An entry of a posting in packed form.
+ENTRY = np.dtype([("shingle", "<u8"), ("key", "<i8"), ("n", "<u4"), ("pos", "<u4")])
+
+
+def postings(texts: DataFrame, counts, words: int, similarity: float, tasks: int) -> DataFrame:
+    """(bucket, entries): the entries of all prefixes, packed, dealt by the shingle's bucket. A text without words has the shingle 0."""
+    buckets = 4 * tasks
 
     def run(batches):
-        value, count = frequent.value
+        order, held, size = counts.value, [], 0
+
+        def dealt():
+            rows = np.concatenate(held)
+            place = (rows["shingle"] % np.uint64(buckets)).astype(np.int64)
+            at = np.argsort(place, kind="stable")
+            rows, place = rows[at], place[at]
+            starts = np.concatenate([[0], np.flatnonzero(np.diff(place)) + 1])
+            parts = [r.tobytes() for r in np.split(rows, starts[1:])]
+            return pa.RecordBatch.from_arrays([pa.array(place[starts], pa.int64()), pa.array(parts, pa.binary())], names=["bucket", "entries"])
+
         for b in batches:
-            sizes, prefixes, parts = [], [], []
-            for text in b.column(1).to_pylist():
+            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 s = shingles(text, words)
                 n = len(s)
-                parts.append(np.unique(s[s < 1 << 62].astype(np.uint32)).view(np.int32))
-                if len(value) and n:
-                    at = np.minimum(np.searchsorted(value, s), len(value) - 1)
-                    s = s[np.argsort(np.where(value[at] == s, count[at], 0), kind="stable")]
-                s = s[: n - int(np.ceil(similarity * n - 1e-9)) + 1] if n else np.zeros(1, dtype=np.uint64)
-                sizes.append(n)
-                prefixes.append(s.view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(parts, pa.list_(pa.int32()))], names=["key", "n", "prefix", "part"]
-            )
+                s = s[np.argsort(order[(s & np.uint64(SLOTS - 1)).astype(np.int64)], kind="stable")] if n else np.zeros(1, dtype=np.uint64)
+                rows = np.empty(prefix_size(n, similarity), dtype=ENTRY)
+                rows["shingle"], rows["key"], rows["n"], rows["pos"] = s[: len(rows)], key, n, np.arange(len(rows))
+                held.append(rows)
+                size += len(rows)
+                if size >= BATCH_ROWS:
+                    yield dealt()
+                    held, size = [], 0
+        if held:
+            yield dealt()
 
-    return texts.select("key", "text").mapInArrow(run, "key long, n int, prefix array<long>, part array<int>")
+    return texts.select("key", "text").mapInArrow(run, "bucket long, entries binary").repartition(tasks, "bucket")
 
 
 def _room(n1, p1, n2, p2, similarity: float):
@@ -96,146 +168,134 @@ def _room(n1, p1, n2, p2, similarity: float):
     return (1 + similarity) * top >= similarity * (n1 + n2) - 1e-9
 
 
-def _columns(batches) -> list[np.ndarray] | None:
-    rows = [b for b in batches if b.num_rows]
-    return [np.concatenate([b.column(k).to_numpy() for b in rows]) for k in range(rows[0].num_columns)] if rows else None
-
+def shared(dealt: DataFrame) -> DataFrame:
+    """(shingle, key, n, pos): the entries of postings that more than one text is in."""
 
-def _distinct(pairs: list) -> tuple[np.ndarray, np.ndarray]:
-    a, b = (np.concatenate([p[k] for p in pairs]) if pairs else np.zeros(0, dtype=np.int64) for k in (0, 1))
-    both = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1), axis=0)
-    return both[:, 0], both[:, 1]
+    def run(batches):
+        held = [np.frombuffer(raw, dtype=ENTRY) for b in batches for raw in b.column(1).to_pylist()]
+        if not held:
+            return
+        rows = np.concatenate(held)
+        del held
+        rows = rows[np.argsort(rows["shingle"], kind="stable")]
+        same = rows["shingle"][1:] == rows["shingle"][:-1]
+        rows = rows[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
+        for k in range(0, len(rows), 1 << 16):
+            part = rows[k : k + (1 << 16)]
+            arrays = [pa.array(np.ascontiguousarray(part["shingle"]).view(np.int64)), pa.array(np.ascontiguousarray(part["key"])), pa.array(part["n"].astype(np.int64)), pa.array(part["pos"].astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["shingle", "key", "n", "pos"])
 
+    return dealt.mapInArrow(run, "shingle long, key long, n long, pos long")
 
-def _first_pairs(postings: DataFrame, similarity: float) -> DataFrame:
-    """Candidate pairs (a, b) of the small postings with a null shingle; the members (shingle, a = b, n, pos) of the large ones."""
 
-    def run(batches):
-        cols = _columns(batches)
-        if cols is None:
-            return
-        order = np.lexsort((cols[1], cols[0]))
-        shingle, key, n, pos = (c[order] for c in cols)
-        starts = np.concatenate([[0], np.flatnonzero(np.diff(shingle)) + 1])
-        sizes = np.diff(np.concatenate([starts, [len(shingle)]]))
-        pairs = []
-        for m in range(2, ALL_PAIRS + 1):
-            at = starts[sizes == m]
-            i, j = np.triu_indices(m, 1)
-            for part in np.array_split(at, max(1, len(at) * len(i) // 1_000_000)):
-                x, y = (part[:, None] + i).ravel(), (part[:, None] + j).ravel()
-                ok = _room(n[x], pos[x], n[y], pos[y], similarity)
-                pairs.append((key[x[ok]], key[y[ok]]))
-        a, b = _distinct(pairs)
-        none = np.zeros(len(a), dtype=np.int32)
-        names = ["shingle", "a", "b", "n", "pos"]
-        if len(a):
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(a), pa.array(b), pa.array(none), pa.array(none)], names=names)
-        large = np.repeat(sizes > ALL_PAIRS, sizes)
-        if large.any():
-            yield pa.RecordBatch.from_arrays([pa.array(c[large]) for c in (shingle, key, key, n, pos)], names=names)
-
-    return postings.mapInArrow(run, "shingle long, a long, b long, n int, pos int")
-
-
-def _more_pairs(members: DataFrame, similarity: float, star: int | None) -> DataFrame:
-    """Candidate pairs of different components in the large postings (shingle, key, n, pos, root): one star each, or all."""
+def _pairs(members: DataFrame, similarity: float, star: int | None) -> DataFrame:
+    """Distinct pairs (a, b) of different components in the postings (shingle, key, n, pos, root): one star a posting, or all."""
 
     def run(batches):
-        cols = _columns(batches)
-        if cols is None:
+        rows = [b for b in batches if b.num_rows]
+        if not rows:
             return
+        cols = [np.concatenate([b.column(k).to_numpy() for b in rows]) for k in range(5)]
         order = np.lexsort((cols[1], cols[0]))
         shingle, key, n, pos, root = (c[order] for c in cols)
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(shingle)) + 1, [len(shingle)]])
-        rng = np.random.default_rng(star)
+        found: list[np.ndarray] = []
+        held = 0
+
+        def batch():
+            both = np.unique(np.concatenate(found), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1]))], names=["a", "b"])
+
         for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            k, m, p, r = key[s:e], n[s:e], pos[s:e], root[s:e]
+            r = root[s:e]
             if (r == r[0]).all():
                 continue
-            first = [int(rng.integers(len(k)))] if star is not None else range(len(k))
-            found = []
-            for x in first:
-                y = np.flatnonzero((r != r[x]) & _room(m[x], p[x], m, p, similarity) & ((k > k[x]) | (star is not None)))
-                found.append((np.full(len(y), k[x]), k[y]))
-            a, b = _distinct(found)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            hubs = range(s, e) if star is None else [s if star == 0 else s + (int(shingle[s]) + star) % (e - s)]
+            for x in hubs:
+                y = np.arange(x + 1, e) if star is None else np.concatenate([np.arange(s, x), np.arange(x + 1, e)])
+                y = y[(root[y] != root[x]) & _room(n[x], pos[x], n[y], pos[y], similarity)]
+                if len(y):
+                    found.append(np.stack([np.full(len(y), key[x]), key[y]], axis=1))
+                    held += len(y)
+                if held > BATCH_ROWS:
+                    yield batch()
+                    found, held = [], 0
+        if found:
+            yield batch()
 
-    return members.mapInArrow(run, "a long, b long")
+    return members.select("shingle", "key", "n", "pos", "root").mapInArrow(run, "a long, b long").distinct()
 
 
-def _few(keys: DataFrame) -> DataFrame:
-    """Written keys, marked to be sent to all tasks where they are few, so that texts aren't dealt for them."""
-    return F.broadcast(keys) if keys.count() <= FEW else keys
+def few(keys: DataFrame, n: int | None = None) -> DataFrame:
+    """Written keys, marked to be sent to all tasks where they are few."""
+    return F.broadcast(keys) if (keys.count() if n is None else n) <= FEW else keys
 
 
-def _similar(pairs: DataFrame, texts: DataFrame, prepared: DataFrame, words: int, similarity: float, scratch: Scratch) -> DataFrame:
-    """The pairs (src, dst) whose sets have at least this similarity; two texts without words are equal.
+def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float, scratch: Scratch) -> DataFrame:
+    """The links (src, dst) among pairs (a, b) whose whole sets are similar enough; two texts without words are.
 
-    What two sets share is at most what their parts share and all of the smaller rest, which leaves few pairs for the sets.
+    Each ``b`` travels to its hub ``a``; a hub of many goes to several tasks, so that none of them gets more than some.
     """
-    ends = lambda df, cols: pairs_of.join(df.select(F.col("key").alias("a"), *(F.col(c).alias(f"{c}a") for c in cols)), "a").join(df.select(F.col("key").alias("b"), *(F.col(c).alias(f"{c}b") for c in cols)), "b")
-    pairs_of = pairs.distinct()
-    near = ends(prepared, ["n", "part"])
-    top = F.size(F.array_intersect("parta", "partb")) + F.least(F.col("na") - F.size("parta"), F.col("nb") - F.size("partb"))
-    pairs_of = scratch.write(near.where((1 + similarity) * top >= similarity * (F.col("na") + F.col("nb")) - 1e-9).select("a", "b"))
-    wanted = scratch.write(pairs_of.select(F.col("a").alias("key")).union(pairs_of.select(F.col("b").alias("key"))).distinct())
+    spark = texts.sparkSession
+    own = scratch.write(pairs)
+    ways = own.groupBy("a").agg(F.floor((F.count("*") - 1) / HUB_ROWS).alias("last"))
+    hubs = ways.select(F.col("a").alias("key"), "a", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("way"))
+    ends = own.join(ways, "a").select(F.col("b").alias("key"), "a", F.pmod(F.xxhash64("b"), F.col("last") + 1).alias("way"))
+    wanted = scratch.write(hubs.union(ends))
+    n = wanted.count()
+
+    def sets(batches):
+        for b in batches:
+            raw = [shingles(t, words).tobytes() for t in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(raw, pa.binary())], names=["key", "a", "way", "s"])
 
-    def run(batches):
+    def compare(batches):
+        place, hub = None, None
         for b in batches:
-            sets = [shingles(t, words).view(np.int64) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["key", "s"])
-
-    sets = scratch.write(texts.join(_few(wanted), "key", "left_semi").select("key", "text").mapInArrow(run, "key long, s array<long>"))
-    shared = F.size(F.array_intersect("sa", "sb"))
-    enough = (1 + similarity) * shared >= similarity * (F.size("sa") + F.size("sb")) - 1e-9
-    links = scratch.write(ends(sets, ["s"]).where(enough).select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    for done in (pairs_of, wanted, sets):
-        scratch.drop(done)
+            src, dst = [], []
+            for key, a, way, raw in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                s = np.frombuffer(raw, dtype=np.uint64)
+                if key == a:
+                    place, hub = (a, way), s
+                elif place == (a, way):
+                    both = len(np.intersect1d(hub, s, assume_unique=True))
+                    if (1 + similarity) * both >= similarity * (len(hub) + len(s)) - 1e-9 and (len(s) > 0) == (len(hub) > 0):
+                        src.append(key)
+                        dst.append(a)
+            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
+
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // (2 * HUB_ROWS))
+    dealt = texts.join(few(wanted, n), "key").select("key", "a", "way", "text").mapInArrow(sets, "key long, a long, way long, s binary").repartition(tasks, "a", "way")
+    links = scratch.write(dealt.sortWithinPartitions("a", "way", F.col("key") != F.col("a")).mapInArrow(compare, "src long, dst long"))
+    scratch.drop(own)
+    scratch.drop(wanted)
     return links
 
 
-def similar_texts(texts: DataFrame, words: int, similarity: float, scratch: Scratch) -> DataFrame:
-    """(node, root) over the keys of distinct texts (key, text), for each text that is similar to another, directly or through others."""
+def similar_texts(texts: DataFrame, words: int, similarity: float, scratch: Scratch, max_bits: int, posting_rows: int) -> DataFrame:
+    """(node, root) over the keys of distinct texts (key, text), for each text that is similar to another, directly or through others.
+
+    Texts that the fingerprint index brings together are verified first; the prefixes then complete the links, since texts
+    of similarity s may differ in more bits than an index over bytes can guarantee to find.
+    """
+    from .simhash import components, fingerprint_links
+
     spark = texts.sparkSession
-    frequent = spark.sparkContext.broadcast(_frequent(texts, texts.count(), words))
-    prepared = scratch.write(_prepared(texts, frequent, words, similarity))
-    rows = prepared.agg(F.sum(F.size("prefix"))).first()[0] or 0
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // POSTING_ROWS)
-    postings = prepared.select(F.posexplode("prefix").alias("pos", "shingle"), "key", "n").select("shingle", "key", "n", "pos")
-    found = scratch.write(_first_pairs(postings.repartition(tasks, "shingle"), similarity))
-    links = _similar(found.where("shingle IS NULL").select("a", "b"), texts, prepared, words, similarity, scratch)
+    rows = scratch.write(described(texts, words, similarity))
+    marked = rows.where("key IS NOT NULL")
+    entries = marked.groupBy("fp").agg(F.min("key").alias("least"))
+    forest = fingerprint_links(entries, max_bits, posting_rows, scratch)
+    least = lambda name: entries.select(F.col("fp").alias(name), F.col("least").alias(f"{name}_key"))
+    across = forest.join(least("dst"), "dst").join(least("src"), "src").select(F.col("dst_key").alias("a"), F.col("src_key").alias("b"))
+    inside = marked.join(entries, "fp").where("key <> least").select(F.col("least").alias("a"), F.col("key").alias("b"))
+    links = verified(across.union(inside), texts, words, similarity, scratch)
     roots = components(links, scratch)
-    members = found.where("shingle IS NOT NULL").select("shingle", F.col("a").alias("key"), "n", "pos")
+    counts = spark.sparkContext.broadcast(slot_counts(rows))
+    total = marked.agg(F.sum("size")).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // POSTING_ROWS)
+    members = scratch.write(shared(postings(texts, counts, words, similarity, tasks)))
     for star in [*range(STARS), None] if not members.isEmpty() else []:
-        placed = members.join(roots.withColumnRenamed("node", "key"), "key", "left").select("shingle", "key", "n", "pos", F.coalesce("root", "key").alias("root"))
-        more = _similar(_more_pairs(placed.repartition(tasks, "shingle"), similarity, star), texts, prepared, words, similarity, scratch)
-        links = links.union(more)
+        placed = members.join(few(roots.withColumnRenamed("node", "key")), "key", "left").withColumn("root", F.coalesce("root", "key"))
+        links = links.union(verified(_pairs(placed.repartition(tasks, "shingle"), similarity, star), texts, words, similarity, scratch))
         roots = components(links, scratch)
     return roots
-
-
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``docs`` with one row of each group of texts linked by a Jaccard similarity of at least ``similarity``.
-
-    Kept is the row of the least id, of repeated rows one; null ids are the last choice. Texts without words are one group.
-    """
-    limit_arrow_batches(docs.sparkSession)
-    scratch = Scratch(docs.sparkSession)
-    key, mark = "key", "mark"
-    while key in docs.columns or mark in docs.columns:
-        key, mark = key + "_", mark + "_"
-    own = docs.withColumn(key, text_hash(text_col))
-    own = own.withColumn(mark, F.xxhash64(F.col(id_col).isNull(), F.col(id_col).cast("long"), key))
-    least = F.min(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).cast("long").alias("id"), F.col(mark).alias("mark")))
-    first = scratch.write(own.groupBy(F.col(key).alias("key")).agg(least.alias("least")))
-    keep = first.select(F.col("least.mark").alias(mark))
-    one = scratch.write(own.join(keep, mark, "left_semi").dropDuplicates([mark]))
-    texts = one.select(F.col(key).alias("key"), F.col(text_col).alias("text"))
-    roots = similar_texts(texts, words, similarity, scratch)
-    members = roots.select(F.col("node").alias("key"), "root").union(roots.select("root", "root")).distinct()
-    placed = members.join(first, "key")
-    best = placed.groupBy("root").agg(F.min(F.struct("least", "key")).alias("m")).select("root", F.col("m.key").alias("best"))
-    gone = scratch.write(placed.join(best, "root").where("key <> best").select(F.col("key").alias(key)))
-    return one.join(_few(gone), key, "left_anti").select(*docs.columns)

@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, limit_arrow_batches, spread_join
 
 BYTES = 8
+#: Entries of a posting beyond which it is dealt once more by a fourth byte.
+HOT = 20_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -55,8 +57,12 @@ def fingerprint_of(text: str | None, words: int = 4) -> int:
     starts = (ends - sizes).tolist()
     stops = ends[words - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], 42) for a, b in zip(starts, stops, strict=False)], dtype=">u8")
-    bits = np.zeros(64, dtype=np.int64)
+    return majority_bits(np.array([digest(joined[a:b], 42) for a, b in zip(starts, stops, strict=False)], dtype=np.uint64))
+
+
+def majority_bits(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; 0 for none."""
+    hashes, bits = hashes.astype(">u8"), np.zeros(64, dtype=np.int64)
     for k in range(0, len(hashes), 1 << 14):
         bits += np.unpackbits(hashes[k : k + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * bits > len(hashes)).tobytes(), "big")
@@ -97,6 +103,17 @@ class Forest:
             self.up[max(a, b)] = min(a, b)
 
 
+def differing(front: np.ndarray, left: np.ndarray, max_bits: int) -> np.ndarray:
+    """Which of ``left`` are within ``max_bits`` of any of ``front``: bytes are tallied first, bits are counted where the tally leaves a pair."""
+    x = front[:, None] ^ left[None, :]
+    low = np.uint64(0x7F7F7F7F7F7F7F7F)
+    equal = np.bitwise_count(~(((x & low) + low) | x | low))
+    rows, cols = np.nonzero(equal >= BYTES - max_bits)
+    hit = np.zeros(len(left), dtype=bool)
+    hit[cols[np.bitwise_count(x[rows, cols]) <= max_bits]] = True
+    return hit
+
+
 def link_posting(fps: np.ndarray, node: np.ndarray, forest: Forest, max_bits: int) -> None:
     """Join the entries of one posting that pass the count filter and the verification.
 
@@ -108,25 +125,25 @@ def link_posting(fps: np.ndarray, node: np.ndarray, forest: Forest, max_bits: in
         while stack and len(left):
             step = max(1, (1 << 20) // len(left))
             front, stack = stack[:step], stack[step:]
-            x = fps[front][:, None] ^ fps[left][None, :]
-            tally = (x.view(np.uint8).reshape(*x.shape, BYTES) == 0).sum(axis=2, dtype=np.uint8)
-            hit = ((tally >= BYTES - max_bits) & (np.bitwise_count(x) <= max_bits)).any(axis=0)
+            hit = differing(fps[front], fps[left], max_bits)
             for k in left[hit].tolist():
                 forest.join(int(node[front[0]]), int(node[k]))
                 stack.append(k)
             left = left[~hit]
 
 
-def posting_links(entries: DataFrame, max_bits: int) -> DataFrame:
-    """Links (src, dst), dst the least of its part in the task, over entries (triple, key, fp) placed by triple and key."""
+def posting_links(entries: DataFrame, max_bits: int, hot: int | None) -> DataFrame:
+    """Links (src, dst), dst the least of its part in the task, over entries (posting, fp) placed by posting.
+
+    A posting of more than ``hot`` entries is not compared; its entries leave as rows (src, null, posting).
+    """
 
     def run(batches):
-        cols = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()) for b in batches if b.num_rows]
+        cols = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
         if not cols:
             return
-        triple, key, fp = (np.concatenate(c) for c in zip(*cols, strict=True))
+        group, fp = (np.concatenate(c) for c in zip(*cols, strict=True))
         fps, node = np.unique(fp, return_inverse=True)
-        group = triple.astype(np.int64) << 24 | key
         order = np.argsort(group, kind="stable")
         group, node = group[order], node[order]
         cuts = np.flatnonzero(np.diff(group)) + 1
@@ -136,18 +153,51 @@ def posting_links(entries: DataFrame, max_bits: int) -> DataFrame:
         pair = stops - starts == 2
         a, b = node[starts[pair]], node[starts[pair] + 1]
         x = words[a] ^ words[b]
-        shared = (x.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
-        near = (shared >= BYTES - max_bits) & (np.bitwise_count(x) <= max_bits)
-        for i, j in zip(a[near].tolist(), b[near].tolist(), strict=True):
+        kept = np.flatnonzero((x.view(np.uint8).reshape(-1, BYTES) == 0).sum(axis=1) >= BYTES - max_bits)
+        kept = kept[np.bitwise_count(x[kept]) <= max_bits]
+        for i, j in zip(a[kept].tolist(), b[kept].tolist(), strict=True):
             forest.join(i, j)
+        names = ["src", "dst", "posting"]
         for s, e in zip(starts[stops - starts > 2].tolist(), stops[stops - starts > 2].tolist(), strict=True):
-            link_posting(words[node[s:e]], node[s:e], forest, max_bits)
+            if hot is not None and e - s > hot:
+                own = fps[node[s:e]]
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.nulls(e - s, pa.int64()), pa.array(group[s:e])], names=names)
+            else:
+                link_posting(words[node[s:e]], node[s:e], forest, max_bits)
         up = np.array([forest.root(i) for i in range(len(fps))])
         moved = np.flatnonzero(up != np.arange(len(fps)))
         if len(moved):
-            yield pa.RecordBatch.from_arrays([pa.array(fps[moved]), pa.array(fps[up[moved]])], names=["src", "dst"])
+            yield pa.RecordBatch.from_arrays([pa.array(fps[moved]), pa.array(fps[up[moved]]), pa.nulls(len(moved), pa.int64())], names=names)
 
-    return entries.select("triple", "key", "fp").mapInArrow(run, "src long, dst long")
+    return entries.select("posting", "fp").mapInArrow(run, "src long, dst long, posting long")
+
+
+def _byte(p: int) -> Column:
+    return F.expr(f"shiftrightunsigned(fp, {56 - 8 * p}) & 255")
+
+
+def fingerprint_links(entries: DataFrame, max_bits: int, posting_rows: int, scratch: Scratch) -> DataFrame:
+    """Links (src, dst) that span the parts of distinct fingerprints ``fp`` within ``max_bits`` bits of one another.
+
+    Postings of more than ``HOT`` entries are dealt once more: two entries that share the posting's three bytes share a
+    fourth, so each goes to the five postings of three bytes and one more.
+    """
+    spark = entries.sparkSession
+    three = F.array(*(F.lit(t << 24) + F.shiftleft(_byte(a), 16) + F.shiftleft(_byte(b), 8) + _byte(c) for t, (a, b, c) in enumerate(triples())))
+    keyed = entries.select("fp", F.explode(three).alias("posting"))
+    n = entries.select(F.approx_count_distinct("fp")).first()[0]
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-len(triples()) * n // posting_rows))
+    found = scratch.write(posting_links(keyed.repartition(tasks, "posting"), max_bits, HOT))
+    links, hot = found.where("dst IS NOT NULL").select("src", "dst"), found.where("dst IS NULL").select(F.col("src").alias("fp"), "posting")
+    if hot.isEmpty():
+        return links
+    more = F.lit(None).cast("array<bigint>")
+    for t, own in enumerate(triples()):
+        rest = [p for p in range(BYTES) if p not in own]
+        more = F.when(F.shiftright("posting", 24) == t, F.array(*((F.col("posting") * 8 + p) * 256 + _byte(p) for p in rest))).otherwise(more)
+    again = hot.select("fp", F.explode(more).alias("posting"))
+    rest = posting_links(again.repartition(tasks, "posting"), max_bits, None).select("src", "dst")
+    return scratch.write(links.union(rest))
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -185,14 +235,7 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, words: int, max_bits: i
     scratch = Scratch(spark)
     marked = scratch.write(fingerprints(docs, id_col, text_col, words))
     entries = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    byte = lambda p: F.shiftrightunsigned("fp", 56 - 8 * p).bitwiseAND(F.lit(255))
-    keyed = entries.select(
-        "fp",
-        F.posexplode(F.array(*(F.shiftleft(byte(a), 16).bitwiseOR(F.shiftleft(byte(b), 8)).bitwiseOR(byte(c)) for a, b, c in triples()))).alias("triple", "key"),
-    )
-    n = marked.select(F.approx_count_distinct("fp")).first()[0]
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-len(triples()) * n // posting_rows))
-    links = scratch.write(posting_links(keyed.repartition(tasks, "triple", "key"), max_bits))
+    links = fingerprint_links(entries, max_bits, posting_rows, scratch)
     roots = components(links, scratch)
     # only linked fingerprints need their component's least id; the others are components of their own
     linked = roots.select(F.col("node").alias("own"), "root").union(roots.select("root", "root").distinct())
@@ -219,9 +262,16 @@ def near_duplicates(
 
 
 def deduplicate(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, max_bits: int = 4, posting_rows: int = 400_000
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, max_bits: int = 4, posting_rows: int = 400_000, similarity: float | None = None
 ) -> DataFrame:
-    """``docs`` with one row of each component: that of the least id, of repeated rows one. Null ids are the last choice."""
+    """``docs`` with one row of each component: that of the least id, of repeated rows one. Null ids are the last choice.
+
+    Documents are linked by ``max_bits`` of their fingerprints or, where ``similarity`` is given, by a Jaccard similarity of at
+    least that of their sets of shingles: pairs of near fingerprints are verified on the sets, and pairs whose fingerprints
+    lie farther apart are found by ``near``. Null texts and texts without words are one group. An empty table gives no rows.
+    """
+    if similarity is not None:
+        return _deduplicate_similar(docs, id_col, text_col, words, max_bits, posting_rows, similarity)
     marked, named = grouped(docs, id_col, text_col, words, max_bits, posting_rows)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("keep")
     least = marked.groupBy("fp").agg(first).join(named, F.col("fp") == F.col("own")).groupBy("root").agg(F.min("keep").alias("keep"))
@@ -232,3 +282,27 @@ def deduplicate(
     own = docs.withColumn(hold, text_hash(text_col))
     kept = own.join(keep, own[id_col].cast("long").eqNullSafe(F.col("keep_id")) & (own[hold] == F.col("keep_hash")), "left_semi")
     return kept.dropDuplicates([id_col, hold]).select(*docs.columns)
+
+
+def _deduplicate_similar(docs: DataFrame, id_col: str, text_col: str, words: int, max_bits: int, posting_rows: int, similarity: float) -> DataFrame:
+    """One row of each distinct text, told apart by a 64-bit hash, then one of each component of similar texts."""
+    from . import near
+
+    limit_arrow_batches(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession)
+    key, mark = "key", "mark"
+    while key in docs.columns or mark in docs.columns:
+        key, mark = key + "_", mark + "_"
+    own = docs.withColumn(key, text_hash(text_col))
+    own = own.withColumn(mark, F.xxhash64(F.col(id_col).isNull(), F.col(id_col).cast("long"), key))
+    least = F.min(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).cast("long").alias("id"), F.col(mark).alias("mark")))
+    first = scratch.write(own.groupBy(F.col(key).alias("key")).agg(least.alias("least")))
+    keep = first.select(F.col("least.mark").alias(mark))
+    one = scratch.write(own.join(near.few(keep), mark, "left_semi").dropDuplicates([mark]))
+    texts = one.select(F.col(key).alias("key"), F.col(text_col).alias("text"))
+    roots = near.similar_texts(texts, words, similarity, scratch, max_bits, posting_rows)
+    members = roots.select(F.col("node").alias("key"), "root").union(roots.select("root", "root")).distinct()
+    placed = members.join(first, "key")
+    best = placed.groupBy("root").agg(F.min(F.struct("least", "key")).alias("m")).select("root", F.col("m.key").alias("best"))
+    gone = scratch.write(placed.join(best, "root").where("key <> best").select(F.col("key").alias(key)))
+    return one.join(near.few(gone), key, "left_anti").select(*docs.columns)

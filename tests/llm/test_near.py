@@ -69,3 +69,22 @@ def test_near_duplicates_of_odd_rows(spark):
     docs = spark.createDataFrame([(5, text), (5, text), (None, text), (7, text + " i"), (None, "alone here"), (8, "other words of this one")], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.text) for r in simhash.deduplicate(docs, words=5, similarity=0.8).collect()) == [(0, "alone here"), (5, text), (8, "other words of this one")]
     assert simhash.deduplicate(docs.limit(0), words=5, similarity=0.8).count() == 0
+
+
+def test_sketches_never_rule_out_similar_sets():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    ruled = 0
+    for _ in range(400):
+        n = int(rng.integers(1, 900))
+        own = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        gone = int(rng.integers(0, n // 3 + 1))
+        other = np.unique(np.concatenate([own[gone:], rng.integers(0, 2**63, int(rng.integers(0, n // 3 + 1))).astype(np.uint64)]))
+        is_similar = near.similar(own.tobytes(), other.tobytes(), 0.8)
+        both = len(set(own.tolist()) & set(other.tolist()))
+        assert is_similar == (len(other) > 0 and both >= 0.8 * (len(own) + len(other) - both) - 1e-9)
+        kept = near.may_be_similar(near.sketch(own), near.sketch(other), 0.8)
+        assert kept or not is_similar
+        ruled += not kept
+    assert ruled > 100

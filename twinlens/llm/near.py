@@ -4,7 +4,7 @@ Under one order of all shingles, two sets of similarity s or more share a shingl
 each (prefix filter), so postings of those alone bring every such pair together. The order puts shingles of full slots
 last: all shingles of all texts are counted in ``SLOTS`` hashed slots, a table of fixed size. Any order is right; this one
 keeps shingles that many texts hold out of the prefixes. A pair whose sizes and places leave no room for the overlap is
-passed over, the others are decided by their whole sets.
+passed over, as is one whose sketches differ too much, and the others are decided by their whole sets.
 
 A posting is first compared by stars (one text with the others); only texts that are still of different components after
 that are compared pair by pair. Postings travel as packed bytes, a row for each bucket of a batch.
@@ -231,45 +231,80 @@ def few(keys: DataFrame, n: int | None = None) -> DataFrame:
     return F.broadcast(keys) if (keys.count() if n is None else n) <= FEW else keys
 
 
-def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float, scratch: Scratch) -> DataFrame:
-    """The links (src, dst) among pairs (a, b) whose whole sets are similar enough; two texts without words are.
+def sketch(own: np.ndarray) -> bytes:
+    """The size of a set and, for each of about two bits an element, whether it has an odd number of elements.
+
+    Bits of two sketches that differ are at most the elements that only one set has, so too many of them rule a pair out.
+    """
+    bits = 1 << max(6, int(2 * len(own)).bit_length())
+    counts = np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return len(own).to_bytes(8, "little") + np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def may_be_similar(a: bytes, b: bytes, similarity: float) -> bool:
+    """Whether sets of these sketches can be similar enough; never false for sets that are."""
+    total = int.from_bytes(a[:8], "little") + int.from_bytes(b[:8], "little")
+    x, y = (np.frombuffer(s, dtype=np.uint64, offset=8) for s in (a, b))
+    while len(x) != len(y):
+        if len(x) < len(y):
+            x, y = y, x
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return (1 + similarity) * int(np.bitwise_count(x ^ y).sum()) <= (1 - similarity) * total + 1e-9
+
+
+def similar(a: bytes, b: bytes, similarity: float) -> bool:
+    """Whether two sets, as the bytes of their ascending hashes, are similar enough; two empty ones are."""
+    x, y = (np.frombuffer(s, dtype=np.uint64) for s in (a, b))
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return (1 + similarity) * both >= similarity * (len(x) + len(y)) - 1e-9 and (len(x) > 0) == (len(y) > 0)
+
+
+def _passed(pairs: DataFrame, texts: DataFrame, words: int, made, test, scratch: Scratch) -> DataFrame:
+    """The written pairs (a, b) whose texts' shingles, made into bytes, pass a test.
 
     Each ``b`` travels to its hub ``a``; a hub of many goes to several tasks, so that none of them gets more than some.
     """
-    spark = texts.sparkSession
-    own = scratch.write(pairs)
-    ways = own.groupBy("a").agg(F.floor((F.count("*") - 1) / HUB_ROWS).alias("last"))
+    ways = pairs.groupBy("a").agg(F.floor((F.count("*") - 1) / HUB_ROWS).alias("last"))
     hubs = ways.select(F.col("a").alias("key"), "a", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("way"))
-    ends = own.join(ways, "a").select(F.col("b").alias("key"), "a", F.pmod(F.xxhash64("b"), F.col("last") + 1).alias("way"))
+    ends = pairs.join(ways, "a").select(F.col("b").alias("key"), "a", F.pmod(F.xxhash64("b"), F.col("last") + 1).alias("way"))
     wanted = scratch.write(hubs.union(ends))
     n = wanted.count()
 
     def sets(batches):
         for b in batches:
-            raw = [shingles(t, words).tobytes() for t in b.column(3).to_pylist()]
+            raw = [made(shingles(t, words)) for t in b.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(raw, pa.binary())], names=["key", "a", "way", "s"])
 
     def compare(batches):
         place, hub = None, None
         for b in batches:
-            src, dst = [], []
+            one, other = [], []
             for key, a, way, raw in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                s = np.frombuffer(raw, dtype=np.uint64)
                 if key == a:
-                    place, hub = (a, way), s
-                elif place == (a, way):
-                    both = len(np.intersect1d(hub, s, assume_unique=True))
-                    if (1 + similarity) * both >= similarity * (len(hub) + len(s)) - 1e-9 and (len(s) > 0) == (len(hub) > 0):
-                        src.append(key)
-                        dst.append(a)
-            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
-
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // (2 * HUB_ROWS))
+                    place, hub = (a, way), raw
+                elif place == (a, way) and test(hub, raw):
+                    one.append(a)
+                    other.append(key)
+            yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(other, pa.int64())], names=["a", "b"])
+
+    tasks = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // (2 * HUB_ROWS))
     dealt = texts.join(few(wanted, n), "key").select("key", "a", "way", "text").mapInArrow(sets, "key long, a long, way long, s binary").repartition(tasks, "a", "way")
-    links = scratch.write(dealt.sortWithinPartitions("a", "way", F.col("key") != F.col("a")).mapInArrow(compare, "src long, dst long"))
-    scratch.drop(own)
+    out = scratch.write(dealt.sortWithinPartitions("a", "way", F.col("key") != F.col("a")).mapInArrow(compare, "a long, b long"))
     scratch.drop(wanted)
-    return links
+    return out
+
+
+def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float, scratch: Scratch) -> DataFrame:
+    """The links (src, dst) among pairs (a, b) whose whole sets are similar enough; two texts without words are.
+
+    Sketches go first: they are a small part of the sets and leave few pairs that aren't similar.
+    """
+    own = scratch.write(pairs)
+    left = _passed(own, texts, words, sketch, lambda a, b: may_be_similar(a, b, similarity), scratch)
+    scratch.drop(own)
+    links = _passed(left, texts, words, lambda s: s.tobytes(), lambda a, b: similar(a, b, similarity), scratch)
+    scratch.drop(left)
+    return links.select(F.col("b").alias("src"), F.col("a").alias("dst"))
 
 
 def similar_texts(texts: DataFrame, words: int, similarity: float, scratch: Scratch, max_bits: int, posting_rows: int) -> DataFrame:
@@ -292,6 +327,7 @@ def similar_texts(texts: DataFrame, words: int, similarity: float, scratch: Scra
     roots = components(links, scratch)
     counts = spark.sparkContext.broadcast(slot_counts(rows))
     total = marked.agg(F.sum("size")).first()[0] or 0
+    scratch.drop(rows)
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // POSTING_ROWS)
     members = scratch.write(shared(postings(texts, counts, words, similarity, tasks)))
     for star in [*range(STARS), None] if not members.isEmpty() else []:

@@ -296,9 +296,12 @@ def _deduplicate_similar(docs: DataFrame, id_col: str, text_col: str, words: int
     own = docs.withColumn(key, text_hash(text_col))
     own = own.withColumn(mark, F.xxhash64(F.col(id_col).isNull(), F.col(id_col).cast("long"), key))
     least = F.min(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).cast("long").alias("id"), F.col(mark).alias("mark")))
-    first = scratch.write(own.groupBy(F.col(key).alias("key")).agg(least.alias("least")))
-    keep = first.select(F.col("least.mark").alias(mark))
-    one = scratch.write(own.join(near.few(keep), mark, "left_semi").dropDuplicates([mark]))
+    first = scratch.write(own.groupBy(F.col(key).alias("key")).agg(least.alias("least"), F.count("*").alias("n")))
+    # only texts that are there more than once are dealt to drop the copies
+    again = first.where("n > 1").select(F.col("key").alias(key), F.col("least.mark").alias("least_" + mark))
+    again, n = scratch.write(again), first.where("n > 1").count()
+    copies = own.join(near.few(again, n), key).where(F.col(mark) == F.col("least_" + mark)).dropDuplicates([mark]).select(*own.columns)
+    one = scratch.write(own.join(near.few(again.select(key), n), key, "left_anti").select(*own.columns).unionByName(copies))
     texts = one.select(F.col(key).alias("key"), F.col(text_col).alias("text"))
     roots = near.similar_texts(texts, words, similarity, scratch, max_bits, posting_rows)
     members = roots.select(F.col("node").alias("key"), "root").union(roots.select("root", "root")).distinct()

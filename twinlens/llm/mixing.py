@@ -3,7 +3,7 @@
 Leaves are (domain, lang, source). A budget of tokens flows down the tree: each node shares its budget among its
 children by weight, no child beyond what it can give (its tokens times ``max_epochs``), and what a short child cannot
 take goes to its siblings; only what a whole family cannot take reaches its parent's siblings, because a parent's
-limit is the sum of its leaves'. A leaf takes whole passes over its documents, then the token-prefix of one more pass,
+limit is the sum of those of its leaves that have weight all the way down. A leaf takes whole passes over its documents, then the token-prefix of one more pass,
 each pass in its own seeded order.
 
 The prefix is found by counting tokens in equal ranges of the order first, so that only one small range of a leaf is
@@ -12,6 +12,8 @@ ever sorted, however large the leaf.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -19,7 +21,7 @@ from pyspark.sql import window as W
 from .common import Scratch
 
 #: Rows of a range that is sorted, about; a leaf is cut into powers of 16 ranges to stay under it.
-RANGE_ROWS = 2000
+RANGE_ROWS = 500
 
 
 def estimated_tokens(text_col: str = "text") -> Column:
@@ -28,9 +30,12 @@ def estimated_tokens(text_col: str = "text") -> Column:
 
 
 def weight_column(col: Column, weights: dict[str, float], default: float = 1.0) -> Column:
+    """The weight of a name, 1 where none is given; negative weights are 0. Names that no row has are without effect."""
     out = F.lit(float(default))
     for k, v in weights.items():
-        out = F.when(col == k, float(v)).otherwise(out)
+        if not math.isfinite(v):
+            raise ValueError(f"the weight of {k} is not finite")
+        out = F.when(col == k, max(0.0, float(v))).otherwise(out)
     return out
 
 
@@ -52,14 +57,18 @@ def share(nodes: DataFrame, parent: list[str], name: str, budget: str, weight: s
 
 def budgets(leaves: DataFrame, budget: Column, weights: dict[str, dict[str, float]], max_epochs: int) -> DataFrame:
     """Leaves (domain, lang, source, tokens, n) with ``budget`` tokens, whole passes ``full`` and the ``rest`` of one more."""
-    tree = leaves.withColumn("limit3", F.col("tokens") * max_epochs)
-    tree = tree.withColumn("limit2", F.sum("limit3").over(W.Window.partitionBy("domain", "lang"))).withColumn("limit1", F.sum("limit3").over(W.Window.partitionBy("domain")))
-    domains = tree.select("domain", "limit1").distinct().withColumn("b0", budget).withColumn("w", weight_column(F.col("domain"), weights.get("domain", {})))
+    # a child without weight can take nothing, so it adds nothing to what its ancestors can take
+    weight = {level: weight_column(F.col(level), weights.get(level, {})) for level in ("domain", "lang", "source")}
+    tree = leaves.withColumn("limit3", F.when(weight["source"] > 0, F.col("tokens") * max_epochs).otherwise(F.lit(0).cast("long")))
+    tree = tree.withColumn("limit2", F.when(weight["lang"] > 0, F.sum("limit3").over(W.Window.partitionBy("domain", "lang"))).otherwise(F.lit(0).cast("long")))
+    given = F.when(weight["lang"] > 0, F.col("limit3")).otherwise(F.lit(0).cast("long"))
+    tree = tree.withColumn("limit1", F.when(weight["domain"] > 0, F.sum(given).over(W.Window.partitionBy("domain"))).otherwise(F.lit(0).cast("long")))
+    domains = tree.select("domain", "limit1").distinct().withColumn("b0", budget).withColumn("w", weight["domain"])
     domains = share(domains.withColumn("root", F.lit(0)), ["root"], "domain", "b0", "w", "limit1", "b1").select(F.col("domain").alias("d"), "b1")
     langs = tree.select("domain", "lang", "limit2").distinct().join(domains, F.col("domain").eqNullSafe(F.col("d")))
-    langs = share(langs.withColumn("w", weight_column(F.col("lang"), weights.get("lang", {}))), ["domain"], "lang", "b1", "w", "limit2", "b2").select("domain", "lang", "b2")
+    langs = share(langs.withColumn("w", weight["lang"]), ["domain"], "lang", "b1", "w", "limit2", "b2").select("domain", "lang", "b2")
     l2 = langs.select(F.col("domain").alias("d"), F.col("lang").alias("l"), "b2")
-    out = tree.join(l2, F.col("domain").eqNullSafe(F.col("d")) & F.col("lang").eqNullSafe(F.col("l"))).withColumn("w", weight_column(F.col("source"), weights.get("source", {})))
+    out = tree.join(l2, F.col("domain").eqNullSafe(F.col("d")) & F.col("lang").eqNullSafe(F.col("l"))).withColumn("w", weight["source"])
     out = share(out, ["domain", "lang"], "source", "b2", "w", "limit3", "budget")
     full = F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(0).cast("long")
     return out.select("domain", "lang", "source", "tokens", "n", "budget", full.alias("full"), (F.col("budget") - full * F.col("tokens")).alias("rest"))
@@ -76,7 +85,8 @@ def mix(
 ) -> DataFrame:
     """The chosen documents, one row for each pass that takes them.
 
-    The budget is ``fraction`` of all tokens. Returns doc_id, domain, lang, source, tokens, epoch; with ``keep`` the
+    The budget is ``fraction`` of all tokens; what children without weight (0 or less) hold can't be taken, so the result may
+    fall short of it. ``tokens`` counts a row's tokens, four bytes each where it isn't given. Returns doc_id, domain, lang, source, tokens, epoch; with ``keep`` the
     columns of ``docs`` alone. Null domains, languages, sources and ids are values like any other; rows of one id in a
     leaf stand at one place of the order and are taken or left together. Documents without tokens come with the passes
     and ranges around them. An empty table gives no rows.

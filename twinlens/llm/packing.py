@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import limit_arrow_batches
 
@@ -75,6 +76,22 @@ def encoder(vocab: str, ranks: str | None, pattern: str | None) -> ByteBpe:
     return _made[key]
 
 
+def with_token_counts(docs: DataFrame, out_col: str, vocab: str, ranks: str | None = None, pattern: str | None = None, text_col: str = "text") -> DataFrame:
+    """``docs`` with the tokens that packing makes of each whole text, the closing one among them. ``out_col`` must not be a column of ``docs``."""
+    if out_col in docs.columns:
+        raise ValueError(f"{out_col} is a column already")
+    limit_arrow_batches(docs.sparkSession)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        enc = encoder(vocab, ranks, pattern)
+        for b in batches:
+            sizes = [len(enc.encode(t or "")) // 4 + 1 for t in b.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sizes, pa.int64())], names=[*b.schema.names, out_col])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out_col, T.LongType())]))
+
+
 def rooms_for(total: int, capacity: int) -> np.ndarray:
     """Sequence sizes that hold ``total`` tokens exactly: full ones, then descending powers of two."""
     full, rest = divmod(total, capacity)

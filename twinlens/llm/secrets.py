@@ -1,8 +1,8 @@
 """Secret scan with a random forest that removes false positives. DataFrame operations only.
 
-Candidates are runs of 16 or more key characters with a digit among them, keys of a known prefix, and values of 6 or more
-characters of any kind assigned to a key word. A forest trained from labelled findings scores each on length, character transitions, dictionary
-coverage, the path and the neighbouring words. The scan is one projection: no shuffle, no Python.
+Candidates are blocks of private keys, runs of 16 or more key characters, keys of a known prefix, and values of 4 or more
+characters of any kind assigned to a key word. A forest trained from labelled findings scores each on length, character
+transitions, dictionary coverage, the path and the neighbouring words. The scan is one projection: no shuffle, no Python.
 """
 
 from __future__ import annotations
@@ -15,24 +15,25 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-#: A run of key characters that holds a digit or starts as keys of known makers do, bounded on both sides.
-RUN = r"(?<![A-Za-z0-9_+/=\-])(?:(?=[A-Za-z_+/=\-]{0,63}[0-9])|(?=(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9_+/=\-])|gh[pousr]_|xox[abps]-|[sr]k_live_|AIza|glpat-))[A-Za-z0-9_+/=\-]{16,}"
+#: A run of key characters, bounded on both sides.
+RUN = r"(?<![A-Za-z0-9_+/=\-])[A-Za-z0-9_+/=\-]{16,}"
+#: The private key blocks of a text; what is inside one is no candidate of its own.
+BLOCK = r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----[^-]{0,20000}-----END [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
 KEY_WORDS = r"(?:token|secret|passw(?:or)?d|passphrase|api[_-]?key|access[_-]?key|auth|bearer|credentials?|private[_-]?key|pwd)"
 #: A key word and its sign of assignment; with a value of any characters, the last in its text.
 ASSIGNS = r"(?i)" + KEY_WORDS + r"[\"']?\s*[=:]"
-ASSIGNED = r"(?i)" + KEY_WORDS + r"[\"']?\s?[=:]{1,2}\s?[\"']?([^\s\"'=:][^\s\"']{5,}?)[.,;:)\]}>\"']*$"
+ASSIGNED = r"(?i)" + KEY_WORDS + r"[\"']?\s?[=:]{1,2}\s?[\"']?([^\s\"'=:][^\s\"']{3,}?)[.,;:)\]}>\"']*$"
 HASH_WORDS = r"(?:commit|sha-?\d*|md5|checksum|digest|etag|uuid|guid|revision|hash|blob|tree|isbn|doi|card|phone|tel|fax|order|invoice|account)"
 PATH_WORDS = r"(?i)test|example|sample|fixture|mock|demo|docs?/"
 #: Words whose presence inside a candidate speaks for a name rather than a random key.
 DICTIONARY = (
-    "about access account action active address admin after agent align alpha and api app apple array asset async audio author auto back base batch bean before "
-    "begin block board body book border bottom box branch browser buffer build button byte cache call card case chain change channel char check child class clean "
-    "click client clock close cloud code color column commit common config connect content control copy core count create cursor custom data date debug default "
-    "delete demo detail device dialog dir disk display document domain down draft drive edit email empty enable end engine entry error event example export factory "
-    "field file filter final find first fixed folder font form format frame from function global graph grid group handle hash head header height hello help here high "
-    "home host html http icon image import index info init inner input insert item java job join json key label layer layout left level library license line link list "
-    "load local lock log login long loop mail main manager map master match media member memory menu message method mode model module month mouse name network next "
-    "node note null number object offset open option order page panel parent part path"
+    "about access account action address admin after agent and app array asset author back base before block board body book border box branch browser build button cache call card change channel "
+    "char check child class client clock close cloud code color column commit config connect content control count create cursor data date debug default delete device domain down edit email "
+    "empty end engine entry error event example export field file filter final find first folder form format frame from function global graph group handle hash head height help home host "
+    "html http image import index info init input item java join json key label layer left level library license line link list load local lock log loop main map master match media member "
+    "memory message method mode model module name network next node note number object offset open option order page panel parent part path phone place plan point port print process project "
+    "public query queue read record request response result return right root route row rule sample schema scope score script search select sequence server service session size source start "
+    "state status string style system table target task test text time title type update upload user value version view void when width window word write zone"
 ).split()
 #: What stands after a key word and is no secret.
 PLAIN = "required string optional undefined <password> ${PASSWORD} {{token}} process.env.TOKEN getpass() ******** changeme self.token config[key] Optional[str] hidden missing expired invalid authentication".split()
@@ -64,7 +65,7 @@ def features(value: Column, before: Column, after: Column, path: Column) -> Colu
         "vowel_pairs": share(F.size(F.regexp_extract_all(low, F.lit("[aeiou][b-df-hj-np-tv-z]"), F.lit(0)))),
         "distinct": share(F.size(F.array_distinct(F.split(value, "")))),
         "dictionary": 1.0 - share(F.length(F.regexp_replace(low, words, ""))),
-        "known_prefix": flag(value.rlike(r"^(?:AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{20,}$|^xox[abps]-|^[sr]k_live_|^AIza|^glpat-")),
+        "known_prefix": flag(value.rlike(r"^(?:AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{20,}$|^xox[abps]-|^[sr]k_live_|^AIza|^glpat-|^-----BEGIN ")),
         "key_word": flag(F.lower(before).rlike(KEY_WORDS)),
         "hash_word": flag(F.lower(F.concat_ws(" ", before, after)).rlike(r"(?<![a-z])" + HASH_WORDS + r"(?![a-z])")),
         "assigned": flag(before.rlike(r"[=:]\s*[\"']?$")),
@@ -81,16 +82,26 @@ def labelled_findings(spark: SparkSession, n: int = 4000) -> DataFrame:
     """(id, value, before, after, path, label): generated findings, a third of them secrets, from hashed row numbers.
 
     Stands in where no reviewed findings are at hand. Secrets are random hex, base62 and prefixed keys, mostly assigned to
-    key words, and passwords assigned to them; the rest are plain words assigned to key words, checksums, uuids, card and phone numbers, placeholders, identifiers and joined words.
+    key words, blocks of private keys, and passwords assigned to key words; the rest are plain words assigned to key words, checksums, uuids, card and
+    phone numbers, placeholders, identifiers, joined and long words of the dictionary and of none, paths and ruled lines.
     """
     r = lambda salt, m: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(m)).cast("int")
     pick = lambda salt, items: F.element_at(F.array(*map(F.lit, items)), r(salt, len(items)) + 1)
     text = lambda salt: F.sha2(F.concat_ws(":", F.lit(salt), F.col("id")), 256)
     base62 = F.regexp_replace(F.base64(F.unhex(F.concat(text("a"), text("b")))), "[^A-Za-z0-9]", "")
     word = F.concat(*(pick(f"w{k}", DICTIONARY) for k in range(3)))
+    # words of no dictionary: consonants and vowels by turns
+    syllables = [c + v for c in "bcdfghklmnprstvwz" for v in "aeiou"]
+    odd = F.concat(*(pick(f"o{k}", syllables) for k in range(4)))
+    more = F.concat(odd, *(pick(f"o{k}", syllables) for k in range(4, 9)))
+    either = lambda salt, own: F.when(r(salt, 2) == 0, odd).otherwise(pick(own, DICTIONARY))
+    unlettered = F.substring(F.regexp_replace(base62, "[0-9]", ""), 1, 20 + r("n", 25))
+    block = F.concat(F.lit("-----BEGIN "), pick("bk", ["RSA ", "EC ", "", "OPENSSH "]), F.lit("PRIVATE KEY----- "), F.substring(F.base64(F.unhex(F.concat(text("a"), text("b"), text("s"), text("p")))), 1, 64 + r("n", 90)), F.lit(" -----END PRIVATE KEY-----"))
     upper = F.regexp_replace(F.upper(base62), "[^A-Z0-9]", "")
     secret = (
         F.when(r("kind", 10) < 5, F.substring(text("s"), 1, pick("len", [32, 40, 40, 40, 64])))
+        .when((r("kind", 10) < 6) & (r("half", 3) == 0), unlettered)
+        .when((r("kind", 10) < 6) & (r("half", 3) == 1), block)
         .when(r("kind", 10) < 7, F.substring(base62, 1, 20 + r("n", 25)))
         .when(r("kind", 10) < 8, F.concat(F.lit("AKIA"), F.substring(upper, 1, 16)))
         .when(r("kind", 10) < 9, F.concat(F.lit("ghp_"), F.substring(base62, 1, 36)))
@@ -102,9 +113,13 @@ def labelled_findings(spark: SparkSession, n: int = 4000) -> DataFrame:
         .when(r("kind", 10) < 3, F.regexp_replace(F.substring(text("u"), 1, 32), "^(.{8})(.{4})(.{4})(.{4})", r"$1-$2-$3-$4-"))
         .when(r("kind", 10) < 5, F.substring(digits, 1, 16))
         .when(r("kind", 10) < 6, F.concat(pick("ph", ["your_token_here_", "xxxxxxxxxxxxxxxx", "EXAMPLEEXAMPLEKEY", "0123456789abcdef", "changeme_changeme_"]), r("x", 10)))
+        .when((r("kind", 10) < 8) & (r("half", 3) == 0), F.concat_ws("_", odd, either("e1", "w9"), r("x", 1000)))
+        .when((r("kind", 10) < 8) & (r("half", 3) == 1), F.when(r("x", 3) == 0, more).when(r("x", 3) == 1, F.initcap(more)).otherwise(F.concat_ws("-", odd, either("e1", "w9"), either("e2", "w8"))))
         .when(r("kind", 10) < 8, F.concat_ws("_", word, pick("w9", DICTIONARY), r("x", 1000)))
+        .when((r("kind", 10) < 9) & (r("half", 3) == 0), F.concat(F.initcap(odd), F.initcap(either("e1", "w9")), F.initcap(either("e2", "w8")), pick("tail", ["", "Factory", "Exception", "2"])))
+        .when((r("kind", 10) < 9) & (r("half", 3) == 1), F.repeat(pick("rule", ["=", "-", "_", "=-", "+-"]), 16 + r("x", 60)))
         .when(r("kind", 10) < 9, F.concat(F.initcap(word), F.initcap(pick("w8", DICTIONARY)), r("x", 100)))
-        .otherwise(F.concat_ws("/", pick("p1", DICTIONARY), pick("p2", DICTIONARY), pick("p3", DICTIONARY), F.concat(F.lit("v"), r("x", 90))))
+        .otherwise(F.concat_ws("/", either("e1", "p1"), pick("p2", DICTIONARY), either("e2", "p3"), F.when(r("half", 2) == 0, F.concat(F.lit("v"), r("x", 90))).otherwise(odd)))
     )
     key = pick("key", ["token", "secret", "password", "api_key", "auth", "access_key", "credential", "private_key"])
     near_secret = F.when(r("near", 20) < 17, F.concat(key, pick("eq", [' = "', "=", ": ", ':"', " = '", " "]))).otherwise(F.concat_ws(" ", pick("n1", DICTIONARY), pick("n2", DICTIONARY)))
@@ -230,7 +245,12 @@ def _edges() -> Column:
 
 
 def candidates(text: Column) -> Column:
-    """array<struct<value, before, after, word>>: the candidates of a text in order, with the words around them."""
+    """array<struct<value, before, after, word>>: the candidates of a text in order, with the words around them.
+
+    Blocks of private keys come first, then runs and assigned values by the word that holds them; a value that stands in a word
+    more than once is one candidate. ``word`` counts the words before it, a block being one word. ``before`` and ``after`` are
+    up to 40 characters of each of the two words before and of the word after.
+    """
     near = F.lit(RUN)
     word = lambda words, i: F.coalesce(F.get(words, i), F.lit(""))
 
@@ -261,9 +281,16 @@ def candidates(text: Column) -> Column:
             )
         )
 
+    def blocks(whole: Column) -> Column:
+        parts = F.split(F.regexp_replace(whole, BLOCK, "\u0000"), "\u0000")
+        before = lambda k: F.size(F.split(F.array_join(F.slice(parts, F.lit(1), k + 1), "x"), r"\s+")) - 1
+        return F.transform(F.regexp_extract_all(whole, F.lit(BLOCK), F.lit(0)), lambda v, k: F.struct(v.alias("value"), F.lit("").alias("before"), F.lit("").alias("after"), before(k).alias("word")))
+
     none = F.array().cast("array<struct<value:string,before:string,after:string,word:int>>")
-    split = lambda keyed: F.transform(F.array(F.split(text, r"\s+")), lambda words: of(words, keyed))[0]
-    return F.when(F.coalesce(text.rlike(ASSIGNS), F.lit(False)), split(True)).when(F.coalesce(text.rlike(RUN), F.lit(False)), split(False)).otherwise(none)
+    split = lambda whole, keyed: F.transform(F.array(F.split(whole, r"\s+")), lambda words: of(words, keyed))[0]
+    blocked = F.concat(blocks(text), split(F.regexp_replace(text, BLOCK, "x"), True))
+    has = lambda pattern: F.coalesce(text.rlike(pattern), F.lit(False))
+    return F.when(has(BLOCK), blocked).when(has(ASSIGNS), split(text, True)).when(has(RUN), split(text, False)).otherwise(none)
 
 
 def _before(word: Column, value: Column) -> Column:
@@ -274,7 +301,8 @@ def _before(word: Column, value: Column) -> Column:
 def scan(docs: DataFrame, forest: Forest, text_col: str = "text", path_col: str | None = None, out_col: str = "findings", threshold: float = SECRET_FROM) -> DataFrame:
     """``docs`` with an array of findings: value, before, after, word (position), score, is_secret.
 
-    Null and empty texts have no findings. Rows are kept as they are, repeated ones too; ``out_col`` must be free.
+    A score that equals the threshold is a secret. Null and empty texts have no findings. Rows are kept as they are, repeated
+    ones too; ``out_col`` must be free.
     """
     if out_col in docs.columns:
         raise ValueError(f"{out_col} is a column already")

@@ -181,7 +181,7 @@ def test_exact_products(spark, monkeypatch):
     assert {(r.query_id, r["rank"], r.vec_id) for r in search.exact_top_products(df).collect()} == want
     small = search.block_search(
         df.where("vec_id IS NOT NULL").where(search.finite(F.col("embedding"))).select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * 256)).alias("vec")),
-        50, 5, search.dual_tree_products, True, index_block=64, query_block=3)
+        50, 5, search.Products(), index_block=64, query_block=3)
     assert {(r.query_id, r["rank"], r.vec_id) for r in small.collect()} == want
     assert search.exact_top_products(df.limit(0)).count() == 0
 
@@ -191,7 +191,9 @@ def test_dual_tree_prunes_right():
     centers = rng.integers(-4000, 4000, (12, 4))
     rows = np.concatenate([c + rng.integers(-30, 30, (200, 4)) for c in centers])
     queries = rows[::37]
-    place, score = search.dual_tree_products(queries, rows, 6)
+    made = []
+    place, score = search.dual_tree_products(queries, rows, 6, tally=made)
+    assert sum(made) < 0.5 * len(queries) * len(rows)
     for q, p, s in zip(queries, place, score, strict=True):
         products = rows @ q
         assert p.tolist() == np.lexsort((np.arange(len(rows)), -products))[:6].tolist() and s.tolist() == products[p].tolist()

@@ -1,7 +1,8 @@
 """Token counts of whole texts by batch encoding in Arrow functions.
 
-Texts are gathered into batches of about equal bytes; a text over ``segment_chars`` is cut at white space, where no
-token of a tokenizer that drops white space can cross, and its segments' lengths are summed. Only lengths leave Python.
+Texts are gathered into batches of about equal bytes; a text over ``segment_chars`` is cut where no token can cross (by
+default at white space, which the tokenizer drops, or after a digit, which is a token of its own), and its segments'
+lengths are summed. Only lengths leave Python.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from .common import limit_arrow_batches
 SCHEMA = "doc_id long, n_bytes long, n_tokens long"
 #: Where a text may be cut. For tokenizers that drop white space, before any ASCII white space.
 ANY_SPACE = r"[ \t\n\r]"
+#: For word tokenizers that also take each digit for itself: before white space, and after a digit that a letter or digit follows.
+WORD_CUT = r"[ \t\n\r]|(?<=[0-9])(?=[A-Za-z0-9])"
 #: For byte-level tokenizers, which join one space to the next word: before a lone space between words.
 LONE_SPACE = r"(?<=\S) (?=\S)"
 _made: dict = {}
@@ -59,7 +62,7 @@ def token_counts(
     tokenizer: str,
     id_col: str = "doc_id",
     text_col: str = "text",
-    boundary: str | None = ANY_SPACE,
+    boundary: str | None = WORD_CUT,
     batch_bytes: int = 1 << 20,
     segment_chars: int = 1 << 15,
     limit: int = 2048,
@@ -67,7 +70,8 @@ def token_counts(
     """One row per document: doc_id, n_bytes (UTF-8), n_tokens, over_limit.
 
     A null text counts as empty (0, 0); a null id is carried; repeated rows are counted each; other columns are not read.
-    ``boundary`` None never cuts a text, for tokenizers whose tokens may cross white space.
+    ``boundary`` None never cuts a text, for tokenizers whose tokens may cross white space. Where a text has no boundary
+    beyond ``segment_chars`` (letters without white space or digits) the rest of it is one segment, whatever its size.
     """
     limit_arrow_batches(docs.sparkSession)
     cut = re.compile(boundary) if boundary else None

@@ -379,8 +379,9 @@ def block_search(vectors: DataFrame, every: int, k: int, measure: Products | Dis
     schema = T.StructType([*index.schema.fields, T.StructField("leaf", T.LongType()), T.StructField("far", T.DoubleType())])
     dealt = scratch.write(index.mapInArrow(nearest, schema))
     wanted = scratch.write(dealt.join(asked.select("rep").distinct(), "rep", "left_semi").select("rep", "vec", "leaf", "far"))
-    blocks = lambda df, size, name: df.groupBy("leaf").agg(F.floor((F.count("*") - 1) / size).alias(name), F.max("far").alias(f"{name}_radius"))
-    shape = scratch.write(blocks(dealt, index_block, "rows").join(blocks(wanted, query_block, "queries"), "leaf", "left"))
+    blocks = lambda df, name: df.groupBy("leaf").agg(F.count("*").alias(name), F.max("far").alias(f"{name}_radius"))
+    shape = scratch.write(blocks(dealt, "rows").join(blocks(wanted, "queries"), "leaf", "left"))
+    last = lambda n, size: F.floor((n - 1) / size)
     score_type = T.LongType() if measure.largest else T.DoubleType()
     arrow_type = pa.int64() if measure.largest else pa.float64()
 
@@ -403,15 +404,18 @@ def block_search(vectors: DataFrame, every: int, k: int, measure: Products | Dis
         return pa.Table.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], arrow_type)], names=names)
 
     def met(pairs: DataFrame, queries: DataFrame) -> DataFrame:
-        """Searches the query blocks of ``leaf`` in the index blocks of ``into``, for pairs with their last block numbers."""
-        blocked = lambda df, last: df.withColumn("b", F.pmod(F.xxhash64("rep", F.lit(7)), F.col(last) + 1))
-        each = lambda last: F.explode(F.sequence(F.lit(0).cast("long"), F.col(last)))
-        pairs = F.broadcast(pairs)
-        r = blocked(dealt.withColumnRenamed("leaf", "into").join(pairs, "into"), "rows")
-        r = r.select(F.lit(0).alias("side"), "rep", "ids", "vec", F.lit(None).cast("double").alias("known"), "leaf", "into", F.col("b").alias("rb"), each("queries").alias("qb"))
-        q = blocked(queries.join(pairs, "leaf"), "queries")
-        q = q.select(F.lit(1).alias("side"), "rep", F.array().cast("array<bigint>").alias("ids"), "vec", "known", "leaf", "into", each("rows").alias("rb"), F.col("b").alias("qb"))
-        return r.unionByName(q).groupBy("leaf", "into", "rb", "qb").applyInArrow(search, T.StructType([T.StructField("rep", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", score_type)]))
+        """Searches the queries of each ``leaf`` in the index blocks of ``into``, for pairs with the numbers of rows of ``into`` and of its queries.
+
+        An index block meets the queries of all leaves together, in blocks, so that its tree is made once for each of these.
+        """
+        pairs = pairs.select("leaf", "into", last(F.col("rows"), index_block).alias("last_r"), last(F.col("queries"), query_block).alias("last_q"))
+        block = lambda n: F.pmod(F.xxhash64("rep", F.lit(7)), F.col(n) + 1)
+        each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n)))
+        r = dealt.withColumnRenamed("leaf", "into").join(F.broadcast(pairs.drop("leaf").distinct()), "into").withColumn("rb", block("last_r"))
+        r = r.select(F.lit(0).alias("side"), "rep", "ids", "vec", F.lit(None).cast("double").alias("known"), "into", "rb", each("last_q").alias("qb"))
+        q = queries.join(F.broadcast(pairs), "leaf").withColumn("qb", block("last_q"))
+        q = q.select(F.lit(1).alias("side"), "rep", F.array().cast("array<bigint>").alias("ids"), "vec", "known", "into", each("last_r").alias("rb"), "qb")
+        return r.unionByName(q).groupBy("into", "rb", "qb").applyInArrow(search, T.StructType([T.StructField("rep", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", score_type)]))
 
     order = F.col("score").desc() if measure.largest else F.col("score").asc()
 
@@ -428,11 +432,11 @@ def block_search(vectors: DataFrame, every: int, k: int, measure: Products | Dis
     worst = placed.groupBy("leaf").agg(F.when(~open_, F.min("known") if measure.largest else F.max("known")).alias("worst"))
     leaves = [r for r in shape.join(worst, "leaf", "left").where("leaf >= 0").collect()]
     none = -np.inf if measure.largest else np.inf
-    pairs = [
-        (a.leaf, b.leaf, b.rows, a.queries)
-        for a in leaves if a.queries is not None for b in leaves
-        if a.leaf != b.leaf and measure.may_hold(chosen[a.leaf], a.queries_radius, chosen[b.leaf], b.rows_radius, none if a.worst is None else a.worst)
-    ]
+    into = {
+        b.leaf: [a for a in leaves if a.queries is not None and a.leaf != b.leaf and measure.may_hold(chosen[a.leaf], a.queries_radius, chosen[b.leaf], b.rows_radius, none if a.worst is None else a.worst)]
+        for b in leaves
+    }
+    pairs = [(a.leaf, b.leaf, b.rows, sum(x.queries for x in into[b.leaf])) for b in leaves for a in into[b.leaf]]
     found = first
     if pairs:
         found = best(first.drop("rn").unionByName(met(spark.createDataFrame(pairs, "leaf long, into long, rows long, queries long"), placed)))

@@ -6,8 +6,9 @@ last: all shingles of all texts are counted in ``SLOTS`` hashed slots, a table o
 keeps shingles that many texts hold out of the prefixes. A pair whose sizes and places leave no room for the overlap is
 passed over, as is one whose sketches differ too much, and the others are decided by their whole sets.
 
-A posting is first compared by stars (one text with the others); only texts that are still of different components after
-that are compared pair by pair. Postings travel as packed bytes, a row for each bucket of a batch.
+A posting is first compared by a star (one text with the others); texts that are still of different components after that
+are compared pair by pair by their sketches, inside the task that holds the posting, and only what these leave goes out as a
+pair. Postings travel as packed bytes, a row for each bucket of a batch.
 """
 
 from __future__ import annotations
@@ -25,8 +26,6 @@ BLOCK = 1 << 10
 #: Postings' entries of a task, about, and of a batch that is dealt at once.
 POSTING_ROWS = 400_000
 BATCH_ROWS = 1 << 20
-#: Rounds of stars before the rest is compared.
-STARS = 2
 #: Up to so many keys (a few bytes each) are sent to all tasks instead of dealing texts or members for them.
 FEW = 200_000
 #: Texts of one hub that a task compares; a hub of more goes to several tasks.
@@ -72,13 +71,15 @@ def prefix_size(n: int, similarity: float) -> int:
 
 
 def described(texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(key, fp, size, block, counts): of each text (key, text) the fingerprint and the prefix size; of each task its counts by block of slots."""
+    """(key, fp, size, sketch, block, counts): of each text (key, text) fingerprint, prefix size and sketch; of each task its counts by block of slots."""
     from .simhash import majority_bits
 
+    names = ["key", "fp", "size", "sketch", "block", "counts"]
+
     def run(batches):
         slots = np.zeros(SLOTS, dtype=np.uint32)
         for b in batches:
-            fps, sizes = [], []
+            fps, sizes, sketches = [], [], []
             for text in b.column(1).to_pylist():
                 s = shingles(text, words)
                 slots += np.bincount((s & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS).astype(np.uint32) if len(s) > SLOTS // 8 else 0
@@ -86,15 +87,16 @@ def described(texts: DataFrame, words: int, similarity: float) -> DataFrame:
                     np.add.at(slots, (s & np.uint64(SLOTS - 1)).astype(np.int64), 1)
                 fps.append(majority_bits(s))
                 sizes.append(prefix_size(len(s), similarity))
+                sketches.append(sketch(s))
             none = pa.nulls(b.num_rows)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], names=["key", "fp", "size", "block", "counts"]
+                [b.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], names=names
             )
         rows = [(k, _narrow(slots[k * BLOCK : (k + 1) * BLOCK])) for k in range(SLOTS // BLOCK) if slots[k * BLOCK : (k + 1) * BLOCK].any()]
         none = pa.nulls(len(rows), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["key", "fp", "size", "block", "counts"])
+        yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(rows), pa.binary()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=names)
 
-    return texts.select("key", "text").mapInArrow(run, "key long, fp long, size long, block int, counts binary")
+    return texts.select("key", "text").mapInArrow(run, "key long, fp long, size long, sketch binary, block int, counts binary")
 
 
 def _narrow(counts: np.ndarray) -> bytes:
@@ -188,42 +190,99 @@ def shared(dealt: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "shingle long, key long, n long, pos long")
 
 
-def _pairs(members: DataFrame, similarity: float, star: int | None) -> DataFrame:
-    """Distinct pairs (a, b) of different components in the postings (shingle, key, n, pos, root): one star a posting, or all."""
+def _sorted_postings(batches, columns: int) -> tuple[list, list[int]] | None:
+    """The columns of the batches by shingle and key, binary ones as lists, and where each posting begins and ends."""
+    rows = [b for b in batches if b.num_rows]
+    if not rows:
+        return None
+    numbers = [np.concatenate([b.column(k).to_numpy() for b in rows]) for k in range(columns)]
+    order = np.lexsort((numbers[1], numbers[0]))
+    rest = [[x for b in rows for x in b.column(k).to_pylist()] for k in range(columns, rows[0].num_columns)]
+    numbers, rest = [c[order] for c in numbers], [[c[i] for i in order] for c in rest]
+    cuts = [0, *(np.flatnonzero(np.diff(numbers[0])) + 1).tolist(), len(numbers[0])]
+    return [*numbers, *rest], cuts
+
+
+def _pair_batch(found: list[np.ndarray]) -> pa.RecordBatch:
+    both = np.unique(np.concatenate(found), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, k])) for k in (0, 1)], names=["a", "b"])
+
+
+def star_pairs(members: DataFrame, similarity: float) -> DataFrame:
+    """Distinct pairs (a, b) of the postings (shingle, key, n, pos): the least key of a posting with the others."""
+
+    def run(batches):
+        read = _sorted_postings(batches, 4)
+        if read is None:
+            return
+        (_, key, n, pos), cuts = read
+        found = []
+        for s, e in zip(cuts, cuts[1:], strict=False):
+            y = np.arange(s + 1, e)
+            y = y[_room(n[s], pos[s], n[y], pos[y], similarity)]
+            if len(y):
+                found.append(np.stack([np.full(len(y), key[s]), key[y]], axis=1))
+        if found:
+            yield _pair_batch(found)
+
+    return members.select("shingle", "key", "n", "pos").mapInArrow(run, "a long, b long").distinct()
+
+
+def open_postings(members: DataFrame) -> DataFrame:
+    """(shingle, key, n, pos, root): the entries of postings (with a root) that hold more than one component."""
 
     def run(batches):
-        rows = [b for b in batches if b.num_rows]
-        if not rows:
+        read = _sorted_postings(batches, 5)
+        if read is None:
             return
-        cols = [np.concatenate([b.column(k).to_numpy() for b in rows]) for k in range(5)]
-        order = np.lexsort((cols[1], cols[0]))
-        shingle, key, n, pos, root = (c[order] for c in cols)
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(shingle)) + 1, [len(shingle)]])
-        found: list[np.ndarray] = []
-        held = 0
-
-        def batch():
-            both = np.unique(np.concatenate(found), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1]))], names=["a", "b"])
-
-        for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            r = root[s:e]
-            if (r == r[0]).all():
-                continue
-            hubs = range(s, e) if star is None else [s if star == 0 else s + (int(shingle[s]) + star) % (e - s)]
-            for x in hubs:
-                y = np.arange(x + 1, e) if star is None else np.concatenate([np.arange(s, x), np.arange(x + 1, e)])
+        columns, cuts = read
+        starts = np.array(cuts[:-1])
+        apart = np.minimum.reduceat(columns[4], starts) != np.maximum.reduceat(columns[4], starts)
+        kept = np.repeat(apart, np.diff(cuts))
+        yield pa.RecordBatch.from_arrays([pa.array(c[kept]) for c in columns], names=["shingle", "key", "n", "pos", "root"])
+
+    return members.select("shingle", "key", "n", "pos", "root").mapInArrow(run, "shingle long, key long, n long, pos long, root long")
+
+
+def left_pairs(members: DataFrame, similarity: float) -> DataFrame:
+    """Distinct pairs (a, b) of different components in the postings (shingle, key, n, pos, root, sketch) that sizes, places and sketches leave."""
+
+    def run(batches):
+        read = _sorted_postings(batches, 5)
+        if read is None:
+            return
+        (_, key, n, pos, root, raw), cuts = read
+        # each text's sketch once, in its own length and folded to half of it, for neighbours of the next size
+        slot = {k: i for i, k in enumerate(dict.fromkeys(key.tolist()))}
+        words = [None] * len(slot)
+        for k, r in zip(key.tolist(), raw, strict=True):
+            if words[slot[k]] is None:
+                words[slot[k]] = np.frombuffer(r, dtype=np.uint64, offset=8)
+        at = np.array([slot[k] for k in key.tolist()])
+        width = np.array([len(w) for w in words])
+        found, held = [], 0
+        for s, e in zip(cuts, cuts[1:], strict=False):
+            for x in range(s, e - 1):
+                y = np.arange(x + 1, e)
                 y = y[(root[y] != root[x]) & _room(n[x], pos[x], n[y], pos[y], similarity)]
-                if len(y):
-                    found.append(np.stack([np.full(len(y), key[x]), key[y]], axis=1))
-                    held += len(y)
+                kept = []
+                for w in np.unique(width[at[y]]).tolist():
+                    own = y[width[at[y]] == w]
+                    size = min(w, int(width[at[x]]))
+                    rows = _folded(np.stack([words[i] for i in at[own]]), size)
+                    apart = np.bitwise_count(rows ^ _folded(words[at[x]][None, :], size)).sum(axis=1, dtype=np.int64)
+                    kept.append(own[(1 + similarity) * apart <= (1 - similarity) * (n[own] + n[x]) + 1e-9])
+                for own in kept:
+                    if len(own):
+                        found.append(np.stack([np.full(len(own), key[x]), key[own]], axis=1))
+                        held += len(own)
                 if held > BATCH_ROWS:
-                    yield batch()
+                    yield _pair_batch(found)
                     found, held = [], 0
         if found:
-            yield batch()
+            yield _pair_batch(found)
 
-    return members.select("shingle", "key", "n", "pos", "root").mapInArrow(run, "a long, b long").distinct()
+    return members.select("shingle", "key", "n", "pos", "root", "sketch").mapInArrow(run, "a long, b long").distinct()
 
 
 def few(keys: DataFrame, n: int | None = None) -> DataFrame:
@@ -241,15 +300,20 @@ def sketch(own: np.ndarray) -> bytes:
     return len(own).to_bytes(8, "little") + np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
+def _folded(sketches: np.ndarray, size: int) -> np.ndarray:
+    """Sketches, a row each, folded to fewer words: a bit of the result is the parity of all bits that fall on it."""
+    while sketches.shape[1] > size:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] ^ sketches[:, half:]
+    return sketches
+
+
 def may_be_similar(a: bytes, b: bytes, similarity: float) -> bool:
     """Whether sets of these sketches can be similar enough; never false for sets that are."""
     total = int.from_bytes(a[:8], "little") + int.from_bytes(b[:8], "little")
-    x, y = (np.frombuffer(s, dtype=np.uint64, offset=8) for s in (a, b))
-    while len(x) != len(y):
-        if len(x) < len(y):
-            x, y = y, x
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    return (1 + similarity) * int(np.bitwise_count(x ^ y).sum()) <= (1 - similarity) * total + 1e-9
+    x, y = (np.frombuffer(s, dtype=np.uint64, offset=8)[None, :] for s in (a, b))
+    size = min(x.shape[1], y.shape[1])
+    return (1 + similarity) * int(np.bitwise_count(_folded(x, size) ^ _folded(y, size)).sum()) <= (1 - similarity) * total + 1e-9
 
 
 def similar(a: bytes, b: bytes, similarity: float) -> bool:
@@ -259,8 +323,8 @@ def similar(a: bytes, b: bytes, similarity: float) -> bool:
     return (1 + similarity) * both >= similarity * (len(x) + len(y)) - 1e-9 and (len(x) > 0) == (len(y) > 0)
 
 
-def _passed(pairs: DataFrame, texts: DataFrame, words: int, made, test, scratch: Scratch) -> DataFrame:
-    """The written pairs (a, b) whose texts' shingles, made into bytes, pass a test.
+def _passed(pairs: DataFrame, values: DataFrame, made, test, scratch: Scratch) -> DataFrame:
+    """The written pairs (a, b) whose bytes, which ``made`` makes of the values (key, value), pass a test.
 
     Each ``b`` travels to its hub ``a``; a hub of many goes to several tasks, so that none of them gets more than some.
     """
@@ -272,7 +336,7 @@ def _passed(pairs: DataFrame, texts: DataFrame, words: int, made, test, scratch:
 
     def sets(batches):
         for b in batches:
-            raw = [made(shingles(t, words)) for t in b.column(3).to_pylist()]
+            raw = [made(v) for v in b.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(raw, pa.binary())], names=["key", "a", "way", "s"])
 
     def compare(batches):
@@ -287,51 +351,51 @@ def _passed(pairs: DataFrame, texts: DataFrame, words: int, made, test, scratch:
                     other.append(key)
             yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(other, pa.int64())], names=["a", "b"])
 
-    tasks = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // (2 * HUB_ROWS))
-    dealt = texts.join(few(wanted, n), "key").select("key", "a", "way", "text").mapInArrow(sets, "key long, a long, way long, s binary").repartition(tasks, "a", "way")
-    out = scratch.write(dealt.sortWithinPartitions("a", "way", F.col("key") != F.col("a")).mapInArrow(compare, "a long, b long"))
+    tasks = max(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // (2 * HUB_ROWS))
+    dealt = values.toDF("key", "value").join(few(wanted, n), "key").select("key", "a", "way", "value")
+    if made is not None:
+        dealt = dealt.mapInArrow(sets, "key long, a long, way long, value binary")
+    dealt = dealt.repartition(tasks, "a", "way").sortWithinPartitions("a", "way", F.col("key") != F.col("a"))
+    out = scratch.write(dealt.mapInArrow(compare, "a long, b long"))
     scratch.drop(wanted)
     return out
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float, scratch: Scratch) -> DataFrame:
-    """The links (src, dst) among pairs (a, b) whose whole sets are similar enough; two texts without words are.
-
-    Sketches go first: they are a small part of the sets and leave few pairs that aren't similar.
-    """
-    own = scratch.write(pairs)
-    left = _passed(own, texts, words, sketch, lambda a, b: may_be_similar(a, b, similarity), scratch)
-    scratch.drop(own)
-    links = _passed(left, texts, words, lambda s: s.tobytes(), lambda a, b: similar(a, b, similarity), scratch)
-    scratch.drop(left)
+    """The links (src, dst) among written pairs (a, b) whose whole sets are similar enough; two texts without words are."""
+    links = _passed(pairs, texts, lambda t: shingles(t, words).tobytes(), lambda a, b: similar(a, b, similarity), scratch)
     return links.select(F.col("b").alias("src"), F.col("a").alias("dst"))
 
 
 def similar_texts(texts: DataFrame, words: int, similarity: float, scratch: Scratch, max_bits: int, posting_rows: int) -> DataFrame:
     """(node, root) over the keys of distinct texts (key, text), for each text that is similar to another, directly or through others.
 
-    Texts that the fingerprint index brings together are verified first; the prefixes then complete the links, since texts
-    of similarity s may differ in more bits than an index over bytes can guarantee to find.
+    Texts that the fingerprint index brings together are verified first, with the stars of the prefixes; then the prefixes
+    complete the links, since texts of similarity s may differ in more bits than an index over bytes can guarantee to find.
     """
     from .simhash import components, fingerprint_links
 
     spark = texts.sparkSession
     rows = scratch.write(described(texts, words, similarity))
-    marked = rows.where("key IS NOT NULL")
+    marked = rows.where("key IS NOT NULL").select("key", "fp", "size", "sketch")
     entries = marked.groupBy("fp").agg(F.min("key").alias("least"))
     forest = fingerprint_links(entries, max_bits, posting_rows, scratch)
     least = lambda name: entries.select(F.col("fp").alias(name), F.col("least").alias(f"{name}_key"))
     across = forest.join(least("dst"), "dst").join(least("src"), "src").select(F.col("dst_key").alias("a"), F.col("src_key").alias("b"))
     inside = marked.join(entries, "fp").where("key <> least").select(F.col("least").alias("a"), F.col("key").alias("b"))
-    links = verified(across.union(inside), texts, words, similarity, scratch)
-    roots = components(links, scratch)
     counts = spark.sparkContext.broadcast(slot_counts(rows))
     total = marked.agg(F.sum("size")).first()[0] or 0
-    scratch.drop(rows)
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // POSTING_ROWS)
     members = scratch.write(shared(postings(texts, counts, words, similarity, tasks)))
-    for star in [*range(STARS), None] if not members.isEmpty() else []:
-        placed = members.join(few(roots.withColumnRenamed("node", "key")), "key", "left").withColumn("root", F.coalesce("root", "key"))
-        links = links.union(verified(_pairs(placed.repartition(tasks, "shingle"), similarity, star), texts, words, similarity, scratch))
-        roots = components(links, scratch)
-    return roots
+    near = scratch.write(across.union(inside).union(star_pairs(members.repartition(tasks, "shingle"), similarity)).distinct())
+    sketched = _passed(near, marked.select("key", "sketch"), None, lambda a, b: may_be_similar(a, b, similarity), scratch)
+    links = verified(sketched, texts, words, similarity, scratch)
+    roots = components(links, scratch)
+    placed = members.join(few(roots.withColumnRenamed("node", "key")), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    apart = scratch.write(open_postings(placed.repartition(tasks, "shingle")))
+    keys = scratch.write(apart.select("key").distinct())
+    own = scratch.write(marked.select("key", "sketch").join(few(keys), "key", "left_semi"))
+    left = scratch.write(left_pairs(apart.join(few(own), "key").repartition(tasks, "shingle"), similarity))
+    if left.isEmpty():
+        return roots
+    return components(links.union(verified(left, texts, words, similarity, scratch)), scratch)

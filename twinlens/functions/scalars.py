@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .values import OUTPUT_LIMIT, TOOL_DEBUG, TOOL_NAMES
+from .values import FORMATTERS, LINTERS, OUTPUT_LIMIT, TOOL_DEBUG, TOOL_NAMES
 
 
 def lookup(c: Column, table: dict[str, str]) -> Column:
@@ -22,6 +22,11 @@ def bound(c: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(c), use)[0]
 
 
+def strip(c: Column) -> Column:
+    """Without white space at either end, whatever white space it is."""
+    return F.regexp_replace(F.regexp_replace(c, r"(?U)^\s+", ""), r"(?U)\s+$", "")
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -63,7 +68,7 @@ def extension(path: Column) -> Column:
 
 def canonical_base(rule: Column) -> Column:
     """Kebab case of a rule's last name: inside a closing bracket, after the last slash."""
-    c = F.regexp_replace(F.trim(rule), r"^(?s).*\((.*)\)$", "$1")
+    c = F.regexp_replace(strip(rule), r"^(?s).*\((.*)\)$", "$1")
     c = F.regexp_replace(c, r"^(?s).*/", "")
     return kebab(c)
 
@@ -129,8 +134,8 @@ def truncated(text: Column, limit: int = OUTPUT_LIMIT) -> Column:
 def success_stderr(tool: Column, text: Column) -> Column:
     """A warning out of a successful tool's stderr: LF line ends, no blank lines around, named, truncated; null if blank."""
     unix = F.regexp_replace(text, "\r\n|\r", "\n")
-    body = F.regexp_replace(F.regexp_replace(unix, r"^(?:[^\S\n]*\n)+", ""), r"(?:\n[^\S\n]*)+$", "")
-    return F.when(F.trim(body) == "", None).otherwise(F.concat(lookup(tool, TOOL_NAMES), F.lit(" stderr:\n"), truncated(body)))
+    body = F.regexp_replace(F.regexp_replace(unix, r"(?U)^(?:[^\S\n]*\n)+", ""), r"(?U)(?:\n[^\S\n]*)+$", "")
+    return F.when(strip(body) == "", None).otherwise(F.concat(lookup(tool, TOOL_NAMES), F.lit(" stderr:\n"), truncated(body)))
 
 
 def shown_arguments(arguments: Column) -> Column:
@@ -138,6 +143,14 @@ def shown_arguments(arguments: Column) -> Column:
     return F.array_join(F.transform(arguments, lambda a: F.when(a.rlike(r"\s"), F.concat(F.lit('"'), a, F.lit('"'))).otherwise(a)), " ")
 
 
+def is_linter(tool: Column) -> Column:
+    return tool.isin(*LINTERS)
+
+
+def is_formatter(tool: Column) -> Column:
+    return tool.isin(*FORMATTERS)
+
+
 def has_version(version: Column, wanted: str) -> Column:
     """Whether a version text holds ``wanted`` as a token between white space or ``v``."""
     return F.coalesce(F.array_contains(F.split(version, r"[\sv]"), wanted), F.lit(False))

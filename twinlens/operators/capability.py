@@ -54,10 +54,10 @@ def plan(files: DataFrame, baseline: str, candidate: str, settings: dict[str, di
 
 
 def dispositions(planned: DataFrame, baseline: str, candidate: str) -> DataFrame:
-    """(list, path, side, tool, reason, source) of files that a side declares unsupported or skips, to be sorted by path, side, tool."""
+    """(list, path, side, tool, reason, source, tool_order) of files that a side declares unsupported or skips; reports sort them by path, side, tool_order."""
     side = lambda name, tool: F.struct(F.lit(name).alias("side"), F.lit(tool).alias("tool"), F.lit(TOOLS.index(tool)).alias("tool_order"), F.col(f"{name}.status").alias("list"), F.coalesce(f"{name}.reason", F.lit("unspecified")).alias("reason"), F.col(f"{name}.source").alias("source"))
     rows = planned.select("path", F.explode(F.array(side("baseline", baseline), side("candidate", candidate))).alias("x"))
-    return rows.where("x.list IN ('unsupported', 'skipped')").select("x.list", "path", "x.side", "x.tool", "x.reason", "x.source")
+    return rows.where("x.list IN ('unsupported', 'skipped')").select("x.list", "path", "x.side", "x.tool", "x.reason", "x.source", "x.tool_order")
 
 
 def counts(planned: DataFrame) -> DataFrame:

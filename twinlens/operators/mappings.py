@@ -8,9 +8,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.scalars import ascii_lower, canonical_rule, lookup
+from ..functions.scalars import ascii_lower, canonical_rule, lookup, strip
 from ..functions.values import CONFIDENCES, RULES, SPELLINGS, TOOLS
 
+#: The note of a mapping that comes from an alias.
+FROM_ALIAS = "from an alias"
 ALPHABET = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -65,6 +67,17 @@ class Mappings:
     def canonical(self, code: Column) -> Column:
         return canonical_rule(code, self.spellings)
 
+    def canonical_name(self, code: str) -> str:
+        """As ``canonical``, for one rule."""
+        base = canonical_base(code)
+        return self.spellings.get(base, base)
+
+    def knows(self, tool: str, code: str, other: str) -> bool:
+        """Whether ``endpoint_confidence`` has one for a rule."""
+        own = (TOOLS.index(tool), rule_key(code), TOOLS.index(other))
+        listed = any(own in ((t1, rule_key(c1), t2), (t2, rule_key(c2), t1)) for t1, c1, t2, c2, _ in self.table)
+        return listed or self.canonical_name(code) in RULES
+
     def explicit(self) -> dict[str, str]:
         """Confidence ordinal by ``tool:code|tool:code`` in both directions; the first in order wins."""
         out: dict[str, str] = {}
@@ -118,15 +131,17 @@ class Mappings:
         return own.count(0), own.count(1)
 
     def oriented(self, baseline: str, candidate: str) -> list[dict]:
-        """The mappings between two tools, turned to baseline and candidate, sorted."""
-        b, c, out = TOOLS.index(baseline), TOOLS.index(candidate), set()
-        for t1, c1, t2, c2, conf in self.table:
-            if (t1, t2) == (b, c):
-                out.add((c1, c2, CONFIDENCES[conf]))
-            elif (t2, t1) == (b, c):
-                out.add((c2, c1, CONFIDENCES[conf]))
-        return [{"baseline_tool": baseline, "baseline": x, "candidate_tool": candidate, "candidate": y, "confidence": z} for x, y, z in sorted(out)]
+        """The mappings between two tools as configured, turned to baseline and candidate, sorted, with their notes."""
+        rows = set()
+        for r in self.rules:
+            ends = {r["baseline_tool"]: r["baseline"], r["candidate_tool"]: r["candidate"]}
+            if set(ends) == {baseline, candidate}:
+                rows.add((ends[baseline], ends[candidate], CONFIDENCES.index(r.get("confidence", "exact")), r.get("notes") or ""))
+        for group in self.aliases:
+            if group.get(baseline) and group.get(candidate):
+                rows.add((group[baseline], group[candidate], 0, FROM_ALIAS))
+        return [{"baseline_tool": baseline, "baseline": x, "candidate_tool": candidate, "candidate": y, "confidence": CONFIDENCES[z]} | ({"notes": n} if n else {}) for x, y, z, n in sorted(rows)]
 
 
 def end_key(tool: Column, code: Column) -> Column:
-    return F.concat(tool, F.lit(":"), ascii_lower(F.trim(code)))
+    return F.concat(tool, F.lit(":"), ascii_lower(strip(code)))

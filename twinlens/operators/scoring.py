@@ -85,17 +85,35 @@ def mapping_summary(links: DataFrame, mappings: Mappings, baseline_tool: str, ca
     return c.withColumn("coverage", ratio(F.col("exact_mapped") + F.col("approximate_mapped"), F.col("observed_baseline") + F.col("observed_candidate")))
 
 
-def has_differences(links: DataFrame, profile: str = "comparable", count_probable: bool = False) -> DataFrame:
-    """One row, ``differs``: whether any link is a difference under a profile."""
+def is_difference(profile: str = "comparable", count_probable: bool = False) -> Column:
+    """Whether a link is a difference under a profile."""
     bad = F.col("bucket").isin("baseline_only", "candidate_only") | F.col("kind").isin("severity_changed", "range_changed", "message_changed")
     if profile == "raw":
         bad = bad | F.col("bucket").isin("unmapped_baseline", "unmapped_candidate")
     if not count_probable:
         bad = bad | (F.col("kind") == "probable_match")
-    return links.agg(F.coalesce(F.bool_or(F.coalesce(bad, F.lit(False))), F.lit(False)).alias("differs"))
+    return F.coalesce(bad, F.lit(False))
+
+
+def has_differences(links: DataFrame, profile: str = "comparable", count_probable: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
+    """``differs``: whether any link is a difference under a profile; one row, or one for each value of the columns ``by``."""
+    any_ = F.coalesce(F.bool_or(is_difference(profile, count_probable)), F.lit(False)).alias("differs")
+    return links.groupBy(*by).agg(any_) if by else links.agg(any_)
+
+
+def format_differs(summary: DataFrame) -> DataFrame:
+    """``differs``: whether a format summary counts any file that differs or isn't idempotent."""
+    return summary.select((F.col("different") + F.col("baseline_non_idempotent") + F.col("candidate_non_idempotent") + F.col("both_non_idempotent") > 0).alias("differs"))
 
 
 def outcome(differs: Column, unsupported: Column, policy: str) -> Column:
     """Exit code: 3 for unsupported files under ``error``, 1 for differences, or for them under ``difference``, else 0."""
     refused = F.when((unsupported > 0) & F.lit(policy == "error"), 3)
     return F.coalesce(refused, F.when(differs | ((unsupported > 0) & F.lit(policy == "difference")), 1), F.lit(0))
+
+
+def settled(differs: bool, unsupported: int, policy: str) -> int:
+    """As ``outcome``, for one comparison on the driver."""
+    if unsupported and policy == "error":
+        return 3
+    return 1 if differs or (unsupported and policy == "difference") else 0

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import matching, report, scoring
+from ..operators import matching, reduction, report, scoring
 from ..operators.mappings import Mappings
 from ..sources import reports
 from . import demo
@@ -140,28 +140,52 @@ def j1_line_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("w1_order", f"WITH {demo.EVENT_SQL} SELECT 'baseline' AS side, path, n AS place, tie FROM b UNION ALL SELECT 'candidate', path, n, tie FROM c")
 def w1_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The place of each diagnostic in its file's order."""
-    from pyspark.sql import Window
-
     d = matching.with_identity(demo.event_diagnostics(spark, sf_dir), demo.MAPPINGS).withColumn("key", matching.sort_key())
     place = F.row_number().over(Window.partitionBy("side", "path").orderBy("key"))
     return d.select("side", "path", place.cast("long").alias("place"), "tie")
 
 
-SECTIONS = ("baseline_only", "candidate_only", "unmapped_baseline", "unmapped_candidate")
+CATEGORY_SQL = "CASE WHEN bucket = 'match' THEN kind WHEN bucket LIKE 'unmapped%' THEN bucket || '_only' ELSE bucket END"
+SIDE_SQL = "CASE WHEN bucket = 'match' THEN 'both' WHEN bucket LIKE '%_only' THEN left(bucket, length(bucket) - 5) ELSE bucket END"
 
 
 @query(
     "u1_signatures",
-    f"""{demo.LINK_SQL} SELECT CASE WHEN bucket = 'match' THEN 'both' ELSE bucket END AS side, CASE WHEN bucket = 'match' THEN kind WHEN bucket = 'unmapped_baseline' THEN 'unmapped_baseline_only' WHEN bucket = 'unmapped_candidate' THEN 'unmapped_candidate_only' ELSE bucket END AS category,
-        coalesce(b_code, c_code) AS code, count(*) AS n FROM links WHERE kind IS NULL OR kind <> 'exact_match' GROUP BY ALL""",
+    f"""{demo.LINK_SQL}, n AS (SELECT *, canonical FROM links LEFT JOIN (SELECT DISTINCT code, canonical FROM diag) d ON d.code = coalesce(b_code, c_code) WHERE kind IS NULL OR kind <> 'exact_match')
+        SELECT {SIDE_SQL} AS side, {CATEGORY_SQL} AS category, canonical AS code, count(*) AS n FROM n GROUP BY ALL""",
 )
 def u1_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mismatch signatures, positions left out, with how often each occurs."""
-    x = event_links(spark, sf_dir).where("kind IS NULL OR kind <> 'exact_match'")
-    bucket = F.col("bucket")
-    category = F.when(bucket == "match", F.col("kind")).when(bucket.startswith("unmapped"), F.concat(bucket, F.lit("_only"))).otherwise(bucket)
-    x = x.select(F.when(bucket == "match", "both").otherwise(bucket).alias("side"), category.alias("category"), F.coalesce("b.code", "c.code").alias("code"))
-    return x.groupBy("side", "category", "code").agg(F.count("*").alias("n"))
+    """Mismatch signatures, positions left out, with how often each occurs."""
+    return reduction.mismatches(event_links(spark, sf_dir)).groupBy("side", "category", "code").agg(F.count("*").alias("n"))
+
+
+@query(
+    "r4_lint_signatures",
+    f"""{demo.LINK_SQL}, x AS (SELECT l.path, l.bucket, l.kind, b.canonical AS bcode, b.message AS bm, b.severity AS bs, c.canonical AS ccode, c.message AS cm, c.severity AS cs
+            FROM links l LEFT JOIN b ON b.tie = l.b_tie LEFT JOIN c ON c.tie = l.c_tie WHERE l.kind IS NULL OR l.kind <> 'exact_match')
+        SELECT path, {SIDE_SQL} AS side, {CATEGORY_SQL} AS category, coalesce(bcode, ccode) AS code, bm AS baseline_message, bs AS baseline_severity, cm AS candidate_message, cs AS candidate_severity, count(*) AS n FROM x GROUP BY ALL""",
+)
+def r4_lint_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The signatures that a reduction of each file chooses from."""
+    x = reduction.mismatches(event_links(spark, sf_dir)).select(
+        "path", "side", "category", "code", F.col("baseline.message").alias("baseline_message"), F.col("baseline.severity").alias("baseline_severity"),
+        F.col("candidate.message").alias("candidate_message"), F.col("candidate.severity").alias("candidate_severity"),
+    )
+    return x.groupBy(*x.columns).agg(F.count("*").alias("n"))
+
+
+@query(
+    "w2_report_order",
+    f"""{demo.LINK_SQL}, x AS (SELECT l.bucket, l.path, l.kind, l.b_tie, l.c_tie, coalesce(b.line, c.line) AS line, coalesce(b.col, c.col) AS col, coalesce(b.code, c.code) AS code, coalesce(b.message, c.message) AS message,
+            coalesce(b.fingerprint, c.fingerprint) AS fingerprint, coalesce(b.tie, c.tie) AS tie FROM links l LEFT JOIN b ON b.tie = l.b_tie LEFT JOIN c ON c.tie = l.c_tie)
+        SELECT bucket, path, b_tie, c_tie, row_number() OVER (PARTITION BY bucket, path ORDER BY line, col,
+            CASE kind WHEN 'exact_match' THEN 0 WHEN 'approximate_rule_match' THEN 1 WHEN 'severity_changed' THEN 3 WHEN 'range_changed' THEN 4 WHEN 'message_changed' THEN 5 END,
+            CASE WHEN bucket <> 'match' THEN code END, CASE WHEN bucket <> 'match' THEN message END, fingerprint, tie) AS place FROM x""",
+)
+def w2_report_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of each link in its file's part of a report section."""
+    place = F.row_number().over(Window.partitionBy("bucket", "path").orderBy(*report.link_order()))
+    return event_links(spark, sf_dir).select("bucket", "path", F.col("b.tie").alias("b_tie"), F.col("c.tie").alias("c_tie"), place.cast("long").alias("place"))
 
 
 @query(
@@ -171,7 +195,7 @@ def u1_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def l1_first_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 20 baseline residuals in order."""
-    return event_links(spark, sf_dir).where("bucket = 'baseline_only'").orderBy("path", "b.key").limit(20).select("path", F.col("b.tie").alias("tie"))
+    return event_links(spark, sf_dir).where("bucket = 'baseline_only'").orderBy(*report.link_order()).limit(report.SHOWN).select("path", F.col("b.tie").alias("tie"))
 
 
 @query(
@@ -180,7 +204,7 @@ def l1_first_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def l2_nth_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L2: the mismatch at an offset."""
-    return event_links(spark, sf_dir).where("bucket = 'baseline_only'").orderBy("path", "b.key").offset(7).limit(1).select("path", F.col("b.tie").alias("tie"))
+    return reduction.nth_mismatch(event_links(spark, sf_dir), "baseline_only", 7).select("path", F.col("b.tie").alias("tie"))
 
 
 @query(
@@ -192,8 +216,8 @@ def l2_nth_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether each file differs under either profile, and the exit code."""
     x = event_links(spark, sf_dir)
-    changed = F.coalesce(F.col("kind").isin("severity_changed", "range_changed", "message_changed"), F.lit(False))
-    d = x.groupBy("path").agg(F.bool_or(F.col("bucket").isin("baseline_only", "candidate_only") | changed).alias("comparable"), F.bool_or((F.col("bucket") != "match") | changed).alias("raw"))
+    d = scoring.has_differences(x, "comparable", by=("path",)).withColumnRenamed("differs", "comparable")
+    d = d.join(scoring.has_differences(x, "raw", by=("path",)).withColumnRenamed("differs", "raw"), "path")
     return d.withColumn("exit_code", scoring.outcome(F.col("comparable"), F.lit(0), "difference"))
 
 
@@ -203,9 +227,9 @@ ORIENTED = Mappings(
 )
 
 
-@query("j9_oriented_mappings", "SELECT * FROM (VALUES ('eslint', 'a-rule', 'biome', 'lint/a', 'approximate'), ('eslint', 'no-x', 'biome', 'lint/noX', 'exact')) t(baseline_tool, baseline, candidate_tool, candidate, confidence)")
+@query("j9_oriented_mappings", "SELECT * FROM (VALUES ('eslint', 'a-rule', 'biome', 'lint/a', 'approximate', NULL), ('eslint', 'no-x', 'biome', 'lint/noX', 'exact', 'from an alias')) t(baseline_tool, baseline, candidate_tool, candidate, confidence, notes)")
 def j9_oriented_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(ORIENTED.oriented("eslint", "biome"), "baseline_tool string, baseline string, candidate_tool string, candidate string, confidence string")
+    return spark.createDataFrame(ORIENTED.oriented("eslint", "biome"), "baseline_tool string, baseline string, candidate_tool string, candidate string, confidence string, notes string")
 
 
 @query("a10_configured_counts", "SELECT * FROM (VALUES ('eslint', 'biome', CAST(1 AS BIGINT), CAST(1 AS BIGINT)), ('eslint', 'oxlint', 1, 0), ('biome', 'oxlint', 1, 0)) t(baseline_tool, candidate_tool, exact, approximate)")
@@ -250,7 +274,95 @@ def s3_labelled_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _diagnostics(reports.walked_reports(spark.createDataFrame([(0, LABELLED)], "report_id long, json string"), demo.ROOT, "oxlint", sources))
 
 
-@query("k1_report_documents")
+def diagnostic_sql(x: str, tool: str) -> str:
+    """A diagnostic as JSON."""
+    text = lambda name, column: f"""',"{name}":"' || {x}.{column} || '"'"""
+    members = " || ".join([text("path", "path"), text("code", "code"), text("canonicalCode", "canonical"), text("severity", "severity"), text("message", "message")])
+    span = f"""',"span":' || '{{"startLine":' || {x}.line || ',"startColumn":' || {x}.col || '}}'"""
+    return f"""'{{"tool":"{tool}"' || {members} || {span} || {text("fingerprint", "fingerprint")} || '}}'"""
+
+
+_B, _C = diagnostic_sql("b", "eslint"), diagnostic_sql("c", "biome")
+
+
+@query(
+    "k1_report_documents",
+    f"""{demo.LINK_SQL} SELECT CASE bucket WHEN 'match' THEN 'matches' WHEN 'baseline_only' THEN 'baselineOnly' WHEN 'candidate_only' THEN 'candidateOnly' WHEN 'unmapped_baseline' THEN 'unmappedBaseline' ELSE 'unmappedCandidate' END AS section, l.path,
+            CASE WHEN bucket = 'match' THEN '{{"kind":"' || l.kind || '","mappingConfidence":"' || CASE l.confidence WHEN 0 THEN 'exact' ELSE 'approximate' END || '","baseline":' || {_B} || ',"candidate":' || {_C} || '}}'
+            WHEN l.b_tie IS NOT NULL THEN {_B} ELSE {_C} END AS json FROM links l LEFT JOIN b ON b.tie = l.b_tie LEFT JOIN c ON c.tie = l.c_tie""",
+)
 def k1_report_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K1, K8: the report's links as JSON documents by section."""
     return report.link_documents(event_links(spark, sf_dir))
+
+
+@query("k8_lint_report", f"""WITH {demo.EVENT_SQL} SELECT 'baseline' AS side, {_B} AS json FROM b UNION ALL SELECT 'candidate', {_C} FROM c""")
+def k8_lint_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K8: the diagnostics of both tools' runs, as a lint report holds them."""
+    links = event_links(spark, sf_dir)
+    return report.diagnostic_documents(links, "b").select(F.lit("baseline").alias("side"), "json").union(report.diagnostic_documents(links, "c").select(F.lit("candidate"), "json"))
+
+
+#: A report for each user out of the events, in each dialect.
+REPORT_SQL = """
+    e AS (SELECT *, user_id AS report_id, 'src/u' || user_id || '.ts' AS path, CASE WHEN value < 3 THEN 0 WHEN value < 60 THEN 1 ELSE 2 END AS level, CAST(day(ts) AS BIGINT) AS line, CAST(hour(ts) + 1 AS BIGINT) AS col,
+        row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS n FROM events)"""
+_LEVEL = "CASE level WHEN 0 THEN 'info' WHEN 1 THEN 'warning' ELSE 'error' END"
+
+
+def report_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = demo.table(spark, sf_dir, "events")
+    return e.select(
+        "event_id", F.col("user_id").cast("long").alias("report_id"), F.concat(F.lit("/project/src/u"), "user_id", F.lit(".ts")).alias("path"), "event_type",
+        F.when(F.col("value") < 3, 0).when(F.col("value") < 60, 1).otherwise(2).alias("level"), F.dayofmonth("ts").alias("line"), (F.hour("ts") + 1).alias("col"),
+    )
+
+
+def gathered(events: DataFrame, member) -> DataFrame:
+    """(report_id, members): the members of each report, by event."""
+    return events.groupBy("report_id", "path").agg(F.array_sort(F.collect_list(F.struct("event_id", member.alias("m")))).alias("ms")).select("report_id", "path", F.transform("ms", lambda x: x.m).alias("members"))
+
+
+def scanned(df: DataFrame) -> DataFrame:
+    return df.select("report_id", "tie", "path", "code", "severity", "message", "start_line", "start_column", "end_line", "end_column")
+
+
+@query("s1_event_reports", f"""WITH {REPORT_SQL} SELECT CAST(report_id AS BIGINT) AS report_id, CAST(n AS BIGINT) AS tie, path, CASE WHEN event_id % 7 <> 0 THEN event_type END AS code, {_LEVEL} AS severity, 'm' || event_id AS message, line AS start_line, col AS start_column,
+    CASE WHEN event_id % 2 = 0 THEN line + 1 END AS end_line, CAST(NULL AS BIGINT) AS end_column, CASE WHEN event_id % 3 = 0 THEN CAST(event_id AS BIGINT) END AS fix_start, CASE WHEN event_id % 3 = 0 THEN 'x' || event_id END AS fix_text FROM e""")
+def s1_event_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report for each user, through VARIANT, with fixes."""
+    k = F.col("event_id")
+    fix = F.when(k % 3 == 0, F.struct(F.array(k, k + 2).alias("range"), F.concat(F.lit("x"), k).alias("text")))
+    one = F.struct(F.when(k % 7 != 0, F.col("event_type")).alias("ruleId"), F.col("level").alias("severity"), F.concat(F.lit("m"), k).alias("message"), F.col("line"), F.col("col").alias("column"), F.when(k % 2 == 0, F.col("line") + 1).alias("endLine"), fix.alias("fix"))
+    texts = gathered(report_events(spark, sf_dir), one).select("report_id", F.to_json(F.array(F.struct(F.col("path").alias("filePath"), F.col("members").alias("messages")))).alias("json"))
+    found = reports.flat_reports(texts, demo.ROOT)
+    return found.select("report_id", "tie", "path", "code", "severity", "message", "start_line", "start_column", "end_line", "end_column", F.col("fix.start").alias("fix_start"), F.col("fix.replacement").alias("fix_text"))
+
+
+@query("s2_event_reports", f"""WITH {REPORT_SQL} SELECT CAST(report_id AS BIGINT) AS report_id, CAST(n AS BIGINT) AS tie, path, 'lint/' || event_type AS code, {_LEVEL} AS severity, 'm' || event_id AS message, line AS start_line, col AS start_column,
+    CASE WHEN event_id % 2 = 0 THEN line END AS end_line, CASE WHEN event_id % 2 = 0 THEN col + 3 END AS end_column FROM e""")
+def s2_event_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report for each user whose entries name their place in two ways."""
+    k = F.col("event_id")
+    start = F.struct(F.col("line"), F.col("col").alias("column"))
+    end = F.when(k % 2 == 0, F.struct(F.col("line"), (F.col("col") + 3).alias("column")))
+    level = F.element_at(F.array(F.lit("info"), F.lit("warning"), F.lit("error")), F.col("level") + 1)
+    place = F.struct(F.struct(F.col("path").alias("file")).alias("path"), F.when(k % 3 == 0, start).alias("start"), F.when(k % 3 == 0, end).alias("end"), F.when(k % 3 != 0, F.struct(start.alias("start"), end.alias("end"))).alias("range"))
+    one = F.struct(F.concat(F.lit("lint/"), "event_type").alias("category"), level.alias("severity"), F.concat(F.lit("m"), k).alias("description"), place.alias("location"))
+    texts = gathered(report_events(spark, sf_dir), one).select("report_id", F.to_json(F.struct(F.col("members").alias("diagnostics"))).alias("json"))
+    return scanned(reports.walked_reports(texts, demo.ROOT, "biome"))
+
+
+@query("s3_event_reports", f"""WITH {REPORT_SQL}, s AS (SELECT e.*, CAST(event_id % 90 AS BIGINT) AS off, repeat('é' || chr(10) || 'ab' || chr(10), 12) AS body FROM e)
+    SELECT CAST(report_id AS BIGINT) AS report_id, CAST(n AS BIGINT) AS tie, path, event_type AS code, {_LEVEL} AS severity, 'm' || event_id AS message,
+        least(off, 72) // 6 * 2 + CASE WHEN least(off, 72) % 6 < 3 THEN 1 ELSE 2 END AS start_line, least(off, 72) % 3 + 1 AS start_column,
+        least(off + 2, 72) // 6 * 2 + CASE WHEN least(off + 2, 72) % 6 < 3 THEN 1 ELSE 2 END AS end_line, least(off + 2, 72) % 3 + 1 AS end_column FROM s""")
+def s3_event_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report for each user whose labels hold byte offsets into sources of their own."""
+    k = F.col("event_id")
+    level = F.element_at(F.array(F.lit("info"), F.lit("warning"), F.lit("error")), F.col("level") + 1)
+    one = F.struct(F.col("path").alias("filename"), F.col("event_type").alias("code"), level.alias("severity"), F.concat(F.lit("m"), k).alias("message"), F.array(F.struct(F.struct((k % 90).alias("offset"), F.lit(2).alias("length")).alias("span"))).alias("labels"))
+    events = report_events(spark, sf_dir)
+    texts = gathered(events, one).select("report_id", F.to_json(F.struct(F.col("members").alias("diagnostics"))).alias("json"))
+    sources = events.select(F.concat(F.lit("src/u"), "report_id", F.lit(".ts")).alias("path"), F.repeat(F.lit("é\nab\n"), 12).alias("text")).distinct()
+    return scanned(reports.walked_reports(texts, demo.ROOT, "oxlint", sources))

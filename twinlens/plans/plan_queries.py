@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.globs import matches_any
-from ..operators import capability, formatting, reduction
-from ..sources.files import keep_files
+from ..functions.text import success_warning
+from ..functions.values import POLICIES
+from ..operators import capability, formatting, reduction, report, scoring
+from ..sources.files import ignore_rules, ignored_by, keep_files
 from . import demo
 from .register import query
 
@@ -72,7 +74,45 @@ def p3_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT c_status, path, 'candidate', 'oxfmt', coalesce(c_reason, 'unspecified'), c_source FROM planned WHERE c_status IN ('unsupported', 'skipped')""")
 def p5_dispositions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unsupported and skipped files by side."""
-    return capability.dispositions(planned(spark, sf_dir), "biome", "oxfmt")
+    return capability.dispositions(planned(spark, sf_dir), "biome", "oxfmt").drop("tool_order")
+
+
+@query("w3_first_dispositions", f"""WITH {FILES_SQL}, {CLASS_SQL}, d AS (SELECT b_status AS list, path, 'baseline' AS side FROM planned UNION ALL SELECT c_status, path, 'candidate' FROM planned),
+    r AS (SELECT list, path, side, row_number() OVER (PARTITION BY list ORDER BY path, side) AS place FROM d WHERE list IN ('unsupported', 'skipped')) SELECT * FROM r WHERE place <= 20""")
+def w3_first_dispositions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dispositions that a text report shows, in their order: the first of each list by path and side."""
+    d = capability.dispositions(planned(spark, sf_dir), "biome", "oxfmt")
+    place = F.row_number().over(Window.partitionBy("list").orderBy("path", "side", "tool_order"))
+    return d.select("list", "path", "side", place.cast("long").alias("place")).where(F.col("place") <= report.SHOWN)
+
+
+@query("s4_named_files", rf"""WITH {FILES_SQL} SELECT DISTINCT path FROM files WHERE path LIKE '%.js' AND NOT path LIKE 'app/%' AND (NOT path LIKE 'node_modules/%' OR path IN ('node_modules/f13.js', 'node_modules/f26.js'))""")
+def s4_named_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that are asked for by name come out of ignored folders, too."""
+    return keep_files(files(spark, sf_dir), demo.ROOT, ["**/*.js"], [], (), ("node_modules/f13.js", "node_modules/f26.js")).where(~F.col("path").startswith("app/"))
+
+
+IGNORES = [(".gitignore", "# comment\n\n*.tsx\n!/src3/*.tsx\nsrc1/\nf?1.css\n"), ("src2/.gitignore", "/f[0-4]*\n**/f5*.md\n"), ("src2/.ignore", "!f44*\n")]
+
+
+@query("s4_ignore_files", rf"""WITH {FILES_SQL} SELECT DISTINCT path FROM files WHERE NOT path LIKE 'src1/%'
+    AND NOT (path LIKE '%.tsx' AND NOT (path LIKE 'src3/%' OR path LIKE 'src2/f44%')) AND NOT regexp_matches(path, '(^|/)f[^/]1\.css$')
+    AND NOT ((path LIKE 'src2/f0%' OR path LIKE 'src2/f1%' OR path LIKE 'src2/f2%' OR path LIKE 'src2/f3%' OR path LIKE 'src2/f4%') AND NOT path LIKE 'src2/f44%') AND NOT (path LIKE 'src2/f5%.md')""")
+def s4_ignore_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What ignore files leave, with negated, folder-only, anchored and nested rules."""
+    rows = files(spark, sf_dir).select("path").distinct()
+    return rows.where(~ignored_by(F.col("path"), ignore_rules(IGNORES)))
+
+
+@query("p9_outcomes", f"""WITH {FILES_SQL}, {CLASS_SQL}, g AS (SELECT split_part(path, '/', 1) AS folder, count(*) FILTER (b_status = 'unsupported' OR c_status = 'unsupported') AS unsupported, bool_or(c_status = 'unknown') AS differs FROM planned GROUP BY ALL)
+    SELECT folder, p.policy, CASE WHEN policy = 'error' AND unsupported > 0 THEN 3 WHEN differs OR (policy = 'difference' AND unsupported > 0) THEN 1 ELSE 0 END AS code FROM g, (VALUES ('ignore'), ('difference'), ('error')) p(policy)""")
+def p9_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exit code of each folder's comparison under the three policies, where an unknown file counts as a difference."""
+    own = planned(spark, sf_dir).withColumn("folder", F.substring_index("path", "/", 1))
+    unsupported = (F.col("baseline.status") == "unsupported") | (F.col("candidate.status") == "unsupported")
+    g = own.groupBy("folder").agg(F.count_if(unsupported).alias("unsupported"), F.bool_or(F.col("candidate.status") == "unknown").alias("differs"))
+    codes = F.array(*(F.struct(F.lit(p).alias("policy"), scoring.outcome(F.col("differs"), F.col("unsupported"), p).cast("int").alias("code")) for p in POLICIES))
+    return g.select("folder", F.explode(codes).alias("x")).select("folder", "x.policy", "x.code")
 
 
 @query("a11_plan_counts", f"""WITH {FILES_SQL}, {CLASS_SQL} SELECT count(*) AS discovered, count(*) FILTER (b_status IN ('supported', 'unknown') AND c_status IN ('supported', 'unknown')) AS comparable,
@@ -144,18 +184,116 @@ def a13_format_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formatting.failures(compared(spark, sf_dir, "collapse", "pairs"), "biome", "oxfmt")
 
 
+def failing_tool(path: str, data: bytes) -> dict:
+    """A stand-in for a formatter that fails on texts with a mark, breaks off on others, and warns of some."""
+    text = data.decode()
+    if "@" in text:
+        return {"status": "failed", "tool": "biome", "arguments": ["format", path], "exit_code": 2, "error": "formatting ended with exit code 2", "output": "partial", "stderr": f"no parser for {path}", "warnings": []}
+    if "%%" in text:
+        raise ValueError("two signs")
+    told = [w for w in (success_warning("biome", f"\r\n {len(text)} characters \n") if "!" in text else None,) if w]
+    return {"status": "success", "tool": "biome", "arguments": ["format", path], "exit_code": 0, "output": text, "idempotent": True, "warnings": told}
+
+
+def plain_tool(path: str, data: bytes) -> dict:
+    """A stand-in for a formatter that doesn't support lock files and otherwise leaves texts as they are, but for one mark."""
+    if path.endswith("7"):
+        return {"status": "unsupported", "tool": "oxfmt", "exit_code": 1, "reason": "not this file", "warnings": []}
+    return {"status": "success", "tool": "oxfmt", "exit_code": 0, "output": data.decode().replace("#", ""), "idempotent": True, "warnings": []}
+
+
+TOOL_SQL = """ran AS (SELECT CAST(doc_id AS VARCHAR) AS path, text, text LIKE '%@%' AS failed, text NOT LIKE '%@%' AND contains(text, '%%') AS broke, doc_id % 10 = 7 AS refused, text LIKE '%#%' AS marked FROM documents),
+    results AS (SELECT *, CASE WHEN failed OR broke THEN 'failed' WHEN refused THEN 'unsupported' WHEN marked THEN 'different' ELSE 'identical' END AS status FROM ran)"""
+
+
+def ran(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents through the two stand-ins."""
+    t = demo.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.encode("text", "UTF-8").alias("content"))
+    return formatting.judged(formatting.run_tools(t, failing_tool, plain_tool))
+
+
+@query("t5_failed", f"""WITH {TOOL_SQL} SELECT path, status, CASE WHEN failed OR broke THEN 'failed' ELSE 'success' END AS b_status, CASE WHEN failed THEN 2 WHEN NOT broke THEN 0 END AS b_code,
+    CASE WHEN failed THEN 'formatting ended with exit code 2' WHEN broke THEN 'the run broke off: two signs' END AS b_error, CASE WHEN failed THEN 'no parser for ' || path END AS b_stderr, CASE WHEN refused THEN 'unsupported' ELSE 'success' END AS c_status, CASE WHEN refused THEN 'not this file' END AS c_reason FROM results""")
+def t5_failed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T5: outcomes of external tools, of which one fails, breaks off or refuses some files."""
+    b, c = F.col("baseline"), F.col("candidate")
+    return ran(spark, sf_dir).select("path", "status", b.status.alias("b_status"), b.exit_code.alias("b_code"), b.error.alias("b_error"), b.stderr.alias("b_stderr"), c.status.alias("c_status"), c.reason.alias("c_reason"))
+
+
+@query("t5_failure_details", f"""WITH {TOOL_SQL} SELECT path, 'baseline' AS side, path || ' baseline Biome: ' || CASE WHEN failed THEN 'formatting ended with exit code 2' || chr(10) || 'stdout: partial' || chr(10) || 'stderr: no parser for ' || path ELSE 'the run broke off: two signs' END AS detail
+    FROM results WHERE status = 'failed'""")
+def t5_failure_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The failures of a report, with what the tool wrote."""
+    return formatting.failures(ran(spark, sf_dir), "biome", "oxfmt")
+
+
+@query("t6_warnings", f"""WITH {TOOL_SQL} SELECT path, 'baseline' AS side, 'Biome stderr:' || chr(10) || ' ' || length(text) || ' characters ' AS warning FROM results WHERE NOT failed AND NOT broke AND text LIKE '%!%'""")
+def t6_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What successful runs wrote to stderr, each once."""
+    return formatting.warnings(ran(spark, sf_dir))
+
+
+#: A text for each file: that of the least document of its path.
+PLANNED_TEXT_SQL = """texts AS (SELECT path, arg_min(text, f.doc_id) AS text FROM files f JOIN documents d ON d.doc_id = f.doc_id GROUP BY path)"""
+
+
+def planned_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = files(spark, sf_dir).join(demo.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return t.groupBy("path").agg(F.min_by("text", "doc_id").alias("text"))
+
+
+@query("t4_planned", f"""WITH {FILES_SQL}, {CLASS_SQL}, {PLANNED_TEXT_SQL} SELECT path, CASE WHEN b_status = 'unsupported' OR c_status = 'unsupported' THEN 'unsupported' WHEN b_status = 'skipped' OR c_status = 'skipped' THEN 'skipped'
+        WHEN {SQL_FORMATTERS["collapse"].replace("{x}", "text")} = text THEN 'identical' ELSE 'different' END AS status,
+        CASE WHEN b_status IN ('unsupported', 'skipped') THEN b_status ELSE 'success' END AS b_status, CASE WHEN c_status IN ('unsupported', 'skipped') THEN c_status ELSE 'success' END AS c_status FROM planned JOIN texts USING (path)""")
+def t4_planned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T4: the plan's status of a side stands for its run."""
+    t = planned_texts(spark, sf_dir).join(planned(spark, sf_dir).select("path", F.col("baseline.status").alias("bp"), F.col("candidate.status").alias("cp")), "path")
+    out = formatting.compare(t, FORMATTERS["collapse"], FORMATTERS["same"], planned=(F.col("bp"), F.col("cp")), tools=("biome", "oxfmt"))
+    return out.select("path", "status", F.col("baseline.status").alias("b_status"), F.col("candidate.status").alias("c_status"))
+
+
+_LEFT_OUT = f"'{formatting.LEFT_OUT.replace(chr(39), chr(39) * 2)}'"
+
+
+@query("u2_all_results", f"""WITH {FILES_SQL}, {CLASS_SQL}, {PLANNED_TEXT_SQL}, x AS (SELECT *, b_status IN ('supported', 'unknown') AS b_ok, c_status IN ('supported', 'unknown') AS c_ok FROM planned JOIN texts USING (path))
+    SELECT path, CASE WHEN b_status = 'unsupported' OR c_status = 'unsupported' THEN 'unsupported' WHEN NOT b_ok OR NOT c_ok THEN 'skipped' WHEN {SQL_FORMATTERS["collapse"].replace("{x}", "text")} = text THEN 'identical' ELSE 'different' END AS status,
+        CASE WHEN b_ok AND c_ok THEN 'success' WHEN b_status = 'unsupported' THEN 'unsupported' ELSE 'skipped' END AS b_status, CASE WHEN NOT b_ok THEN b_reason WHEN NOT c_ok THEN {_LEFT_OUT} END AS b_reason,
+        CASE WHEN b_ok AND c_ok THEN 'success' WHEN c_status = 'unsupported' THEN 'unsupported' ELSE 'skipped' END AS c_status, CASE WHEN NOT c_ok THEN c_reason WHEN NOT b_ok THEN {_LEFT_OUT} END AS c_reason FROM x""")
+def u2_all_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compared files and files that only the plan knows, together."""
+    own = planned(spark, sf_dir)
+    ready = planned_texts(spark, sf_dir).join(own.where("comparable").select("path"), "path", "left_semi")
+    done = formatting.compare(ready, FORMATTERS["collapse"], FORMATTERS["same"], diffs=True, tools=("biome", "oxfmt"))
+    out = done.unionByName(formatting.planned_results(own, "biome", "oxfmt"))
+    return out.select("path", "status", F.col("baseline.status").alias("b_status"), F.col("baseline.reason").alias("b_reason"), F.col("candidate.status").alias("c_status"), F.col("candidate.reason").alias("c_reason"))
+
+
+@query("k8_format_report", f"""WITH {format_sql("documents", "doc_id", "text", "collapse", "pairs")},
+    o AS (SELECT * FROM results JOIN twice USING (path))
+    SELECT path, '{{"path":' || path || ',"status":"' || status || '","baseline":{{"status":"' || CASE WHEN status = 'failed' THEN 'failed","tool":"biome","arguments":[],"exitCode":2,"error":"exit code 2"}}' ELSE 'success","tool":"biome","arguments":[],"exitCode":0,"idempotent":' || (NOT bl) || ',"output":' || CAST(to_json(b1) AS VARCHAR) || '}}' END
+        || ',"candidate":{{"status":"' || CASE WHEN status = 'failed' THEN 'failed","tool":"oxfmt","arguments":[],"exitCode":2,"error":"exit code 2"}}' ELSE 'success","tool":"oxfmt","arguments":[],"exitCode":0,"idempotent":' || (NOT cl) || ',"output":' || CAST(to_json(c1) AS VARCHAR) || '}}' END || '}}' AS json FROM o""")
+def k8_format_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K8: every file's result as a format report holds it, without diffs."""
+    t = demo.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text")
+    out = formatting.compare(t, FORMATTERS["collapse"], FORMATTERS["pairs"], F.col("text").contains("@"), tools=("biome", "oxfmt"))
+    return report.result_documents(out.withColumn("diff", F.lit(None).cast("string")))
+
+
 @query("t3_unified_diff")
 def t3_unified_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Diff texts of differing outputs; tests apply them as patches."""
     return compared(spark, sf_dir, "collapse", "same", diffs=True).where("diff IS NOT NULL").select("path", "diff")
 
 
-def _hits(mark: str):
-    return lambda text: [(line[:20], "warning") for line in text.split("\n") if mark in line]
+def marked(mark: str):
+    """A rule that reports the head of each line with a mark."""
+    return lambda line: line[:20] if mark in line else None
 
 
 #: Two linters for the reducer: they agree on some marks and not on others.
-RULES = reduction.LineRules({"no-stars": _hits("***"), "no-hash": _hits("###")}, {"no-hash": _hits("###"), "no-bang": _hits("!!")})
+RULES = reduction.LintMismatches(
+    reduction.LineRules("eslint", {"no-stars": marked("***"), "no-hash": marked("###")}), reduction.LineRules("biome", {"lint/a/noHash": marked("###"), "lint/a/noBang": marked("!!")}), "eslint", "biome"
+)
 
 
 @query("r1_reduction")

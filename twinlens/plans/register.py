@@ -24,13 +24,11 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-def projection(name: str, source: str, columns: Callable[[], dict[str, Column | str]], sql: str, where: str | None = None) -> None:
+def projection(name: str, source: str, columns: Callable[[], dict[str, Column | str]], sql: str) -> None:
     """Register a query that projects one table."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = table(spark, sf_dir, source)
-        if where:
-            df = df.where(where)
         return df.select(*((c if isinstance(c, Column) else df[c]).alias(k) for k, c in columns().items()))
 
     QUERIES[name] = run

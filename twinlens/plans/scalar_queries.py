@@ -11,13 +11,13 @@ from . import demo
 from .register import projection, query
 
 #: A path out of a page's address: below the root, outside it, or relative, with dots to fold.
-PATH_SQL = """CASE page_id % 5 WHEN 0 THEN '/project/src/./nested/../' WHEN 1 THEN 'lib//a/../../' WHEN 2 THEN '/other/project/' WHEN 3 THEN '../x/../..//' ELSE '/project/../' END
+PATH_SQL = """CASE page_id % 5 WHEN 0 THEN '/project/one/./two/../' WHEN 1 THEN 'lib//a/../../' WHEN 2 THEN '/other/project/' WHEN 3 THEN '../x/../..//' ELSE '/project/../' END
     || regexp_replace(url, '^[a-z]+://', '') || CASE page_id % 3 WHEN 0 THEN '/..' WHEN 1 THEN '/./b.ts' ELSE '' END"""
 
 
 def path_column():
     p = F.col("page_id")
-    head = F.when(p % 5 == 0, "/project/src/./nested/../").when(p % 5 == 1, "lib//a/../../").when(p % 5 == 2, "/other/project/").when(p % 5 == 3, "../x/../..//").otherwise("/project/../")
+    head = F.when(p % 5 == 0, "/project/one/./two/../").when(p % 5 == 1, "lib//a/../../").when(p % 5 == 2, "/other/project/").when(p % 5 == 3, "../x/../..//").otherwise("/project/../")
     return F.concat(head, F.regexp_replace("url", "^[a-z]+://", ""), F.when(p % 3 == 0, "/..").when(p % 3 == 1, "/./b.ts").otherwise(""))
 
 
@@ -58,21 +58,11 @@ projection("f4_canonical_rule", "part", lambda: {"p_partkey": "p_partkey", "rule
     f"""SELECT p_partkey, CASE b WHEN 'no-unused-variables' THEN 'no-unused-vars' WHEN 'no-unused-variable' THEN 'no-unused-vars' WHEN 'no-unreachable-code' THEN 'no-unreachable' WHEN 'use-is-nan' THEN 'use-isnan'
         WHEN 'use-constructor-super' THEN 'constructor-super' WHEN 'use-getter-return' THEN 'getter-return' WHEN 'no-duplicate-keys' THEN 'no-dupe-keys' WHEN 'no-duplicate-object-keys' THEN 'no-dupe-keys' ELSE b END AS rule
         FROM (SELECT p_partkey, {BASE_SQL.format(r=RULE_SQL)} AS b FROM part)""")
-projection("f5_offset_position", "documents", lambda: {"doc_id": "doc_id", "line": scalars.offset_position(F.col("text"), F.col("n_chars") - F.col("doc_id") % 97)["line"], "column": scalars.offset_position(F.col("text"), F.col("n_chars") - F.col("doc_id") % 97)["column"]},
+projection("f5_offset_position", "documents", lambda: {"doc_id": "doc_id", **{k: scalars.offset_position(F.col("text"), F.greatest(F.col("n_chars") - F.col("doc_id") % 97, F.lit(0)))[k] for k in ("line", "column")}},
     """WITH o AS (SELECT doc_id, least(greatest(n_chars - doc_id % 97, 0), strlen(text)) AS off, string_split(text, chr(10)) AS ls FROM documents),
         l AS (SELECT doc_id, off, unnest(range(1, len(ls) + 1)) AS i, unnest(list_transform(ls, lambda x: strlen(x) + 1)) AS n FROM o),
         c AS (SELECT doc_id, off, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS cum FROM l)
-        SELECT doc_id, CAST(count(*) FILTER (cum <= off) + 1 AS BIGINT) AS line, CAST(any_value(off) - coalesce(max(cum) FILTER (cum <= off), 0) + 1 AS BIGINT) AS column FROM c GROUP BY doc_id""",
-    where="n_chars >= 97")
-
-
-def _f5_sql() -> None:
-    from .register import ORACLE
-
-    ORACLE["f5_offset_position"] = ORACLE["f5_offset_position"].replace("FROM documents)", "FROM documents WHERE n_chars >= 97)")
-
-
-_f5_sql()
+        SELECT doc_id, CAST(count(*) FILTER (cum <= off) + 1 AS BIGINT) AS line, CAST(any_value(off) - coalesce(max(cum) FILTER (cum <= off), 0) + 1 AS BIGINT) AS column FROM c GROUP BY doc_id""")
 
 
 @query("f6_severity", """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN CASE WHEN floor(value) < 0 THEN 'unknown' WHEN floor(value) = 0 THEN 'info' WHEN floor(value) = 1 THEN 'warning' ELSE 'error' END
@@ -93,8 +83,9 @@ def f7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 projection("f8_content_hash", "documents", lambda: {"doc_id": "doc_id", "hash": scalars.content_hash(F.col("text"))}, "SELECT doc_id, sha256(text) AS hash FROM documents")
 projection("f9_normalized_eol", "documents", lambda: {"doc_id": "doc_id", "hash": F.md5(scalars.normalized_eol(F.replace("text", F.lit("\n"), F.when(F.col("doc_id") % 2 == 0, "\r\n").otherwise("\r")), True))},
     "SELECT doc_id, md5(CASE WHEN doc_id % 2 = 0 THEN text ELSE replace(text, chr(10), chr(13)) END) AS hash FROM documents")
-projection("f10_success_stderr", "documents", lambda: {"doc_id": "doc_id", "warning": scalars.success_stderr(F.lit("oxlint"), F.when(F.col("doc_id") % 4 == 0, " \r\n \r").otherwise(F.concat(F.lit(" \r\n\r"), F.substring("text", 1, 40), F.lit("\r\n"), F.substring("text", 1, 9), F.lit("\n  \n"))))},
-    "SELECT doc_id, CASE WHEN doc_id % 4 <> 0 THEN 'Oxlint stderr:' || chr(10) || left(text, 40) || chr(10) || rtrim(left(text, 9), chr(10)) END AS warning FROM documents")
+projection("f10_success_stderr", "documents", lambda: {"doc_id": "doc_id", "warning": scalars.success_stderr(F.lit("oxlint"), F.when(F.col("doc_id") % 4 == 0, " \r\n\t \r").otherwise(F.concat(F.lit(" \r\n\r<"), "text", F.lit(">\r\n  \n"))))},
+    r"""WITH t AS (SELECT doc_id, '<' || replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) || '>' AS x FROM documents)
+        SELECT doc_id, CASE WHEN doc_id % 4 <> 0 THEN 'Oxlint stderr:' || chr(10) || CASE WHEN length(x) > 4096 THEN left(x, 4096) || chr(10) || '… output truncated' ELSE x END END AS warning FROM t""")
 projection("f11_truncated", "documents", lambda: {"doc_id": "doc_id", "short": scalars.truncated(F.col("text"), 100)},
     "SELECT doc_id, CASE WHEN length(text) > 100 THEN left(text, 100) || chr(10) || '… output truncated' ELSE text END AS short FROM documents")
 projection("f12_shown_arguments", "part", lambda: {"p_partkey": "p_partkey", "shown": scalars.shown_arguments(F.array(F.lit("--a"), "p_name", "p_brand"))},
@@ -107,7 +98,7 @@ projection("f15_human_bytes", "documents", lambda: {"doc_id": "doc_id", "size":
 projection("f16_first_line", "documents", lambda: {"doc_id": "doc_id", "line": scalars.first_line(F.col("text"))}, "SELECT doc_id, string_split(text, chr(10))[1] AS line FROM documents")
 projection("f17_tool_names", "events", lambda: {"event_id": "event_id", "name": scalars.lookup(F.element_at(F.array(*map(F.lit, values.TOOLS)), (F.col("event_id") % 5 + 1).cast("int")), values.TOOL_NAMES)},
     "SELECT event_id, ['ESLint', 'Biome', 'Oxlint', 'Prettier', 'Oxfmt'][event_id % 5 + 1] AS name FROM events")
-projection("f18_tool_roles", "events", lambda: {"event_id": "event_id", "linter": F.element_at(F.array(*map(F.lit, values.TOOLS)), (F.col("event_id") % 5 + 1).cast("int")).isin(*values.LINTERS), "formatter": F.element_at(F.array(*map(F.lit, values.TOOLS)), (F.col("event_id") % 5 + 1).cast("int")).isin(*values.FORMATTERS)},
+projection("f18_tool_roles", "events", lambda: {"event_id": "event_id", "linter": scalars.is_linter(F.element_at(F.array(*map(F.lit, values.TOOLS)), (F.col("event_id") % 5 + 1).cast("int"))), "formatter": scalars.is_formatter(F.element_at(F.array(*map(F.lit, values.TOOLS)), (F.col("event_id") % 5 + 1).cast("int")))},
     "SELECT event_id, event_id % 5 < 3 AS linter, event_id % 5 IN (1, 3, 4) AS formatter FROM events")
 projection("f19_reduced_name", "documents", lambda: {"doc_id": "doc_id", "name": scalars.reduced_name(F.concat("source", F.when(F.col("doc_id") % 2 == 0, "/a.b.tsx").otherwise("/file")))},
     "SELECT doc_id, source || CASE WHEN doc_id % 2 = 0 THEN '/a.b.reduced.tsx' ELSE '/file.reduced' END AS name FROM documents")

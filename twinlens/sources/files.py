@@ -1,24 +1,156 @@
-"""File scans: a listing by Spark's binary reader, filtered natively by folder, include and exclude globs."""
+"""File scans: a listing by Spark's binary reader, filtered natively by folder, globs and ignore files."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import os
+import re
+from collections.abc import Iterator
+from dataclasses import dataclass
+from pathlib import Path
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.globs import matches_any
-from ..functions.scalars import normalize_path, path_parts
+from ..functions.scalars import file_name, normalize_path, path_parts
 from ..functions.values import IGNORED_DIRECTORIES
 
+IGNORE_FILES = (".gitignore", ".ignore")
+
+
+def taken(path: Column, include: list[str], exclude: list[str]) -> Column:
+    """Whether an include glob matches a normalised path and no exclude glob does."""
+    return matches_any(path, include, "discovery.include") & ~matches_any(path, exclude, "discovery.exclude")
+
 
-def keep_files(paths: DataFrame, root: str, include: list[str], exclude: list[str], excluded_paths: tuple[str, ...] = ()) -> DataFrame:
-    """Distinct normalised ``path`` of a table of paths that an include glob matches and no exclude glob, ignored folder or excluded path does."""
+def keep_files(paths: DataFrame, root: str, include: list[str], exclude: list[str], excluded_paths: tuple[str, ...] = (), named: tuple[str, ...] = ()) -> DataFrame:
+    """Distinct normalised ``path`` of a table of paths that an include glob matches and no exclude glob, ignored folder or excluded path does.
+
+    ``named`` are normalised paths that were asked for one by one; ignored folders don't hold them back.
+    """
     p = paths.select(normalize_path(F.col("path"), root).alias("path")).distinct()
-    wanted = matches_any(F.col("path"), include, "discovery.include") & ~matches_any(F.col("path"), exclude, "discovery.exclude")
     ignored = F.arrays_overlap(path_parts(F.col("path")), F.array(*map(F.lit, IGNORED_DIRECTORIES)))
-    return p.where(wanted & ~ignored & ~F.col("path").isin(*excluded_paths)) if excluded_paths else p.where(wanted & ~ignored)
+    if named:
+        ignored = ignored & ~F.col("path").isin(*named)
+    kept = p.where(taken(F.col("path"), include, exclude) & ~ignored)
+    return kept.where(~F.col("path").isin(*excluded_paths)) if excluded_paths else kept
 
 
 def listing(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, text) of the files below a folder in any store Spark reads; texts are read only when they are asked for."""
+    """(path, text, content) of the files below a folder in any store Spark reads; contents are read only when they are asked for.
+
+    Spark's readers pass over names that begin with a dot or an underscore.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return files.select(F.regexp_replace("path", "^[a-z0-9]+:/+", "/").alias("path"), F.decode("content", "UTF-8").alias("text"))
+    return files.select(F.regexp_replace("path", "^[a-z0-9]+:/+", "/").alias("path"), F.decode("content", "UTF-8").alias("text"), "content")
+
+
+def local_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, text, content) of local files by name, read where the rows are used."""
+    schema = "path string, text string, content binary"
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data = [Path(p).read_bytes() for p in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([d.decode(errors="replace") for d in data], pa.string()), pa.array(data, pa.binary())], names=["path", "text", "content"])
+
+    return spark.createDataFrame([(p,) for p in paths], "path string").mapInArrow(read, schema)
+
+
+def local_listing(spark: SparkSession, folder: Path) -> DataFrame:
+    """``listing`` of a local folder with the names that Spark's readers pass over, those that begin with a dot or an underscore."""
+    hidden = []
+    for top, folders, names in os.walk(folder):
+        folders[:] = [x for x in folders if x not in IGNORED_DIRECTORIES and not os.path.islink(os.path.join(top, x))]
+        inside = any(part[0] in "._" for part in Path(top).relative_to(folder).parts)
+        hidden += [os.path.join(top, n) for n in names if (inside or n[0] in "._") and not os.path.islink(os.path.join(top, n))]
+    rows = listing(spark, str(folder))
+    return rows.unionByName(local_files(spark, sorted(hidden))) if hidden else rows
+
+
+@dataclass(frozen=True)
+class IgnoreRule:
+    """A line of an ignore file: a pattern for paths relative to the root, and whether it takes a path out or back in."""
+
+    pattern: str
+    negated: bool
+    folders_only: bool
+
+
+def _ignore_pattern(line: str) -> str:
+    """The part of a path below the ignore file's folder that a pattern matches."""
+    body = line.strip("/")
+    anywhere = "/" not in body and not line.startswith("/")
+    out, i = "(?:.*/)?" if anywhere else "", 0
+    while i < len(body):
+        c, rest = body[i], body[i:]
+        if rest.startswith("**/"):
+            out, i = out + "(?:.*/)?", i + 3
+        elif rest == "**":
+            out, i = out + ".+", i + 2
+        elif c == "*":
+            out, i = out + "[^/]*", i + 1
+        elif c == "?":
+            out, i = out + "[^/]", i + 1
+        elif c == "[" and (end := body.find("]", i + 2)) > 0:
+            inside = body[i + 1 : end].replace("\\", "\\\\").replace("[", "\\[")
+            out, i = out + "[" + ("^" + inside[1:] if inside[0] in "!^" else inside) + "]", end + 1
+        else:
+            step = 2 if c == "\\" and i + 1 < len(body) else 1
+            out, i = out + re.escape(body[i + step - 1]), i + step
+    return out
+
+
+def ignore_rules(files: list[tuple[str, str]]) -> list[IgnoreRule]:
+    """The rules of ignore files (normalised path, text), weakest first: .gitignore before .ignore, outer folders before inner."""
+    rules = []
+    for path, text in sorted(files, key=lambda f: (IGNORE_FILES.index(os.path.basename(f[0])), f[0].count("/"), f[0])):
+        folder = os.path.dirname(path)
+        for raw in text.splitlines():
+            line = raw if raw.endswith("\\ ") else raw.rstrip()
+            if not line or line.startswith("#"):
+                continue
+            negated = line.startswith("!")
+            line = line[negated:]
+            base = re.escape(folder) + "/" if folder else ""
+            rules.append(IgnoreRule(f"^{base}{_ignore_pattern(line)}$", negated, line.endswith("/")))
+    return rules
+
+
+def ignored_by(path: Column, rules: list[IgnoreRule]) -> Column:
+    """Whether rules take out a file or a folder that it lies in; of several that match one of them the strongest decides."""
+    if not rules:
+        return F.lit(False)
+    parts = path_parts(path)
+    steps = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(F.array_join(F.slice(parts, F.lit(1), n), "/").alias("p"), (n < F.size(parts)).alias("folder")))
+
+    def out(step: Column) -> Column:
+        verdict = F.lit(False)
+        for r in rules:
+            hit = step.p.rlike(r.pattern) & (step.folder if r.folders_only else F.lit(True))
+            verdict = F.when(hit, F.lit(not r.negated)).otherwise(verdict)
+        return verdict
+
+    return F.when(F.size(parts) > 0, F.exists(steps, out)).otherwise(F.lit(False))
+
+
+def found_rules(files: DataFrame, root: Path | str, git: bool = True) -> list[IgnoreRule]:
+    """The rules of the ignore files in a listing (path, text), which are few beside the files; .gitignore counts where ``git`` says so."""
+    names = IGNORE_FILES if git else IGNORE_FILES[1:]
+    rows = files.select(normalize_path(F.col("path"), str(root)).alias("path"), "path", "text").toDF("path", "raw", "text").where(file_name(F.col("path")).isin(*names))
+    return ignore_rules([(r.path, r.text or "") for r in rows.select("path", "text").collect()])
+
+
+def in_git(folder: Path) -> bool:
+    """Whether a local folder belongs to a git work tree."""
+    return any((p / ".git").exists() for p in (folder, *folder.parents))
+
+
+def links(folder: Path) -> list[str]:
+    """Symbolic links below a local folder, which are not followed."""
+    out = []
+    for top, folders, files in os.walk(folder):
+        out += [os.path.join(top, x) for x in (*folders, *files) if os.path.islink(os.path.join(top, x))]
+        folders[:] = [x for x in folders if x not in IGNORED_DIRECTORIES]
+    return sorted(out)

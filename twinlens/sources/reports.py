@@ -15,7 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import OperationalError
-from ..functions.scalars import normalize_path, offset_position, severity
+from ..functions import text as single
+from ..functions.scalars import normalize_path, offset_position, severity, strip
+from ..functions.values import TOOL_NAMES
 
 UNKNOWN_PATH = "<unknown>"
 U32 = 4294967295
@@ -46,7 +48,7 @@ def flat_reports(reports: DataFrame, root: str) -> DataFrame:
     A blank report has no rows. Text that is no array of objects each with ``messages`` raises when it is read. Order is
     kept in ``tie``: file and message position.
     """
-    v = reports.where(F.trim("json") != "").select("report_id", F.parse_json("json").alias("v"))
+    v = reports.where(strip(F.col("json")) != "").select("report_id", F.parse_json("json").alias("v"))
     wrong = F.raise_error("result is missing `messages`")
     files = v.select("report_id", F.posexplode(F.try_variant_get("v", "$", "array<variant>")).alias("i", "f"))
     listed = F.coalesce(F.try_variant_get("f", "$.messages", "array<variant>"), wrong.cast("array<variant>"))
@@ -217,3 +219,57 @@ def walked_reports(reports: DataFrame, root: str, tool: str, sources: DataFrame
         "report_id", F.lit(tool).alias("tool"), "path", "code", "severity", "message", F.coalesce("start_line", start.line).alias("start_line"), F.coalesce("start_column", start.column).alias("start_column"),
         F.coalesce("end_line", F.when(has, end.line)).alias("end_line"), F.coalesce("end_column", F.when(has, end.column)).alias("end_column"), "tie",
     )
+
+
+def empty_warnings(reports: DataFrame, tool: str) -> DataFrame:
+    """(report_id, warning) of blank reports, which have no rows."""
+    return reports.where(strip(F.coalesce("json", F.lit(""))) == "").select("report_id", F.lit(empty_warning(tool)).alias("warning"))
+
+
+def empty_warning(tool: str) -> str:
+    return f"{TOOL_NAMES[tool]} produced empty JSON output"
+
+
+def _flat_entries(value, tool: str) -> Iterator[tuple]:
+    """The messages of an ESLint report, as the entries of the other reports."""
+    for f in value:
+        listed = _get(f, "messages")
+        if not isinstance(listed, list):
+            raise OperationalError(f"a file of the {tool} report has no messages")
+        path = _string(_get(f, "filePath")) or UNKNOWN_PATH
+        for m in listed:
+            line, message, fix = _whole(_get(m, "line")), _string(_get(m, "message")), _get(m, "fix")
+            place = (line, _whole(_get(m, "column")) or 1, _whole(_get(m, "endLine")), _whole(_get(m, "endColumn"))) if line is not None else (None,) * 4
+            spot = _get(fix, "range")
+            spot = [_whole(x, 2**63 - 1) for x in spot] if isinstance(spot, list) else []
+            given = None if fix is MISSING or fix is None else {"start": spot[0] if spot else None, "end": spot[1] if len(spot) > 1 else None, "replacement": _string(_get(fix, "text"))}
+            yield path, _string(_get(m, "ruleId")), _severity_of(_get(m, "severity")), "ESLint diagnostic" if message is None else message, *place, None, None, None, given
+
+
+def local_reports(text: str, root: str, tool: str, sources: dict[str, str] | None = None) -> list[dict]:
+    """The diagnostics of one report on the driver, as the scans of tables of reports give them; ``sources`` are texts by path."""
+    if not text.strip() and tool != "biome":
+        return []
+    try:
+        value = json.loads(text)
+    except ValueError as e:
+        raise OperationalError(f"the {tool} report is no JSON: {e}") from None
+    if tool == "eslint":
+        if not isinstance(value, list):
+            raise OperationalError("the eslint report is no list of files")
+        found = _flat_entries(value, tool)
+    elif tool == "biome":
+        found = ((*_nested_entry(e), None) for e, _ in _walk(value, ("diagnostics",), _alone_nested))
+    else:
+        found = ((*_labelled_entry(e, path), None) for e, path in _walk(value, ("messages", "diagnostics"), _alone_labelled))
+    out = []
+    for tie, (path, code, level, message, *place, start, end, source, fix) in enumerate(found):
+        own = single.normalize_path(path, root)
+        source = source if source is not None else (sources or {}).get(own)
+        at = lambda offset, source=source: (None, None) if offset is None or source is None else single.offset_position(source, offset)
+        (line, column), (end_line, end_column) = at(start), at(end)
+        line, column = (place[0], place[1]) if place[0] is not None else (line, column)
+        end_line, end_column = place[2] if place[2] is not None else end_line, place[3] if place[3] is not None else end_column
+        row = {"tool": tool, "path": own, "code": code, "severity": level, "message": message, "start_line": line, "start_column": column, "end_line": end_line, "end_column": end_column}
+        out.append(row | {"tie": tie, "fix": fix})
+    return out

@@ -77,7 +77,8 @@ def test_tool_calls(spark):
     results = spark.createDataFrame([(1, "a", 1, 'r"1\n'), (1, "a", 3, "r2"), (9, "a", 0, "lost"), (None, "a", 0, "null"), (3, "z", 1, None)], "conv_id long, call_id string, turn long, content string")
     schemas = {"f": {"required": ["a"], "properties": {"a": {"type": "array"}}}}
     got = {(r.conv_id, r.call_id): r for r in toolcalls.link(calls, results, schemas).where("status <> 'orphan_result'").collect()}
-    assert got[1, "a"].json == '{"arguments":{"a":[2,"x"],"b":1},"id":"a","name":"f","result":"r\\"1\\n"}' or got[1, "a"].json == '{"arguments":{"a":[2,"x"],"b":1.0},"id":"a","name":"f","result":"r\\"1\\n"}'
+    assert got[1, "a"].json == '{"arguments":{"a":[2,"x"],"b":1},"id":"a","name":"f","result":"r\\"1\\n"}'
+    assert [got[1, x].position for x in "acbd"] == [0, 1, 2, 3] and [got[2, x].position for x in "abc"] == [None] * 3 and got[3, "z"].position is not None and got[3, None].position is None
     assert (got[1, "a"].valid, got[1, "c"].valid, got[3, "z"].valid) == (True, False, False)
     assert [got[1, x].level for x in "abcd"] == [0, 1, 0, 1] and [got[2, x].cyclic for x in "abc"] == [True] * 3
     assert (got[1, "a"].n_results, got[1, "b"].status, got[3, "z"].status, got[3, "z"].turn) == (2, "unanswered", "linked", 0)

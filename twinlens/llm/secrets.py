@@ -18,7 +18,7 @@ from .common import Scratch
 #: A run of key characters, bounded on both sides.
 RUN = r"(?<![A-Za-z0-9_+/=\-])[A-Za-z0-9_+/=\-]{16,}"
 #: The private key blocks of a text; what is inside one is no candidate of its own.
-BLOCK = r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----[^-]{0,20000}-----END [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
+BLOCK = r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----[\s\S]{1,20000}?-----END [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
 KEY_WORDS = r"(?:token|secret|passw(?:or)?d|passphrase|api[_-]?key|access[_-]?key|auth|bearer|credentials?|private[_-]?key|pwd)"
 #: A key word and its sign of assignment; with a value of any characters, the last in its text.
 ASSIGNS = r"(?i)" + KEY_WORDS + r"[\"']?\s*[=:]"
@@ -27,13 +27,13 @@ HASH_WORDS = r"(?:commit|sha-?\d*|md5|checksum|digest|etag|uuid|guid|revision|ha
 PATH_WORDS = r"(?i)test|example|sample|fixture|mock|demo|docs?/"
 #: Words whose presence inside a candidate speaks for a name rather than a random key.
 DICTIONARY = (
-    "about access account action address admin after agent and app array asset author back base before block board body book border box branch browser build button cache call card change channel "
-    "char check child class client clock close cloud code color column commit config connect content control count create cursor data date debug default delete device domain down edit email "
-    "empty end engine entry error event example export field file filter final find first folder form format frame from function global graph group handle hash head height help home host "
+    "access account action address admin after agent and app array asset back base before block board body book box branch browser build button cache call card change channel "
+    "char check child class client clock close cloud code color column commit config connect content control count create data date debug default delete device domain down edit email "
+    "empty end engine entry error event example export field file filter final find first folder form format frame from function global graph group handle hash head help home host "
     "html http image import index info init input item java join json key label layer left level library license line link list load local lock log loop main map master match media member "
-    "memory message method mode model module name network next node note number object offset open option order page panel parent part path phone place plan point port print process project "
-    "public query queue read record request response result return right root route row rule sample schema scope score script search select sequence server service session size source start "
-    "state status string style system table target task test text time title type update upload user value version view void when width window word write zone"
+    "memory message method mode model module name network next node note number object offset open option order page parent part path plan point port print process project "
+    "public query queue read record request response result return right root route row rule schema scope score script search select sequence server service session size source start "
+    "state status string style system table target task test text time title type update upload user value version view void when window word write zone"
 ).split()
 #: What stands after a key word and is no secret.
 PLAIN = "required string optional undefined <password> ${PASSWORD} {{token}} process.env.TOKEN getpass() ******** changeme self.token config[key] Optional[str] hidden missing expired invalid authentication".split()

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows an Arrow batch may carry into a Python worker; whole texts make rows large.
+#: Rows and bytes that an Arrow batch may carry into a Python worker; whole texts make rows large.
 ARROW_ROWS = 512
+ARROW_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,20 +19,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def limit_arrow_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Lower the Arrow batch size of the session when it is larger than ``rows``; it is never raised."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
-        spark.conf.set(key, str(rows))
+def limit_arrow_batches(spark: SparkSession, rows: int = ARROW_ROWS, size: int = ARROW_BYTES) -> None:
+    """Lower the Arrow batch sizes of the session, in rows and bytes, when they are larger; they are never raised."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = re.fullmatch(r"(\d+)b?", spark.conf.get(key))
+        if not now or not 0 < int(now[1]) <= most:
+            spark.conf.set(key, str(most))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where none is set, as in local tests."""
+    """The folder named by ``spark.checkpoint.dir``; a temporary one only where none is set in a local session, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if found:
         return found
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="twinlens-"))
         current = spark.sparkContext.getCheckpointDir()
     return current

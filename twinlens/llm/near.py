@@ -25,11 +25,13 @@ SLOTS = 1 << 18
 BLOCK = 1 << 10
 #: Postings' entries of a task, about, and of a batch that is dealt at once.
 POSTING_ROWS = 400_000
-BATCH_ROWS = 1 << 20
+BATCH_ROWS = 1 << 19
 #: Up to so many keys (a few bytes each) are sent to all tasks instead of dealing texts or members for them.
 FEW = 200_000
 #: Texts of one hub that a task compares; a hub of more goes to several tasks.
 HUB_ROWS = 2000
+#: Rows with whole sets that Python holds at once.
+SLICE = 64
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _MULTIPLY, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -335,13 +337,19 @@ def _passed(pairs: DataFrame, values: DataFrame, made, test, scratch: Scratch) -
     n = wanted.count()
 
     def sets(batches):
-        for b in batches:
-            raw = [made(v) for v in b.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(raw, pa.binary())], names=["key", "a", "way", "s"])
+        last, own = None, b""
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                b, raw = whole.slice(at, SLICE), []
+                for key, value in zip(b.column(0).to_pylist(), b.column(3).to_pylist(), strict=True):
+                    if key != last:  # a text's rows follow one another
+                        last, own = key, made(value)
+                    raw.append(own)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(raw, pa.binary())], names=["key", "a", "way", "s"])
 
     def compare(batches):
         place, hub = None, None
-        for b in batches:
+        for b in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
             one, other = [], []
             for key, a, way, raw in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
                 if key == a:

@@ -161,7 +161,7 @@ def held_out(id_col: str = "doc_id") -> Column:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train: int = MAX_TRAIN) -> Machine:
     """A machine fitted on at most ``max_train`` labelled documents that are not held out.
 
-    Labels that are null or contradict each other for one id are not used; of documents with one id, one is used.
+    Labels that are null or contradict each other for one id are not used; of several texts of one id that of the least hash is used.
     """
     limit_arrow_batches(docs.sparkSession)
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).cast("long").alias("id"))
@@ -177,8 +177,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             )
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = texts.join(F.broadcast(sample), "id").select("id", "label", "text").mapInArrow(vectors, "id long, label double, slots array<int>, vals array<float>")
-    got = rows.dropDuplicates(["id"]).toArrow().sort_by("id")
+    own = F.struct(F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "text", "label")
+    one = texts.join(F.broadcast(sample), "id").groupBy("id").agg(F.min(own).alias("x")).select("id", "x.label", "x.text")
+    rows = one.mapInArrow(vectors, "id long, label double, slots array<int>, vals array<float>")
+    got = rows.toArrow().sort_by("id")
     slots = [x.values.to_numpy() for x in got.column("slots")]
     values = [x.values.to_numpy() for x in got.column("vals")]
     return fit(slots, values, got.column("label").to_numpy())

@@ -58,6 +58,8 @@ def test_near_stage_keeps_what_brute_force_keeps(spark, monkeypatch, size):
     monkeypatch.setattr(near, "HUB_ROWS", size)
     monkeypatch.setattr(near, "FEW", size * 100)
     monkeypatch.setattr(near, "BATCH_ROWS", size * 50)
+    monkeypatch.setattr(near, "FEW_SKETCHES", size * 25)
+    monkeypatch.setattr(near, "BRIEF", 64 if size > 3 else 2)
     rows = planted()
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = sorted(r.doc_id for r in corpus_pipeline.simhash_near_dedup(spark, docs, "").collect())

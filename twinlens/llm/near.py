@@ -28,6 +28,9 @@ POSTING_ROWS = 400_000
 BATCH_ROWS = 1 << 19
 #: Up to so many keys (a few bytes each) are sent to all tasks instead of dealing texts or members for them.
 FEW = 200_000
+#: Words of 64 bits of a sketch that travels with the entries of postings, and texts whose such sketches are sent to all tasks.
+BRIEF = 64
+FEW_SKETCHES = 50_000
 #: Texts of one hub that a task compares; a hub of more goes to several tasks.
 HUB_ROWS = 2000
 #: Rows with whole sets that Python holds at once.
@@ -287,9 +290,20 @@ def left_pairs(members: DataFrame, similarity: float) -> DataFrame:
     return members.select("shingle", "key", "n", "pos", "root", "sketch").mapInArrow(run, "a long, b long").distinct()
 
 
-def few(keys: DataFrame, n: int | None = None) -> DataFrame:
-    """Written keys, marked to be sent to all tasks where they are few."""
-    return F.broadcast(keys) if (keys.count() if n is None else n) <= FEW else keys
+def few(keys: DataFrame, n: int | None = None, most: int | None = None) -> DataFrame:
+    """Written rows, marked to be sent to all tasks where they are no more than ``most`` (FEW)."""
+    return F.broadcast(keys) if (keys.count() if n is None else n) <= (FEW if most is None else most) else keys
+
+
+def brief(sketches: DataFrame) -> DataFrame:
+    """(key, sketch) with sketches folded to BRIEF words at most, to travel with each entry of a posting."""
+
+    def run(batches):
+        for b in batches:
+            out = [r[:8] + _folded(np.frombuffer(r, dtype=np.uint64, offset=8)[None, :], BRIEF).tobytes() for r in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["key", "sketch"])
+
+    return sketches.mapInArrow(run, "key long, sketch binary")
 
 
 def sketch(own: np.ndarray) -> bytes:
@@ -396,14 +410,15 @@ def similar_texts(texts: DataFrame, words: int, similarity: float, scratch: Scra
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // POSTING_ROWS)
     members = scratch.write(shared(postings(texts, counts, words, similarity, tasks)))
     near = scratch.write(across.union(inside).union(star_pairs(members.repartition(tasks, "shingle"), similarity)).distinct())
-    sketched = _passed(near, marked.select("key", "sketch"), None, lambda a, b: may_be_similar(a, b, similarity), scratch)
-    links = verified(sketched, texts, words, similarity, scratch)
+    sketch_passed = lambda pairs: _passed(pairs, marked.select("key", "sketch"), None, lambda a, b: may_be_similar(a, b, similarity), scratch)
+    links = verified(sketch_passed(near), texts, words, similarity, scratch)
     roots = components(links, scratch)
     placed = members.join(few(roots.withColumnRenamed("node", "key")), "key", "left").withColumn("root", F.coalesce("root", "key"))
     apart = scratch.write(open_postings(placed.repartition(tasks, "shingle")))
     keys = scratch.write(apart.select("key").distinct())
-    own = scratch.write(marked.select("key", "sketch").join(few(keys), "key", "left_semi"))
-    left = scratch.write(left_pairs(apart.join(few(own), "key").repartition(tasks, "shingle"), similarity))
+    own = scratch.write(brief(marked.select("key", "sketch").join(few(keys), "key", "left_semi")))
+    left = scratch.write(left_pairs(apart.join(few(own, most=FEW_SKETCHES), "key").repartition(tasks, "shingle"), similarity))
     if left.isEmpty():
         return roots
+    left = sketch_passed(left)
     return components(links.union(verified(left, texts, words, similarity, scratch)), scratch)

@@ -86,7 +86,8 @@ def labelled_findings(spark: SparkSession, n: int = 4000) -> DataFrame:
     phone numbers, placeholders, identifiers, joined and long words of the dictionary and of none, paths and ruled lines.
     """
     r = lambda salt, m: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(m)).cast("int")
-    pick = lambda salt, items: F.element_at(F.array(*map(F.lit, items)), r(salt, len(items)) + 1)
+    # a list is one literal in the plan, whatever its length
+    pick = lambda salt, items: F.element_at(F.split(F.lit("\x01".join(map(str, items))), "\x01"), r(salt, len(items)) + 1)
     text = lambda salt: F.sha2(F.concat_ws(":", F.lit(salt), F.col("id")), 256)
     base62 = F.regexp_replace(F.base64(F.unhex(F.concat(text("a"), text("b")))), "[^A-Za-z0-9]", "")
     word = F.concat(*(pick(f"w{k}", DICTIONARY) for k in range(3)))
@@ -99,7 +100,7 @@ def labelled_findings(spark: SparkSession, n: int = 4000) -> DataFrame:
     block = F.concat(F.lit("-----BEGIN "), pick("bk", ["RSA ", "EC ", "", "OPENSSH "]), F.lit("PRIVATE KEY----- "), F.substring(F.base64(F.unhex(F.concat(text("a"), text("b"), text("s"), text("p")))), 1, 64 + r("n", 90)), F.lit(" -----END PRIVATE KEY-----"))
     upper = F.regexp_replace(F.upper(base62), "[^A-Z0-9]", "")
     secret = (
-        F.when(r("kind", 10) < 5, F.substring(text("s"), 1, pick("len", [32, 40, 40, 40, 64])))
+        F.when(r("kind", 10) < 5, F.substring(text("s"), 1, pick("len", [32, 40, 40, 40, 64]).cast("int")))
         .when((r("kind", 10) < 6) & (r("half", 3) == 0), unlettered)
         .when((r("kind", 10) < 6) & (r("half", 3) == 1), block)
         .when(r("kind", 10) < 7, F.substring(base62, 1, 20 + r("n", 25)))
@@ -109,7 +110,7 @@ def labelled_findings(spark: SparkSession, n: int = 4000) -> DataFrame:
     )
     digits = F.regexp_replace(F.concat(text("d"), text("e")), "[^0-9]", "")
     other = (
-        F.when(r("kind", 10) < 2, F.substring(text("h"), 1, pick("len", [32, 40, 40, 64])))
+        F.when(r("kind", 10) < 2, F.substring(text("h"), 1, pick("len", [32, 40, 40, 64]).cast("int")))
         .when(r("kind", 10) < 3, F.regexp_replace(F.substring(text("u"), 1, 32), "^(.{8})(.{4})(.{4})(.{4})", r"$1-$2-$3-$4-"))
         .when(r("kind", 10) < 5, F.substring(digits, 1, 16))
         .when(r("kind", 10) < 6, F.concat(pick("ph", ["your_token_here_", "xxxxxxxxxxxxxxxx", "EXAMPLEEXAMPLEKEY", "0123456789abcdef", "changeme_changeme_"]), r("x", 10)))
@@ -251,46 +252,34 @@ def candidates(text: Column) -> Column:
     more than once is one candidate. ``word`` counts the words before it, a block being one word. ``before`` and ``after`` are
     up to 40 characters of each of the two words before and of the word after.
     """
-    near = F.lit(RUN)
     word = lambda words, i: F.coalesce(F.get(words, i), F.lit(""))
+    shown = lambda words, i: F.right(word(words, i), F.lit(40))
+    none = F.array().cast("array<struct<value:string,before:string,after:string,word:int>>")
+    has = lambda pattern: F.coalesce(text.rlike(pattern), F.lit(False))
 
-    def assigned(words: Column, i: Column) -> Column:
-        """The value that ends a word and is assigned to a key word in it or in the two before; empty without one."""
-        return F.regexp_extract(F.concat_ws(" ", F.right(word(words, i - 2), F.lit(40)), F.right(word(words, i - 1), F.lit(40)), words[i]), ASSIGNED, 1)
-
-    def of(words: Column, keyed: bool) -> Column:
-        found = lambda i: F.regexp_extract_all(words[i], near, F.lit(0))
-        hit = lambda i: words[i].rlike(RUN)
-        values = lambda i: F.array_distinct(found(i))
-        if keyed:
-            hit = lambda i: words[i].rlike(RUN) | (assigned(words, i) != "")
-            values = lambda i: F.array_distinct(F.concat(F.filter(F.array(assigned(words, i)), lambda v: v != ""), found(i)))
-        at = F.filter(F.sequence(F.lit(0), F.size(words) - 1), hit)
-        return F.flatten(
-            F.transform(
-                at,
-                lambda i: F.transform(
-                    values(i),
-                    lambda v: F.struct(
-                        v.alias("value"),
-                        F.concat_ws(" ", F.right(word(words, i - 2), F.lit(40)), F.right(word(words, i - 1), F.lit(40)), _before(words[i], v)).alias("before"),
-                        F.left(word(words, i + 1), F.lit(40)).alias("after"),
-                        i.alias("word"),
-                    ),
-                ),
-            )
+    def assigned(words: Column, keyed: Column, i: Column) -> Column:
+        """The value that ends a word and is assigned to a key word in it or in the two before, where the text has any; else empty."""
+        return F.when(keyed, F.regexp_extract(F.concat_ws(" ", shown(words, i - 2), shown(words, i - 1), words[i]), ASSIGNED, 1)).otherwise("")
+
+    def of(part: Column) -> Column:
+        words, keyed = part.words, part.keyed
+        at = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: words[i].rlike(RUN) | (assigned(words, keyed, i) != ""))
+        values = lambda i: F.array_distinct(F.filter(F.concat(F.array(assigned(words, keyed, i)), F.regexp_extract_all(words[i], F.lit(RUN), F.lit(0))), lambda v: v != ""))
+        found = F.transform(at, lambda i: F.struct(i.alias("i"), values(i).alias("vs")))
+        around = lambda x, v: F.struct(
+            v.alias("value"), F.concat_ws(" ", shown(words, x.i - 2), shown(words, x.i - 1), _before(words[x.i], v)).alias("before"), F.left(word(words, x.i + 1), F.lit(40)).alias("after"), x.i.alias("word")
         )
+        return F.flatten(F.transform(found, lambda x: F.transform(x.vs, lambda v: around(x, v))))
 
     def blocks(whole: Column) -> Column:
         parts = F.split(F.regexp_replace(whole, BLOCK, "\u0000"), "\u0000")
         before = lambda k: F.size(F.split(F.array_join(F.slice(parts, F.lit(1), k + 1), "x"), r"\s+")) - 1
         return F.transform(F.regexp_extract_all(whole, F.lit(BLOCK), F.lit(0)), lambda v, k: F.struct(v.alias("value"), F.lit("").alias("before"), F.lit("").alias("after"), before(k).alias("word")))
 
-    none = F.array().cast("array<struct<value:string,before:string,after:string,word:int>>")
-    split = lambda whole, keyed: F.transform(F.array(F.split(whole, r"\s+")), lambda words: of(words, keyed))[0]
-    blocked = F.concat(blocks(text), split(F.regexp_replace(text, BLOCK, "x"), True))
-    has = lambda pattern: F.coalesce(text.rlike(pattern), F.lit(False))
-    return F.when(has(BLOCK), blocked).when(has(ASSIGNS), split(text, True)).when(has(RUN), split(text, False)).otherwise(none)
+    # the words and whether any value is assigned are made once and bound, so that the walk stands in the plan once
+    part = F.struct(F.split(F.regexp_replace(text, BLOCK, "x"), r"\s+").alias("words"), has(ASSIGNS).alias("keyed"))
+    walked = F.when(has(ASSIGNS) | has(RUN), F.transform(F.array(part), of)[0]).otherwise(none)
+    return F.concat(F.when(has(BLOCK), blocks(text)).otherwise(none), walked)
 
 
 def _before(word: Column, value: Column) -> Column:

@@ -339,6 +339,14 @@ def s1_event_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("report_id", "tie", "path", "code", "severity", "message", "start_line", "start_column", "end_line", "end_column", F.col("fix.start").alias("fix_start"), F.col("fix.replacement").alias("fix_text"))
 
 
+@query("s1_empty_reports", "SELECT CAST(event_id AS BIGINT) AS report_id, 'ESLint wrote an empty report' AS warning FROM events WHERE event_id % 3 > 0")
+def s1_empty_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blank reports are warnings, not errors."""
+    k = F.col("event_id")
+    texts = demo.table(spark, sf_dir, "events").select(k.cast("long").alias("report_id"), F.when(k % 3 == 0, "[]").when(k % 3 == 1, " \r\n\t").otherwise("").alias("json"))
+    return reports.empty_warnings(texts, "eslint")
+
+
 @query("s2_event_reports", f"""WITH {REPORT_SQL} SELECT CAST(report_id AS BIGINT) AS report_id, CAST(n AS BIGINT) AS tie, path, 'lint/' || event_type AS code, {_LEVEL} AS severity, 'm' || event_id AS message, line AS start_line, col AS start_column,
     CASE WHEN event_id % 2 = 0 THEN line END AS end_line, CASE WHEN event_id % 2 = 0 THEN col + 3 END AS end_column FROM e""")
 def s2_event_reports(spark: SparkSession, sf_dir: str) -> DataFrame:

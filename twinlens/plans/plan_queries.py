@@ -171,6 +171,15 @@ for _b, _c in (("collapse", "same"), ("collapse", "pairs"), ("pairs", "collapse"
 _register("collapse", "pairs", "pages", "page_id", "html")
 
 
+@query("t1_line_ends", """SELECT doc_id AS path, 'identical' AS levelled, CASE WHEN contains(replace(text, chr(13) || chr(10), ''), chr(10)) THEN 'different' ELSE 'identical' END AS plain FROM documents""")
+def t1_line_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A formatter that writes CRLF against one that changes nothing, with line ends levelled and as they are."""
+    t = demo.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text")
+    crlf = lambda c: F.regexp_replace(c, "\r?\n", "\r\n")
+    status = lambda eol, name: formatting.compare(t, FORMATTERS["same"], crlf, eol=eol).select("path", F.col("status").alias(name))
+    return status(True, "levelled").join(status(False, "plain"), "path")
+
+
 @query("a12_format_summary", f"""WITH {format_sql("documents", "doc_id", "text", "collapse", "pairs")} SELECT count(*) AS discovered, count(*) AS compared, count(*) FILTER (status = 'identical') AS identical,
     count(*) FILTER (status = 'different') AS different, count(*) FILTER (status = 'baseline_non_idempotent') AS baseline_non_idempotent, count(*) FILTER (status = 'candidate_non_idempotent') AS candidate_non_idempotent,
     count(*) FILTER (status = 'both_non_idempotent') AS both_non_idempotent, CAST(0 AS BIGINT) AS unsupported, CAST(0 AS BIGINT) AS skipped, count(*) FILTER (status = 'failed') AS failed FROM results""")
@@ -178,6 +187,12 @@ def a12_format_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formatting.summary(compared(spark, sf_dir, "collapse", "pairs"))
 
 
+@query("p8_format_differs", f"""WITH {format_sql("documents", "doc_id", "text", "collapse", "pairs")} SELECT bool_or(status IN ('different', 'baseline_non_idempotent', 'candidate_non_idempotent', 'both_non_idempotent')) AS differs FROM results""")
+def p8_format_differs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a format comparison found differences."""
+    return scoring.format_differs(formatting.summary(compared(spark, sf_dir, "collapse", "pairs")))
+
+
 @query("a13_format_failures", f"""WITH {format_sql("documents", "doc_id", "text", "collapse", "pairs")} SELECT path, s.side, path || ' ' || s.side || ' ' || s.tool || ': exit code 2' AS detail
     FROM results, (VALUES ('baseline', 'Biome'), ('candidate', 'Oxfmt')) s(side, tool) WHERE status = 'failed'""")
 def a13_format_failures(spark: SparkSession, sf_dir: str) -> DataFrame:

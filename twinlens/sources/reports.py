@@ -227,7 +227,7 @@ def empty_warnings(reports: DataFrame, tool: str) -> DataFrame:
 
 
 def empty_warning(tool: str) -> str:
-    return f"{TOOL_NAMES[tool]} produced empty JSON output"
+    return f"{TOOL_NAMES[tool]} wrote an empty report"
 
 
 def _flat_entries(value, tool: str) -> Iterator[tuple]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, toolcalls
+from . import mixing, toolcalls, trie
 from .common import table
 
 
@@ -84,6 +84,16 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_tool_calls": op2_tool_calls,
@@ -95,10 +105,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_simhash": op9_simhash,
     "op10_packing": op10_packing,
+    "op11_conversation_trie": op11_conversation_trie,
+    "op13_whitening": op13_whitening,
 }
 ORACLE: dict[str, str] = {
     "op2_tool_calls": toolcalls.ORACLE,
     "op6_mixing": mixing.oracle(),
+    "op11_conversation_trie": trie.ORACLE,
     "op5_exact_topk": """
         WITH v AS (
             SELECT vec_id, min(list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE))) AS e

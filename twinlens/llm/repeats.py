@@ -418,7 +418,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
 #: Every window of every document by its bytes (as 128-bit digests), for whole small tables.
 ORACLE = """
     WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
-    w AS MATERIALIZED (SELECT r, doc_id, i, md5_number(substr(x, 2 * i + 1, 100)) AS s FROM (SELECT r, doc_id, x, unnest(range(greatest(0, len(x) // 2 - 49))) AS i FROM d)),
+    pieces AS (SELECT r, doc_id, n, 500 * j AS o, substr(x, 1000 * j + 1, 1098) AS x FROM (SELECT r, doc_id, x, len(x) // 2 AS n, unnest(range(len(x) // 1000 + 1)) AS j FROM d)),
+    w AS MATERIALIZED (SELECT r, doc_id, o + k AS i, md5_number(substr(x, 2 * k + 1, 100)) AS s FROM (SELECT *, unnest(range(greatest(0, least(500, n - o - 49)))) AS k FROM pieces)),
     least AS (SELECT s, min(doc_id) AS m FROM w GROUP BY s),
     hit AS MATERIALIZED (SELECT w.r, w.i, w.i - lag(w.i) OVER (PARTITION BY w.r ORDER BY w.i) AS step FROM w JOIN least l ON l.s = w.s AND w.doc_id > l.m),
     runs AS MATERIALIZED (

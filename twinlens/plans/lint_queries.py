@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import json
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import matching, reduction, report, scoring
+from ..operators import mapping_tables, matching, reduction, report, scoring
 from ..operators.mappings import Mappings
-from ..sources import reports
+from ..sources import lines, reports
 from . import demo
 from .register import query
 
@@ -221,57 +224,60 @@ def p7_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.withColumn("exit_code", scoring.outcome(F.col("comparable"), F.lit(0), "difference"))
 
 
-ORIENTED = Mappings(
-    rules=[{"baseline_tool": "biome", "baseline": "lint/a", "candidate_tool": "eslint", "candidate": "a-rule", "confidence": "approximate"}],
-    aliases=[{"eslint": "no-x", "biome": "lint/noX", "oxlint": "eslint(no-x)"}],
-)
-
-
-@query("j9_oriented_mappings", "SELECT * FROM (VALUES ('eslint', 'a-rule', 'biome', 'lint/a', 'approximate', NULL), ('eslint', 'no-x', 'biome', 'lint/noX', 'exact', 'from an alias')) t(baseline_tool, baseline, candidate_tool, candidate, confidence, notes)")
-def j9_oriented_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(ORIENTED.oriented("eslint", "biome"), "baseline_tool string, baseline string, candidate_tool string, candidate string, confidence string, notes string")
-
-
-@query("a10_configured_counts", "SELECT * FROM (VALUES ('eslint', 'biome', CAST(1 AS BIGINT), CAST(1 AS BIGINT)), ('eslint', 'oxlint', 1, 0), ('biome', 'oxlint', 1, 0)) t(baseline_tool, candidate_tool, exact, approximate)")
-def a10_configured_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(a, b, *ORIENTED.configured_counts(a, b)) for a, b in (("eslint", "biome"), ("eslint", "oxlint"), ("biome", "oxlint"))]
-    return spark.createDataFrame(rows, "baseline_tool string, candidate_tool string, exact long, approximate long")
-
-
-FLAT = """[{"filePath": "/project/src/a.ts", "messages": [{"ruleId": "no-debugger", "severity": 2, "message": "Unexpected", "line": 2, "column": 3, "endLine": 2, "endColumn": 11, "fix": {"range": [18, 26], "text": ""}},
-    {"ruleId": "@plugin/no-unused-vars", "severity": 1, "message": "x unused", "line": 3}, {"ruleId": 7, "severity": -1, "line": "2"}]}, {"messages": []}]"""
-NESTED = """{"summary": {"errors": 1}, "diagnostics": [{"category": "lint/suspicious/noConsole", "severity": "warning", "description": "No console.", "location": {"path": {"file": "src/a.ts"}, "start": {"line": 1, "column": 7}, "end": {"line": 1}}, "extra": [1]},
-    {"code": {"value": "lint/style/x", "url": "u"}, "message": [{"content": "a "}, {"text": ["b"]}], "location": {"path": "src/b.ts", "range": {"start": {"lineNumber": 4, "columnNumber": 2}}}},
-    {"category": 5, "code": "y", "severity": "fatal", "location": {"sourceCode": "é\\nabc", "span": [4, 6]}}]}"""
-LABELLED = """{"diagnostics": [{"filename": "src/a.ts", "code": "eslint(no-debugger)", "severity": "error", "message": "d", "line": 2, "column": 3}, {"filename": "src/a.ts", "code": {"name": "z"}, "message": "e", "labels": [{"span": {"offset": 4, "length": 2}}]},
-    {"filename": "src/none.ts", "ruleId": "q", "message": "f", "span": {"offset": 1}}], "number_of_files": 1}"""
-_VALUES = "t(tie, path, code, severity, message, start_line, start_column, end_line, end_column)"
-
+#: Rules and aliases out of parts and suppliers: three ways round, spellings with spaces, both confidences.
+MAPPING_SQL = """
+    rules AS (
+        SELECT CASE p_partkey % 4 WHEN 0 THEN 'eslint' WHEN 3 THEN 'oxlint' ELSE 'biome' END AS baseline_tool, CASE p_partkey % 4 WHEN 1 THEN 'lint/' || p_type WHEN 2 THEN 'lint/' || p_type ELSE p_brand END AS baseline,
+            CASE p_partkey % 4 WHEN 0 THEN 'biome' WHEN 1 THEN 'eslint' WHEN 2 THEN 'oxlint' ELSE 'eslint' END AS candidate_tool, CASE p_partkey % 4 WHEN 0 THEN 'lint/' || p_type ELSE p_brand || ' ' END AS candidate,
+            CASE p_size % 3 WHEN 0 THEN 'approximate' WHEN 1 THEN 'exact' END AS confidence, CASE WHEN p_size % 2 = 0 THEN 'size ' || p_size % 4 END AS notes FROM part),
+    aliases AS (
+        SELECT s_suppkey AS alias_id, 'eslint' AS tool, s_name AS code FROM supplier UNION ALL SELECT s_suppkey, 'biome', 'lint/n' || s_nationkey FROM supplier WHERE s_suppkey % 3 > 0
+        UNION ALL SELECT s_suppkey, 'oxlint', 'n' || s_nationkey FROM supplier WHERE s_suppkey % 5 > 0),
+    pairs AS (
+        SELECT {'t': list_position(['eslint', 'biome', 'oxlint'], baseline_tool), 'c': trim(baseline)} AS a, {'t': list_position(['eslint', 'biome', 'oxlint'], candidate_tool), 'c': trim(candidate)} AS b,
+            CASE WHEN confidence = 'approximate' THEN 1 ELSE 0 END AS confidence FROM rules
+        UNION ALL SELECT {'t': list_position(['eslint', 'biome', 'oxlint'], x.tool), 'c': x.code}, {'t': list_position(['eslint', 'biome', 'oxlint'], y.tool), 'c': y.code}, 0 FROM aliases x JOIN aliases y USING (alias_id)
+            WHERE list_position(['eslint', 'biome', 'oxlint'], x.tool) < list_position(['eslint', 'biome', 'oxlint'], y.tool)),
+    mapped AS (SELECT DISTINCT CASE WHEN a < b THEN a ELSE b END AS a, CASE WHEN a < b THEN b ELSE a END AS b, confidence FROM pairs)"""
+
+
+def configured(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    p, s = demo.table(spark, sf_dir, "part"), demo.table(spark, sf_dir, "supplier")
+    k, native, brand = F.col("p_partkey") % 4, F.concat(F.lit("lint/"), "p_type"), F.col("p_brand")
+    rules = p.select(
+        F.when(k == 0, "eslint").when(k == 3, "oxlint").otherwise("biome").alias("baseline_tool"), F.when(k.isin(1, 2), native).otherwise(brand).alias("baseline"),
+        F.when(k == 0, "biome").when(k == 2, "oxlint").otherwise("eslint").alias("candidate_tool"), F.when(k == 0, native).otherwise(F.concat(brand, F.lit(" "))).alias("candidate"),
+        F.when(F.col("p_size") % 3 == 0, "approximate").when(F.col("p_size") % 3 == 1, "exact").alias("confidence"), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("size "), F.col("p_size") % 4)).alias("notes"),
+    )
+    nation = F.col("s_nationkey")
+    own = F.array(
+        F.struct(F.lit("eslint").alias("tool"), F.col("s_name").alias("code")), F.struct(F.lit("biome").alias("tool"), F.when(F.col("s_suppkey") % 3 > 0, F.concat(F.lit("lint/n"), nation)).alias("code")),
+        F.struct(F.lit("oxlint").alias("tool"), F.when(F.col("s_suppkey") % 5 > 0, F.concat(F.lit("n"), nation)).alias("code")),
+    )
+    return rules, s.select(F.col("s_suppkey").alias("alias_id"), F.inline(own))
 
-def _diagnostics(df: DataFrame) -> DataFrame:
-    return df.select("tie", "path", "code", "severity", "message", "start_line", "start_column", "end_line", "end_column")
 
+@query("j8_mapping_table", f"WITH {MAPPING_SQL} SELECT CAST(a.t - 1 AS INTEGER) AS t1, a.c AS c1, CAST(b.t - 1 AS INTEGER) AS t2, b.c AS c2, confidence FROM mapped")
+def j8_mapping_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Configured rules and pairs of aliases, each once, in the order of tools."""
+    return mapping_tables.mapping_table(*configured(spark, sf_dir))
 
-@query("s1_flat_reports", f"""SELECT * FROM (VALUES (CAST(0 AS BIGINT), 'src/a.ts', 'no-debugger', 'error', 'Unexpected', CAST(2 AS BIGINT), CAST(3 AS BIGINT), CAST(2 AS BIGINT), CAST(11 AS BIGINT)),
-    (1, 'src/a.ts', '@plugin/no-unused-vars', 'warning', 'x unused', 3, 1, NULL, NULL), (2, 'src/a.ts', NULL, 'unknown', 'ESLint diagnostic', NULL, NULL, NULL, NULL)) {_VALUES}""")
-def s1_flat_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An array of files with messages, through VARIANT."""
-    return _diagnostics(reports.flat_reports(spark.createDataFrame([(0, FLAT)], "report_id long, json string"), demo.ROOT))
 
-
-@query("s2_nested_reports", f"""SELECT * FROM (VALUES (CAST(0 AS BIGINT), 'src/a.ts', 'lint/suspicious/noConsole', 'warning', 'No console.', CAST(1 AS BIGINT), CAST(7 AS BIGINT), CAST(1 AS BIGINT), CAST(NULL AS BIGINT)),
-    (1, 'src/b.ts', 'lint/style/x', 'unknown', 'a b', 4, 2, NULL, NULL), (2, '<unknown>', NULL, 'error', 'Biome diagnostic', 2, 2, 2, 4)) {_VALUES}""")
-def s2_nested_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries of changing shape at any depth."""
-    return _diagnostics(reports.walked_reports(spark.createDataFrame([(0, NESTED)], "report_id long, json string"), demo.ROOT, "biome"))
+@query("j9_oriented_mappings", f"""WITH {MAPPING_SQL}, x AS (
+        SELECT baseline, candidate, coalesce(confidence, 'exact') AS confidence, notes FROM rules WHERE baseline_tool = 'eslint' AND candidate_tool = 'biome'
+        UNION SELECT candidate, baseline, coalesce(confidence, 'exact'), notes FROM rules WHERE baseline_tool = 'biome' AND candidate_tool = 'eslint'
+        UNION SELECT x.code, y.code, 'exact', 'from an alias' FROM aliases x JOIN aliases y USING (alias_id) WHERE x.tool = 'eslint' AND y.tool = 'biome')
+    SELECT 'eslint' AS baseline_tool, baseline, 'biome' AS candidate_tool, candidate, confidence, notes FROM x""")
+def j9_oriented_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mappings between two tools, turned to baseline and candidate."""
+    return mapping_tables.oriented(*configured(spark, sf_dir), "eslint", "biome")
 
 
-@query("s3_labelled_reports", f"""SELECT * FROM (VALUES (CAST(0 AS BIGINT), 'src/a.ts', 'eslint(no-debugger)', 'error', 'd', CAST(2 AS BIGINT), CAST(3 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT)),
-    (1, 'src/a.ts', 'z', 'unknown', 'e', 2, 2, 2, 4), (2, 'src/none.ts', 'q', 'unknown', 'f', NULL, NULL, NULL, NULL)) {_VALUES}""")
-def s3_labelled_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Byte offsets turned into lines through the sources."""
-    sources = spark.createDataFrame([("src/a.ts", "é\nabc")], "path string, text string")
-    return _diagnostics(reports.walked_reports(spark.createDataFrame([(0, LABELLED)], "report_id long, json string"), demo.ROOT, "oxlint", sources))
+@query("a10_configured_counts", f"""WITH {MAPPING_SQL} SELECT ['eslint', 'biome', 'oxlint'][a.t] AS baseline_tool, ['eslint', 'biome', 'oxlint'][b.t] AS candidate_tool, count(*) FILTER (confidence = 0) AS exact,
+    count(*) FILTER (confidence = 1) AS approximate FROM mapped GROUP BY ALL""")
+def a10_configured_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A10: exact and approximate mappings by pair of tools."""
+    return mapping_tables.configured_counts(mapping_tables.mapping_table(*configured(spark, sf_dir)))
 
 
 def diagnostic_sql(x: str, tool: str) -> str:
@@ -374,3 +380,103 @@ def s3_event_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = gathered(events, one).select("report_id", F.to_json(F.struct(F.col("members").alias("diagnostics"))).alias("json"))
     sources = events.select(F.concat(F.lit("src/u"), "report_id", F.lit(".ts")).alias("path"), F.repeat(F.lit("é\nab\n"), 12).alias("text")).distinct()
     return scanned(reports.walked_reports(texts, demo.ROOT, "oxlint", sources))
+
+
+#: Event reports of odd members, by kind: what is no member of its type is passed over, and column 0 stays 0.
+_ODD = f"WITH {REPORT_SQL}, o AS (SELECT *, CAST(event_id AS BIGINT) AS k FROM e)"
+
+
+def reports_of(events: DataFrame, member, around) -> DataFrame:
+    """(report_id, json): the members of each report as JSON texts, by event, inside what ``around`` writes around their list."""
+    own = events.groupBy("report_id", "path").agg(F.array_sort(F.collect_list(F.struct("event_id", member.alias("m")))).alias("ms"))
+    return own.select("report_id", around(F.array_join(F.transform("ms", lambda x: x.m), ","), F.col("path")).alias("json"))
+
+
+def said(template: str) -> Column:
+    """JSON text with event_id, line and col in the places of <k>, <line> and <col>."""
+    parts = re.split(r"<(\w+)>", template)
+    names = {"k": "event_id", "line": "line", "col": "col"}
+    return F.concat(*(F.col(names[x]).cast("string") if i % 2 else F.lit(x) for i, x in enumerate(parts)))
+
+
+@query("s1_flat_reports", f"""{_ODD} SELECT CAST(report_id AS BIGINT) AS report_id, CAST(n AS BIGINT) AS tie, path, CASE k % 6 WHEN 0 THEN 'r' || k WHEN 2 THEN '@p/x' WHEN 5 THEN 'q' END AS code,
+    CASE k % 6 WHEN 0 THEN 'error' WHEN 2 THEN 'warning' WHEN 4 THEN 'info' WHEN 5 THEN 'error' ELSE 'unknown' END AS severity, CASE k % 6 WHEN 0 THEN 'm' || k WHEN 3 THEN 'm' WHEN 4 THEN 'm' WHEN 5 THEN '' ELSE 'ESLint diagnostic' END AS message,
+    CASE WHEN k % 6 IN (0, 2, 3, 4) THEN line END AS start_line, CAST(CASE k % 6 WHEN 0 THEN 0 WHEN 2 THEN 1 WHEN 3 THEN 1 WHEN 4 THEN 4294967295 END AS BIGINT) AS start_column, CASE WHEN k % 6 = 0 THEN line END AS end_line, CAST(NULL AS BIGINT) AS end_column FROM o""")
+def s1_flat_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages whose members are missing, of another type, or no 32-bit numbers."""
+    kinds = (
+        '{"ruleId":"r<k>","severity":2,"message":"m<k>","line":<line>,"column":0,"endLine":<line>,"endColumn":4294967296}', '{"ruleId":7,"severity":-1,"line":"2"}', '{"ruleId":"@p/x","severity":"WARN","message":null,"line":<line>}',
+        '{"severity":1.5,"message":"m","line":<line>,"column":true}', '{"ruleId":null,"severity":0,"message":"m","line":<line>,"column":4294967295}', '{"ruleId":"q","severity":"2","message":"","line":-1,"column":3}',
+    )
+    member = F.element_at(F.array(*map(said, kinds)), (F.col("event_id") % 6 + 1).cast("int"))
+    around = lambda ms, path: F.concat(F.lit('[{"filePath":"'), path, F.lit('","messages":['), ms, F.lit("]}]"))
+    return scanned(reports.flat_reports(reports_of(report_events(spark, sf_dir), member, around), demo.ROOT))
+
+
+#: A source of 12 times six bytes, two lines each, and the place of a byte offset in it.
+BODY = "é\nab\n" * 12
+_LINE_AT = "(least({0}, 72) // 6 * 2 + CASE WHEN least({0}, 72) % 6 < 3 THEN 1 ELSE 2 END)"
+_COLUMN_AT = "(least({0}, 72) % 3 + 1)"
+
+
+@query("s2_nested_reports", f"""{_ODD}, f AS (SELECT *, k % 3 AS kind, k % 90 AS spot, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS tie FROM o WHERE NOT (k % 3 = 1 AND k // 3 % 4 = 2) AND NOT (k % 3 = 2 AND k // 3 % 4 = 2))
+    SELECT CAST(report_id AS BIGINT) AS report_id, CAST(tie AS BIGINT) AS tie, CASE kind WHEN 0 THEN path WHEN 1 THEN 'src/b.ts' ELSE '<unknown>' END AS path, CASE kind WHEN 0 THEN 'lint/a/x' WHEN 1 THEN 'v' || k END AS code,
+        CASE kind WHEN 0 THEN 'warning' WHEN 1 THEN 'unknown' ELSE 'error' END AS severity, CASE kind WHEN 0 THEN 'd' || k WHEN 1 THEN 'a bc' || k ELSE 'Biome diagnostic' END AS message,
+        CASE kind WHEN 2 THEN {_LINE_AT.format("spot")} ELSE line END AS start_line, CASE kind WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE {_COLUMN_AT.format("spot")} END AS start_column,
+        CASE kind WHEN 0 THEN line WHEN 2 THEN {_LINE_AT.format("spot + 2")} END AS end_line, CASE kind WHEN 2 THEN {_COLUMN_AT.format("spot + 2")} END AS end_column FROM f""")
+def s2_nested_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S2a-S2f: entries in four kinds of wrappers, with column 0, parts of messages, values of codes, and offsets into sources that they carry."""
+    kinds = (
+        F.concat(F.lit('{"category":"lint/a/x","severity":"warning","description":"d'), F.col("event_id").cast("string"), F.lit('","location":{"path":{"file":"'), F.col("path"), F.lit('"},"start":{"line":'), F.col("line").cast("string"), F.lit(',"column":0},"end":{"line":'), F.col("line").cast("string"), F.lit('}},"extra":[1]}')),
+        said('{"code":{"value":"v<k>","url":"u"},"message":[{"content":"a "},{"text":["b",{"content":"c<k>"}]}],"location":{"path":"src/b.ts","range":{"start":{"lineNumber":<line>,"columnNumber":2}}}}'),
+        F.concat(F.lit('{"category":5,"code":"y","severity":"fatal","location":{"sourceCode":' + json.dumps(BODY) + ',"span":['), (F.col("event_id") % 90).cast("string"), F.lit(","), (F.col("event_id") % 90 + 2).cast("string"), F.lit("]}}")),
+    )
+    entry = F.element_at(F.array(*kinds), (F.col("event_id") % 3 + 1).cast("int"))
+    # a bare entry counts if it has a category and a place; the others of that kind are hidden in members that nothing reads
+    bare = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("[["), entry, F.lit("]]"))).otherwise(F.concat(F.lit('[{"other":'), entry, F.lit("}]")))
+    w = F.floor(F.col("event_id") / 3) % 4
+    member = (
+        F.when(w == 0, F.concat(F.lit('{"diagnostics":['), entry, F.lit("]}"))).when(w == 1, F.concat(F.lit('{"diagnostic":'), entry, F.lit("}"))).when(w == 2, bare)
+        .otherwise(F.concat(F.lit('{"category":"no","message":"no","diagnostics":['), entry, F.lit("]}")))
+    )
+    around = lambda ms, path: F.concat(F.lit("["), ms, F.lit("]"))
+    return scanned(reports.walked_reports(reports_of(report_events(spark, sf_dir), member, around), demo.ROOT, "biome"))
+
+
+@query("s3_labelled_reports", f"""{_ODD}, f AS (SELECT *, k % 4 AS kind, k % 90 AS spot FROM o)
+    SELECT CAST(report_id AS BIGINT) AS report_id, CAST(n AS BIGINT) AS tie, CASE WHEN kind = 1 THEN 'src/none.ts' ELSE path END AS path, CASE kind WHEN 0 THEN 'eslint(x)' WHEN 1 THEN 'z' || k WHEN 2 THEN 'q' END AS code,
+        CASE kind WHEN 0 THEN 'error' ELSE 'unknown' END AS severity, CASE kind WHEN 2 THEN 'Oxlint diagnostic' ELSE 'm' || k END AS message, CASE kind WHEN 1 THEN NULL WHEN 2 THEN {_LINE_AT.format("spot")} ELSE line END AS start_line,
+        CASE kind WHEN 0 THEN 0 WHEN 2 THEN {_COLUMN_AT.format("spot")} WHEN 3 THEN 1 END AS start_column, CASE kind WHEN 0 THEN line + 1 WHEN 2 THEN {_LINE_AT.format("spot")} WHEN 3 THEN {_LINE_AT.format("spot + 4")} END AS end_line,
+        CASE kind WHEN 2 THEN {_COLUMN_AT.format("spot")} WHEN 3 THEN {_COLUMN_AT.format("spot + 4")} END AS end_column FROM f""")
+def s3_labelled_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3a-S3d, J11: paths of the object around, codes by name, lines with ends by offset, and offsets alone, through line starts."""
+    kinds = (
+        '{"code":"eslint(x)","severity":"error","message":"m<k>","line":<line>,"column":0,"endLine":<line+1>}', '{"filename":"src/none.ts","code":{"name":"z<k>"},"message":"m<k>","labels":[{"span":{"offset":4,"length":2}}]}',
+        '{"ruleId":"q","message":7,"span":{"offset":<at>}}', '{"code":{"other":1},"message":"m<k>","labels":[{"span":{"line":<line>,"offset":<at>,"length":4}}],"span":{"line":1}}',
+    )
+    at, below = (F.col("event_id") % 90).cast("string"), (F.col("line") + 1).cast("string")
+    filled = [F.replace(F.replace(said(t.replace("<at>", "[at]").replace("<line+1>", "[below]")), F.lit("[at]"), at), F.lit("[below]"), below) for t in kinds]
+    member = F.element_at(F.array(*filled), (F.col("event_id") % 4 + 1).cast("int"))
+    around = lambda ms, path: F.concat(F.lit('[{"filePath":"'), path, F.lit('","messages":['), ms, F.lit("]}]"))
+    events = report_events(spark, sf_dir)
+    sources = events.select(F.concat(F.lit("src/u"), "report_id", F.lit(".ts")).alias("path")).distinct().withColumn("text", F.lit(BODY))
+    return scanned(reports.walked_reports(reports_of(events, member, around), demo.ROOT, "oxlint", sources))
+
+
+#: Offsets of a text: some three hundred, and some past its end.
+_STEP = "greatest(size // 300, 1)"
+
+
+@query("f5_line_index", f"""WITH t AS (SELECT doc_id, text, CAST(octet_length(encode(text)) AS BIGINT) AS size FROM documents WHERE text IS NOT NULL),
+    parts AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS part, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM t),
+    starts AS (SELECT doc_id, n, CAST(coalesce(sum(octet_length(encode(part)) + 1) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM parts),
+    spots AS (SELECT doc_id, unnest(range(0, size + 3 * {_STEP}, {_STEP})) AS byte_offset, size FROM t)
+    SELECT o.doc_id, o.byte_offset, s.n AS line, least(o.byte_offset, o.size) - s.start + 1 AS col FROM (SELECT *, least(byte_offset, size) AS spot FROM spots) o ASOF JOIN starts s ON o.doc_id = s.doc_id AND o.spot >= s.start""")
+def f5_line_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hundreds of byte offsets a document, through the line starts of each."""
+    docs = demo.table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.col("doc_id").cast("string").alias("path"), "text")
+    size = F.octet_length("text").cast("long")
+    step = F.greatest(F.floor(size / 300), F.lit(1).cast("long"))
+    spots = docs.select("doc_id", "path", F.explode(F.sequence(F.lit(0).cast("long"), size + 3 * step - 1, step)).alias("byte_offset"))
+    found = lines.with_positions(spots, lines.line_index(docs), "path", at="byte_offset")
+    return found.select("doc_id", "byte_offset", F.col("at.line").alias("line"), F.col("at.column").alias("col"))

@@ -1,8 +1,8 @@
 """Scans of captured JSON reports in three dialects, to the DIAGNOSTIC columns and the fix.
 
 ``flat`` reports (an array of files with messages) are read natively through VARIANT. ``nested`` and ``labelled`` reports may
-nest to any depth and change shape from row to row, so an Arrow function walks them; byte offsets are turned into
-lines natively, after a join with the sources where the report doesn't carry them.
+nest to any depth and change shape from row to row, so an Arrow function walks them. Byte offsets are turned into lines where the
+report carries the source, and otherwise through the sources' line starts, which diagnostics join in place of the texts.
 """
 
 from __future__ import annotations
@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from ..errors import OperationalError
 from ..functions import text as single
-from ..functions.scalars import normalize_path, offset_position, severity, strip
+from ..functions.scalars import normalize_path, severity, strip
 from ..functions.values import TOOL_NAMES
+from . import lines
 
 UNKNOWN_PATH = "<unknown>"
 U32 = 4294967295
@@ -86,6 +87,11 @@ def _whole(value, most: int = U32):
     return value if isinstance(value, int) and not isinstance(value, bool) and 0 <= value <= most else None
 
 
+def _from_one(column: int | None) -> int:
+    """A column as reported, 0 too; 1 where none is."""
+    return 1 if column is None else column
+
+
 def _string(value, *inside):
     """A string, or the first string among members of it."""
     if isinstance(value, str):
@@ -125,7 +131,7 @@ def _walk(value, lists: tuple[str, ...], alone, path: str | None = None) -> Iter
 
 
 #: One parsed entry: position, the row's fields, lines where the report has them, else byte offsets.
-ROW = "report_id long, tie long, raw_path string, code string, severity string, message string, start_line long, start_column long, end_line long, end_column long, from_offset long, to_offset long, source string"
+ROW = "report_id long, tie long, raw_path string, code string, severity string, message string, start_line long, start_column long, end_line long, end_column long, from_offset long, to_offset long"
 
 
 def _nested_entry(e) -> tuple:
@@ -142,7 +148,7 @@ def _nested_entry(e) -> tuple:
             continue
         line = at(start, "line", "lineNumber")
         if line is not None:
-            place = (line, at(start, "column", "columnNumber") or 1, at(end, "line", "lineNumber"), at(end, "column", "columnNumber"))
+            place = (line, _from_one(at(start, "column", "columnNumber")), at(end, "line", "lineNumber"), at(end, "column", "columnNumber"))
         break
     else:
         span = _get(e, "location", "span")
@@ -159,7 +165,7 @@ def _labelled_entry(e, around: str | None) -> tuple:
     labels = _get(e, "labels")
     span = _get(labels[0], "span") if isinstance(labels, list) and labels else MISSING
     span = _get(e, "span") if span is MISSING else span
-    four = lambda v: (_whole(_get(v, "line")), _whole(_get(v, "column")) or 1, _whole(_get(v, "endLine")), _whole(_get(v, "endColumn")))
+    four = lambda v: (_whole(_get(v, "line")), _from_one(_whole(_get(v, "column"))), _whole(_get(v, "endLine")), _whole(_get(v, "endColumn")))
     offset, size = _whole(_get(span, "offset"), 2**62), _whole(_get(span, "length"), 2**62)
     place, offsets = four(e), (None, None)
     if place[0] is None:
@@ -173,6 +179,19 @@ def _labelled_entry(e, around: str | None) -> tuple:
     return (path, None if code is MISSING else _string(code, "name"), _severity_of(_get(e, "severity")), message if isinstance(message, str) else "Oxlint diagnostic", *place, *offsets, None)
 
 
+def _placed(entry: tuple, known: dict[str, lines.LineStarts]) -> tuple:
+    """An entry with the lines of its offsets where it carries the source, whose line starts are made once a report."""
+    *fields, line, column, end_line, end_column, start, end, source = entry
+    if source is None:
+        return entry[:-1]
+    if source not in known:
+        known[source] = lines.LineStarts(source)
+    at = lambda offset: (None, None) if offset is None else known[source].position(offset)
+    (from_line, from_column), (to_line, to_column) = at(start), at(end)
+    pick = lambda given, found: found if given is None else given
+    return (*fields, pick(line, from_line), pick(column, from_column), pick(end_line, to_line), pick(end_column, to_column), None, None)
+
+
 def _alone_nested(v: dict) -> list:
     if "category" in v and ("location" in v or "message" in v):
         return [v]
@@ -204,16 +223,17 @@ def walked_reports(reports: DataFrame, root: str, tool: str, sources: DataFrame
                 except ValueError as e:
                     raise OperationalError(f"{tool} report {report} is no JSON: {e}") from None
                 found = _walk(value, ("diagnostics",), _alone_nested) if nested else _walk(value, ("messages", "diagnostics"), _alone_labelled)
-                rows += [(report, k, *(_nested_entry(e) if nested else _labelled_entry(e, path))) for k, (e, path) in enumerate(found)]
+                known: dict[str, lines.LineStarts] = {}
+                rows += [(report, k, *_placed(_nested_entry(e) if nested else _labelled_entry(e, path), known)) for k, (e, path) in enumerate(found)]
             cols = list(zip(*rows, strict=True)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
     rows = reports.select("report_id", "json").mapInArrow(run, ROW).withColumn("path", normalize_path(F.col("raw_path"), root))
     if sources is not None:
-        own = sources.select(F.col("path").alias("source_path"), F.col("text").alias("source_text"))
-        rows = rows.join(own, rows.path == own.source_path, "left").withColumn("source", F.coalesce("source", "source_text"))
-    spot = lambda c: F.when(F.col("source").isNotNull() & F.col(c).isNotNull(), offset_position(F.col("source"), F.least(F.col(c), F.lit(2**31 - 2))))
-    start, end = spot("from_offset"), spot("to_offset")
+        rows = lines.with_positions(rows, lines.line_index(sources), "path", start="from_offset", end="to_offset")
+        start, end = F.col("start"), F.col("end")
+    else:
+        start = end = F.lit(None).cast("struct<line:bigint,column:bigint>")
     has = F.col("start_line").isNotNull() | F.col("from_offset").isNotNull()
     return rows.select(
         "report_id", F.lit(tool).alias("tool"), "path", "code", "severity", "message", F.coalesce("start_line", start.line).alias("start_line"), F.coalesce("start_column", start.column).alias("start_column"),
@@ -239,7 +259,7 @@ def _flat_entries(value, tool: str) -> Iterator[tuple]:
         path = _string(_get(f, "filePath")) or UNKNOWN_PATH
         for m in listed:
             line, message, fix = _whole(_get(m, "line")), _string(_get(m, "message")), _get(m, "fix")
-            place = (line, _whole(_get(m, "column")) or 1, _whole(_get(m, "endLine")), _whole(_get(m, "endColumn"))) if line is not None else (None,) * 4
+            place = (line, _from_one(_whole(_get(m, "column"))), _whole(_get(m, "endLine")), _whole(_get(m, "endColumn"))) if line is not None else (None,) * 4
             spot = _get(fix, "range")
             spot = [_whole(x, 2**63 - 1) for x in spot] if isinstance(spot, list) else []
             given = None if fix is MISSING or fix is None else {"start": spot[0] if spot else None, "end": spot[1] if len(spot) > 1 else None, "replacement": _string(_get(fix, "text"))}
@@ -262,14 +282,11 @@ def local_reports(text: str, root: str, tool: str, sources: dict[str, str] | Non
         found = ((*_nested_entry(e), None) for e, _ in _walk(value, ("diagnostics",), _alone_nested))
     else:
         found = ((*_labelled_entry(e, path), None) for e, path in _walk(value, ("messages", "diagnostics"), _alone_labelled))
-    out = []
+    out, known = [], {}
     for tie, (path, code, level, message, *place, start, end, source, fix) in enumerate(found):
         own = single.normalize_path(path, root)
         source = source if source is not None else (sources or {}).get(own)
-        at = lambda offset, source=source: (None, None) if offset is None or source is None else single.offset_position(source, offset)
-        (line, column), (end_line, end_column) = at(start), at(end)
-        line, column = (place[0], place[1]) if place[0] is not None else (line, column)
-        end_line, end_column = place[2] if place[2] is not None else end_line, place[3] if place[3] is not None else end_column
+        line, column, end_line, end_column = _placed((*place, start, end, source), known)[:4]
         row = {"tool": tool, "path": own, "code": code, "severity": level, "message": message, "start_line": line, "start_column": column, "end_line": end_line, "end_column": end_column}
         out.append(row | {"tie": tie, "fix": fix})
     return out

@@ -65,27 +65,10 @@ def test_patch(tmp_path):
     assert formatting.diff_text("f", left, left) == ""
 
 
-def test_reduction(spark):
+def test_reduction_of_one_text():
     text = "a\nb\nKEEP\nc\nd\n"
     memo = reduction.Memo(lambda t: "KEEP" in t, text)
     assert reduction.minimise(text, memo) == "KEEP\n" and memo.attempts == len(memo.seen) - 1
-    rules = reduction.LintMismatches(reduction.LineRules("eslint", {"x": lambda line: line if "x" in line else None}), reduction.LineRules("biome", {}), "eslint", "biome")
-    df = spark.createDataFrame([(1, "a\nx1\nb\n"), (2, "none"), (3, None), (4, "")], "case_id long, text string")
-    assert [(r.case_id, r.text) for r in reduction.reduce_cases(df, rules).collect()] == [(1, "x1\n")]
-
-
-def test_reductions_are_least(spark):
-    """No line of a reduced text can go, and the mismatch is the first of the whole text."""
-    from twinlens.plans import plan_queries
-
-    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()}
-    rows = plan_queries.r1_reduction(spark, "/root/testdata/sf0.01").collect()
-    assert {r.case_id for r in rows} == {i for i, t in docs.items() if t is not None and plan_queries.RULES(t)} and len(rows) > 20
-    for r in rows:
-        wanted = plan_queries.RULES(docs[r.case_id])[0]
-        pieces = reduction.line_pieces(r.text)
-        assert wanted in plan_queries.RULES(r.text) and r.category == wanted.category and r.reduced_lines <= r.original_lines
-        assert all(wanted not in plan_queries.RULES("".join(pieces[:i] + pieces[i + 1 :])) for i in range(len(pieces)))
 
 
 def test_config(tmp_path):

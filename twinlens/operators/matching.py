@@ -48,6 +48,8 @@ def sort_key() -> Column:
     )
 
 
+#: Components of rows without a rule begin so, and a file's are so many.
+ALONE, ALONE_GROUPS = "\0", 64
 #: Distances are packed into one number each side of this many bits; larger positions are compared in full.
 PACKED_BITS = 30
 TAKEN = np.iinfo(np.int64).max
@@ -214,9 +216,11 @@ def linked(diagnostics: DataFrame, mappings: Mappings, baseline_tool: str, candi
     """
     fix = F.col("fix").cast(FIX) if "fix" in diagnostics.columns else F.lit(None).cast(FIX)
     d = diagnostics.select("side", *FIELDS, fix.alias("fix")).withColumn("canonical_code", mappings.canonical(F.col("code")))
-    d = d.withColumn("component", F.when(F.col("code").isNotNull(), mappings.component(F.col("tool"), F.col("code"), F.col("canonical_code"))))
+    # rows without a rule go through the same pass, in small groups in which nothing is matched
+    alone = F.concat(F.lit(ALONE), F.pmod(F.coalesce("tie", F.lit(0)), F.lit(ALONE_GROUPS)).cast("string"))
+    d = d.withColumn("component", F.coalesce(F.when(F.col("code").isNotNull(), mappings.component(F.col("tool"), F.col("code"), F.col("canonical_code"))), alone))
     # the exchange keeps what is computed before it from being computed again in the expressions after it
-    dealt = with_fingerprint(d.where("component IS NOT NULL").repartition("path", "component"))
+    dealt = with_fingerprint(d.repartition("path", "component"))
     row = F.struct("key", *FIELDS, "fix", "canonical_code", "fingerprint", end_key(F.col("tool"), F.col("code")).alias("end"))
     known = dealt.withColumn("key", sort_key()).sortWithinPartitions("path", "component", "side", "key").select("path", "component", "side", row.alias("row"))
     item = known.schema["row"].dataType
@@ -246,9 +250,10 @@ def linked(diagnostics: DataFrame, mappings: Mappings, baseline_tool: str, candi
             line = rows.field("start_line").fill_null(-1).to_numpy(zero_copy_only=False)
             col = rows.field("start_column").fill_null(1).to_numpy(zero_copy_only=False)
             b_at, c_at, conf = [], [], []
+            component = table.column("component")
             for start, stop in zip(*bounds(table), strict=True):
                 split = start + int((~cand[start:stop]).sum())
-                got = pick(line[start:split], col[start:split], line[split:stop], col[split:stop], confidences(rows.slice(start, split - start), rows.slice(split, stop - split)) if start < split < stop else None)
+                got = [(-1, 0)] * (split - start) if component[start].as_py().startswith(ALONE) else pick(line[start:split], col[start:split], line[split:stop], col[split:stop], confidences(rows.slice(start, split - start), rows.slice(split, stop - split)) if start < split < stop else None)
                 used = set()
                 for i, (j, k) in enumerate(got):
                     b_at.append(start + i)
@@ -292,17 +297,12 @@ def linked(diagnostics: DataFrame, mappings: Mappings, baseline_tool: str, candi
             yield finish(pa.Table.from_batches(held))
 
     rows = known.mapInArrow(walk, schema)
-    none = F.lit(None).cast(item)
-    lone = with_fingerprint(d.where("component IS NULL")).withColumn("key", sort_key()).select(
-        F.col("side").alias("bucket"), "path", F.lit(None).cast("int").alias("conf"), F.when(F.col("side") == "baseline", row).otherwise(none).alias("b"), F.when(F.col("side") == "candidate", row).otherwise(none).alias("c")
-    )
-    both = rows.unionByName(lone)
     kind = F.when(F.col("bucket") == "match", match_kind(F.col("b"), F.col("c"), F.col("conf")))
     known_rule = F.when(
         F.col("bucket") == "baseline", mappings.endpoint_confidence(F.lit(baseline_tool), F.col("b.code"), F.lit(candidate_tool), F.col("b.canonical_code")).isNotNull() & F.col("b.code").isNotNull()
     ).when(F.col("bucket") == "candidate", mappings.endpoint_confidence(F.lit(candidate_tool), F.col("c.code"), F.lit(baseline_tool), F.col("c.canonical_code")).isNotNull() & F.col("c.code").isNotNull())
     bucket = F.when(F.col("bucket") == "match", "match").when(known_rule, F.concat("bucket", F.lit("_only"))).otherwise(F.concat(F.lit("unmapped_"), F.col("bucket")))
-    return both.select(bucket.alias("bucket"), "path", kind.alias("kind"), F.col("conf").alias("confidence"), "b", "c")
+    return rows.select(bucket.alias("bucket"), "path", kind.alias("kind"), F.col("conf").alias("confidence"), "b", "c")
 
 
 def local_links(baseline: list[dict], candidate: list[dict], mappings: Mappings, baseline_tool: str, candidate_tool: str) -> list[dict]:

@@ -1,17 +1,15 @@
-"""Minimised reproductions: line-wise delta debugging of texts that keep a chosen mismatch, in parallel over cases."""
+"""What a minimised reproduction keeps, and line-wise delta debugging of one text, for tools that run on the driver; ``levels`` reduces tables of cases."""
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import OperationalError
-from ..functions.text import line_count
 from ..functions.values import MATCH_KINDS, NO_POSITION
 from . import formatting, matching
 from .mappings import Mappings
@@ -41,14 +39,14 @@ Signatures = Callable[[str], list[Mismatch]]
 ORDER = ("baseline_only", "candidate_only", "unmapped_baseline", "unmapped_candidate", "match")
 
 
-def mismatches(links: DataFrame) -> DataFrame:
-    """(path, bucket, side, category, code, baseline, candidate) of links that are mismatches: identities, no positions."""
+def mismatches(links: DataFrame, *more: str) -> DataFrame:
+    """(path, bucket, side, category, code, baseline, candidate) of links that are mismatches: identities, no positions. Columns of ``more`` go along."""
     bucket, match = F.col("bucket"), F.col("bucket") == "match"
     category = F.when(match, F.col("kind")).when(bucket.startswith("unmapped"), F.concat(bucket, F.lit("_only"))).otherwise(bucket)
     side = F.when(match, "both").when(bucket.endswith("_only"), F.regexp_replace(bucket, "_only$", "")).otherwise(bucket)
     identity = lambda x: F.when(F.col(x).isNotNull(), F.struct(F.col(f"{x}.canonical_code").alias("canonical_code"), F.col(f"{x}.message").alias("message"), F.col(f"{x}.severity").alias("severity")))
     rows = links.where(is_mismatch())
-    return rows.select("path", "bucket", side.alias("side"), category.alias("category"), F.coalesce("b.canonical_code", "c.canonical_code").alias("code"), identity("b").alias("baseline"), identity("c").alias("candidate"))
+    return rows.select("path", "bucket", side.alias("side"), category.alias("category"), F.coalesce("b.canonical_code", "c.canonical_code").alias("code"), identity("b").alias("baseline"), identity("c").alias("candidate"), *more)
 
 
 def is_mismatch() -> Column:
@@ -219,31 +217,3 @@ def keeps(signatures: Signatures, wanted: Mismatch) -> Callable[[str], bool]:
             return False
 
     return holds
-
-
-SCHEMA = "case_id long, category string, text string, attempts int, original_lines int, reduced_lines int, original_bytes int, reduced_bytes int"
-
-
-def reduce_cases(cases: DataFrame, signatures: Signatures, mismatch: int = 0) -> DataFrame:
-    """Each text of (case_id, text) reduced to keep its ``mismatch``-th signature; texts without so many give no row.
-
-    One case is sequential by nature; cases are spread over tasks. A signature function that raises on a smaller text
-    counts as the mismatch being gone. Null texts give no row.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in SCHEMA.split(", ")]
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
-        for b in batches:
-            rows = []
-            for case, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found = signatures(text) if text is not None else []
-                if mismatch >= len(found):
-                    continue
-                memo = Memo(keeps(signatures, found[mismatch]), text)
-                small = minimise(text, memo)
-                rows.append((case, found[mismatch].category, small, memo.attempts, line_count(text), line_count(small), len(text.encode()), len(small.encode())))
-            cols = list(zip(*rows, strict=True)) or [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
-
-    return cases.select("case_id", "text").mapInArrow(run, SCHEMA)

@@ -60,8 +60,8 @@ def rule_classes(links: DataFrame, mappings: Mappings, baseline_tool: str, candi
 
     A rule matched both ways is in both classes.
     """
-    side = lambda s, name: links.where(F.col(name).isNotNull()).select(F.lit(s).alias("side"), F.col(f"{name}.code").alias("code"), F.when(F.col("bucket") == "match", F.col("confidence")).alias("conf"))
-    seen = side("baseline", "b").union(side("candidate", "c")).where("code IS NOT NULL")
+    end = lambda s, name: F.struct(F.lit(s).alias("side"), F.col(f"{name}.code").alias("code"), F.when(F.col("bucket") == "match", F.col("confidence")).alias("conf"))
+    seen = links.select(F.inline(F.array(end("baseline", "b"), end("candidate", "c")))).where("code IS NOT NULL")
     seen = seen.groupBy("side", "code").agg(F.collect_set("conf").alias("confs"))
     own = F.when(F.col("side") == "baseline", baseline_tool).otherwise(candidate_tool)
     other = F.when(F.col("side") == "baseline", candidate_tool).otherwise(baseline_tool)
@@ -101,6 +101,12 @@ def has_differences(links: DataFrame, profile: str = "comparable", count_probabl
     return links.groupBy(*by).agg(any_) if by else links.agg(any_)
 
 
+def differences(links: DataFrame, *by: str) -> DataFrame:
+    """(by, comparable, raw): whether any link is a difference under each profile, in one pass."""
+    any_ = lambda profile: F.coalesce(F.bool_or(is_difference(profile)), F.lit(False)).alias(profile)
+    return links.groupBy(*by).agg(any_("comparable"), any_("raw"))
+
+
 def format_differs(summary: DataFrame) -> DataFrame:
     """``differs``: whether a format summary counts any file that differs or isn't idempotent."""
     return summary.select((F.col("different") + F.col("baseline_non_idempotent") + F.col("candidate_non_idempotent") + F.col("both_non_idempotent") > 0).alias("differs"))

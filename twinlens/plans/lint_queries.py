@@ -48,8 +48,8 @@ def a2_raw_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def a4_comparable_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The summary over rules that both tools know, with file coverage."""
-    n = demo.table(spark, sf_dir, "events").agg(F.count_distinct("user_id").alias("n"), F.count_distinct(F.when(F.col("user_id") % 2 == 0, F.col("user_id"))).alias("k")).first()
-    return scoring.comparable_summary(event_links(spark, sf_dir), F.lit(n.n), F.lit(n.k))
+    n = demo.table(spark, sf_dir, "events").agg(F.count_distinct("user_id").alias("n"), F.count_distinct(F.when(F.col("user_id") % 2 == 0, F.col("user_id"))).alias("k"))
+    return scoring.comparable_summary(event_links(spark, sf_dir), n.select("n").scalar(), n.select("k").scalar())
 
 
 CLASSES_SQL = """
@@ -218,9 +218,7 @@ def l2_nth_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def p7_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether each file differs under either profile, and the exit code."""
-    x = event_links(spark, sf_dir)
-    d = scoring.has_differences(x, "comparable", by=("path",)).withColumnRenamed("differs", "comparable")
-    d = d.join(scoring.has_differences(x, "raw", by=("path",)).withColumnRenamed("differs", "raw"), "path")
+    d = scoring.differences(event_links(spark, sf_dir), "path")
     return d.withColumn("exit_code", scoring.outcome(F.col("comparable"), F.lit(0), "difference"))
 
 
@@ -305,8 +303,8 @@ def k1_report_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("k8_lint_report", f"""WITH {demo.EVENT_SQL} SELECT 'baseline' AS side, {_B} AS json FROM b UNION ALL SELECT 'candidate', {_C} FROM c""")
 def k8_lint_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K8: the diagnostics of both tools' runs, as a lint report holds them."""
-    links = event_links(spark, sf_dir)
-    return report.diagnostic_documents(links, "b").select(F.lit("baseline").alias("side"), "json").union(report.diagnostic_documents(links, "c").select(F.lit("candidate"), "json"))
+    side = lambda s, name: F.struct(F.lit(s).alias("side"), F.to_json(report.diagnostic_json(name)).alias("json"))
+    return event_links(spark, sf_dir).select(F.inline(F.array(side("baseline", "b"), side("candidate", "c")))).where("json IS NOT NULL")
 
 
 #: A report for each user out of the events, in each dialect.

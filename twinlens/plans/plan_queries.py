@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.globs import matches_any
 from ..functions.text import success_warning
 from ..functions.values import POLICIES
-from ..operators import capability, formatting, reduction, report, scoring
+from ..operators import capability, formatting, levels, report, scoring
+from ..operators.mappings import Mappings
 from ..sources.files import ignore_rules, ignored_by, keep_files
 from . import demo
 from .register import query
@@ -300,19 +301,38 @@ def t3_unified_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compared(spark, sf_dir, "collapse", "same", diffs=True).where("diff IS NOT NULL").select("path", "diff")
 
 
-def marked(mark: str):
-    """A rule that reports the head of each line with a mark."""
-    return lambda line: line[:20] if mark in line else None
+#: Two linters that agree on some lines, place or weigh others differently, and know marks that the other doesn't.
+def linters(texts: DataFrame) -> DataFrame:
+    line = F.col("line")
+    hashes = (line.contains("###"), F.when(F.char_length(line) % 2 == 0, 2).otherwise(1), F.when(line.contains("e"), "error").otherwise("warning"))
+    left = levels.line_findings(texts, "baseline", "eslint", {"no-stars": line.contains("***"), "no-hash": line.contains("###")})
+    return left.unionByName(levels.line_findings(texts, "candidate", "biome", {"lint/a/noHash": hashes, "lint/a/noBang": line.contains("!!")}))
 
 
-#: Two linters for the reducer: they agree on some marks and not on others.
-RULES = reduction.LintMismatches(
-    reduction.LineRules("eslint", {"no-stars": marked("***"), "no-hash": marked("###")}), reduction.LineRules("biome", {"lint/a/noHash": marked("###"), "lint/a/noBang": marked("!!")}), "eslint", "biome"
-)
+RULES = levels.lint_comparison(linters, Mappings(), "eslint", "biome")
+#: The first mismatch of each document, and the line that a reduction leaves of it: every rule looks at one line.
+FIRST_SQL = """
+    parts AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents WHERE text IS NOT NULL),
+    found AS (
+        SELECT *, contains(line, '***') AS stars, contains(line, '!!') AS bang, contains(line, '###') AS hash, length(line) % 2 = 0 AS moved, contains(line, 'e') AS weighed FROM parts),
+    told AS (
+        SELECT doc_id, text, line, n, 0 AS section, 'unmapped_baseline_only' AS category FROM found WHERE stars UNION ALL SELECT doc_id, text, line, n, 1, 'unmapped_candidate_only' FROM found WHERE bang
+        UNION ALL SELECT doc_id, text, line, n, 2, CASE WHEN moved THEN 'range_changed' ELSE 'severity_changed' END FROM found WHERE hash AND (moved OR weighed)),
+    firsts AS (SELECT doc_id AS case_id, any_value(text) AS text, arg_min(category, section * 1000000 + n) AS category, arg_min(line, section * 1000000 + n) AS line FROM told GROUP BY doc_id)"""
 
 
-@query("r1_reduction")
+@query("r1_reduction", f"""WITH {FIRST_SQL} SELECT case_id, category, line, CAST(length(text) - length(replace(text, chr(10), '')) + CASE WHEN text LIKE '%' || chr(10) THEN 0 ELSE 1 END AS INTEGER) AS original_lines, 1 AS reduced_lines,
+    CAST(octet_length(encode(text)) AS INTEGER) AS original_bytes FROM firsts""")
 def r1_reduction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document that shows a mismatch, reduced to the lines that keep the first one."""
+    """Each document that shows a mismatch, reduced to the line that keeps the first one."""
     cases = demo.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("case_id"), "text")
-    return reduction.reduce_cases(cases, RULES)
+    out = levels.reduce_cases(cases, RULES)
+    return out.select("case_id", "category", F.regexp_replace("text", "\n$", "").alias("line"), "original_lines", "reduced_lines", "original_bytes")
+
+
+@query("r5_format_reduction", f"""WITH {format_sql("documents", "doc_id", "text", "collapse", "pairs")} SELECT path AS case_id, status AS category, true AS keeps, true AS least FROM results WHERE status NOT IN ('identical', 'failed')""")
+def r5_format_reduction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document that two formatters disagree on, reduced; whether the result still shows it, and shows it without no line."""
+    compared = levels.format_comparison(FORMATTERS["collapse"], FORMATTERS["pairs"], F.col("text").contains("@"))
+    cases = demo.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("case_id"), "text")
+    return levels.checked(levels.reduce_cases(cases, compared), compared)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .errors import CLEAN, DIFFERENCES, OPERATIONAL, OperationalError, ToolFailure, TwinlensError, UsageError
 from .functions.text import line_count, normalize_path
 from .functions.values import FORMATTERS, LINTERS, POLICIES, PROFILES, SCHEMA_VERSION, TOOL_NAMES, TOOLS
-from .operators import capability, formatting, matching, reduction, report, scoring
+from .operators import capability, formatting, matching, reduction, report, report_sink, scoring
 from .sources import config as configuration
 from .sources import files, process, reports
 
@@ -58,6 +58,7 @@ def parser() -> argparse.ArgumentParser:
 def _report_options(p: argparse.ArgumentParser) -> None:
     p.add_argument("--report-file")
     p.add_argument("--no-save-report", action="store_true")
+    p.add_argument("--report-folder", help="a folder of any file system that Spark knows, for reports of any size")
 
 
 def check(args: argparse.Namespace) -> None:
@@ -142,6 +143,14 @@ def emit(args: argparse.Namespace, conf: configuration.Config, mode: str, docume
     save(args, conf, mode, document)
 
 
+def in_folder(spark: SparkSession, args: argparse.Namespace, document: dict, rows: DataFrame, sections: list[str]) -> bool:
+    """Whether the report goes to a folder, written by tasks; then it is written, and nothing of its lists is printed or saved elsewhere."""
+    if args.report_folder:
+        done = report_sink.write_document(spark, args.report_folder, document, rows, sections)
+        print(f"report written: {args.report_folder} ({sum(s['rows'] for s in done['sections'])} rows)", file=sys.stderr)
+    return bool(args.report_folder)
+
+
 def save(args: argparse.Namespace, conf: configuration.Config, mode: str, document: dict) -> None:
     if not args.no_save_report:
         path = report_path(conf, args) or conf.root / ".twinlens" / "reports" / f"{mode}-{time.time_ns()}-{os.getpid()}.json"
@@ -234,7 +243,8 @@ def compare_lint(spark: SparkSession, args: argparse.Namespace, conf: configurat
         "mappingSummary": report.mapping_document(classes, scoring.mapping_summary(links, m, args.baseline, args.candidate).first().asDict(), args.baseline, args.candidate),
     }
     document = report.lint_document(root, args.profile, own.plan, tuple(runs), summaries, links, own.dispositions)
-    emit(args, conf, "lint", document, report.lint_text(document, own.counts, links, own.dispositions))
+    if not in_folder(spark, args, document, report_sink.lint_rows(links), report_sink.LINT_SECTIONS):
+        emit(args, conf, "lint", document, report.lint_text(document, own.counts, links, own.dispositions))
     differs = scoring.has_differences(links, args.profile, conf.values["matching"]["count_probable_as_match"]).first().differs
     code = own.settle(differs, own.counts["unsupported"])
     links.unpersist()
@@ -256,7 +266,8 @@ def compare_format(spark: SparkSession, args: argparse.Namespace, conf: configur
     summary = report.one_row(counts)
     failures = formatting.failures(results, args.baseline, args.candidate)
     document = report.format_document(str(conf.root), args.baseline, args.candidate, own.plan, summary, results, failures)
-    emit(args, conf, "format", document, report.format_text(document, results))
+    if not in_folder(spark, args, document, report_sink.format_rows(results), report_sink.FORMAT_SECTIONS):
+        emit(args, conf, "format", document, report.format_text(document, results))
     differs = scoring.format_differs(counts).first().differs
     results.unpersist()
     if summary["failed"]:

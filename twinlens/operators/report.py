@@ -37,13 +37,13 @@ def link_order() -> list[Column]:
     return [F.col("path"), F.coalesce(own["start_line"], far), F.coalesce(own["start_column"], far), kind, code.asc_nulls_first(), message, own["fingerprint"], own["tie"]]
 
 
-def link_documents(links: DataFrame) -> DataFrame:
-    """(section, path, json): one compact JSON document per link, by report section; written as lines, a report of any size."""
+def link_documents(links: DataFrame, *more: str) -> DataFrame:
+    """(section, path, json): one compact JSON document per link, by report section; columns of ``more`` go along."""
     confidence = F.element_at(F.array(F.lit("exact"), F.lit("approximate")), F.col("confidence") + 1)
     match = F.struct(F.col("kind"), confidence.alias("mappingConfidence"), diagnostic_json("b").alias("baseline"), diagnostic_json("c").alias("candidate"))
     section = F.element_at(F.create_map(*(F.lit(x) for kv in SECTIONS.items() for x in kv)), F.col("bucket"))
     body = F.when(F.col("bucket") == "match", F.to_json(match)).when(F.col("b").isNotNull(), F.to_json(diagnostic_json("b"))).otherwise(F.to_json(diagnostic_json("c")))
-    return links.select(section.alias("section"), "path", body.alias("json"))
+    return links.select(section.alias("section"), "path", body.alias("json"), *more)
 
 
 def section_documents(links: DataFrame, bucket: str) -> DataFrame:

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import mapping_tables, matching, reduction, report, scoring
+from ..operators import mapping_tables, matching, reduction, report, report_sink, scoring
 from ..operators.mappings import Mappings
+from ..shared import shared_dir
 from ..sources import lines, reports
 from . import demo
 from .register import query
@@ -307,6 +309,23 @@ def k8_lint_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_links(spark, sf_dir).select(F.inline(F.array(side("baseline", "b"), side("candidate", "c")))).where("json IS NOT NULL")
 
 
+@query(
+    "k3_report_sink",
+    f"""{demo.LINK_SQL}, x AS (SELECT l.*, coalesce(b.line, c.line) AS line, coalesce(b.col, c.col) AS col, coalesce(b.code, c.code) AS code, coalesce(b.message, c.message) AS message, coalesce(b.fingerprint, c.fingerprint) AS fingerprint,
+            coalesce(b.tie, c.tie) AS tie, {_B} AS bj, {_C} AS cj FROM links l LEFT JOIN b ON b.tie = l.b_tie LEFT JOIN c ON c.tie = l.c_tie),
+        y AS (SELECT CASE bucket WHEN 'match' THEN 'matches' WHEN 'baseline_only' THEN 'baselineOnly' WHEN 'candidate_only' THEN 'candidateOnly' WHEN 'unmapped_baseline' THEN 'unmappedBaseline' ELSE 'unmappedCandidate' END AS section,
+            row_number() OVER (PARTITION BY bucket ORDER BY path, line, col, CASE kind WHEN 'exact_match' THEN 0 WHEN 'approximate_rule_match' THEN 1 WHEN 'severity_changed' THEN 3 WHEN 'range_changed' THEN 4 WHEN 'message_changed' THEN 5 END,
+                CASE WHEN bucket <> 'match' THEN code END, CASE WHEN bucket <> 'match' THEN message END, fingerprint, tie) - 1 AS n,
+            CASE WHEN bucket = 'match' THEN '{{"kind":"' || kind || '","mappingConfidence":"' || CASE confidence WHEN 0 THEN 'exact' ELSE 'approximate' END || '","baseline":' || bj || ',"candidate":' || cj || '}}' WHEN b_tie IS NOT NULL THEN bj ELSE cj END AS json FROM x)
+        SELECT * FROM y UNION ALL SELECT 'baseline.diagnostics', row_number() OVER (ORDER BY path, n) - 1, {_B} FROM b UNION ALL SELECT 'candidate.diagnostics', row_number() OVER (ORDER BY path, n) - 1, {_C} FROM c""",
+)
+def k3_report_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1-K3, K8: a lint report written by tasks into part files and read back in report order."""
+    path = f"{shared_dir(spark).rstrip('/')}/report-{uuid.uuid4().hex}"
+    report_sink.write(spark, path, {"mode": "lint"}, report_sink.lint_rows(event_links(spark, sf_dir)), report_sink.LINT_SECTIONS)
+    return report_sink.read(spark, path)
+
+
 #: A report for each user out of the events, in each dialect.
 REPORT_SQL = """
     e AS (SELECT *, user_id AS report_id, 'src/u' || user_id || '.ts' AS path, CASE WHEN value < 3 THEN 0 WHEN value < 60 THEN 1 ELSE 2 END AS level, CAST(day(ts) AS BIGINT) AS line, CAST(hour(ts) + 1 AS BIGINT) AS col,

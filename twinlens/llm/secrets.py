@@ -17,12 +17,16 @@ from .common import Scratch
 
 #: A run of key characters, bounded on both sides.
 RUN = r"(?<![A-Za-z0-9_+/=\-])[A-Za-z0-9_+/=\-]{16,}"
-#: The private key blocks of a text; what is inside one is no candidate of its own.
-BLOCK = r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----[\s\S]{1,20000}?-----END [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
+#: Where the private key blocks of a text begin and end; what is inside one, of whatever length, is no candidate of its own.
+BEGIN = r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
+END = r"-----END [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
+#: What stands for a block while words are looked at, by its number; U+0000 of the text itself is written ``_NUL`` meanwhile.
+_PLACE, _PLACES, _NUL = "\u0000B", "\u0000B[0-9]+\u0000", "\u0000Z\u0000"
 KEY_WORDS = r"(?:token|secret|passw(?:or)?d|passphrase|api[_-]?key|access[_-]?key|auth|bearer|credentials?|private[_-]?key|pwd)"
 #: A key word and its sign of assignment; with a value of any characters, the last in its text.
 ASSIGNS = r"(?i)" + KEY_WORDS + r"[\"']?\s*[=:]"
-ASSIGNED = r"(?i)" + KEY_WORDS + r"[\"']?\s?[=:]{1,2}\s?[\"']?([^\s\"'=:][^\s\"']{3,}?)[.,;:)\]}>\"']*$"
+AFTER_VALUE = r"[.,;:)\]}>\"']*$"
+ASSIGNED = r"(?i)" + KEY_WORDS + r"[\"']?\s?[=:]{1,2}\s?[\"']?([^\s\"'=:][^\s\"']{3,}?)" + AFTER_VALUE
 HASH_WORDS = r"(?:commit|sha-?\d*|md5|checksum|digest|etag|uuid|guid|revision|hash|blob|tree|isbn|doi|card|phone|tel|fax|order|invoice|account)"
 PATH_WORDS = r"(?i)test|example|sample|fixture|mock|demo|docs?/"
 #: Words whose presence inside a candidate speaks for a name rather than a random key.
@@ -245,6 +249,31 @@ def _edges() -> Column:
     return F.transform(F.split(F.lit(rows), ";"), lambda x: F.split(x, ",").cast("array<double>"))
 
 
+def parted(text: Column) -> Column:
+    """struct(blocks, rest): the private key blocks of a text, and the text with ``_PLACE`` and a number in place of each.
+
+    A block goes from the first BEGIN after the block before it to the next END. The text is cut at its ENDs, so time grows with its length.
+    """
+    plain = F.when(F.contains(text, F.lit("\u0000")), F.replace(text, F.lit("\u0000"), F.lit(_NUL))).otherwise(text)
+    kind = "struct<blocks:array<string>,rest:string>"
+
+    def cut(whole: Column) -> Column:
+        pieces, ends = F.split(whole, END, -1), F.regexp_extract_all(whole, F.lit(END), F.lit(0))
+        marked = F.transform(ends, lambda e, k: F.struct(pieces[k].alias("piece"), e.alias("end"), F.regexp_instr(pieces[k], F.lit(BEGIN)).alias("at")))
+        none = F.struct(F.array().cast("array<string>").alias("blocks"), F.lit("").alias("rest"))
+
+        def add(done: Column, m: Column) -> Column:
+            place = F.concat(F.lit(_PLACE), F.size(done.blocks).cast("string"), F.lit("\u0000"))
+            block = F.concat(F.substring(m.piece, m["at"], F.length(m.piece)), m.end)
+            with_block = F.struct(F.array_append(done.blocks, block).alias("blocks"), F.concat(done.rest, F.substring(m.piece, F.lit(1), m["at"] - 1), place).alias("rest"))
+            return F.when(m["at"] > 0, with_block).otherwise(F.struct(done.blocks.alias("blocks"), F.concat(done.rest, m.piece, m.end).alias("rest")))
+
+        return F.aggregate(marked, none, add, lambda done: F.struct(done.blocks.alias("blocks"), F.concat(done.rest, F.element_at(pieces, -1)).alias("rest")))
+
+    whole = F.struct(F.array().cast("array<string>").alias("blocks"), plain.alias("rest"))
+    return F.when(F.contains(text, F.lit("PRIVATE KEY")) & text.rlike(BEGIN), F.transform(F.array(plain), cut)[0]).otherwise(whole).cast(kind)
+
+
 def candidates(text: Column) -> Column:
     """array<struct<value, before, after, word>>: the candidates of a text in order, with the words around them.
 
@@ -252,6 +281,10 @@ def candidates(text: Column) -> Column:
     more than once is one candidate. ``word`` counts the words before it, a block being one word. ``before`` and ``after`` are
     up to 40 characters of each of the two words before and of the word after.
     """
+    return F.transform(F.array(parted(text)), lambda p: _candidates(text, p))[0]
+
+
+def _candidates(text: Column, parts: Column) -> Column:
     word = lambda words, i: F.coalesce(F.get(words, i), F.lit(""))
     shown = lambda words, i: F.right(word(words, i), F.lit(40))
     none = F.array().cast("array<struct<value:string,before:string,after:string,word:int>>")
@@ -259,7 +292,8 @@ def candidates(text: Column) -> Column:
 
     def assigned(words: Column, keyed: Column, i: Column) -> Column:
         """The value that ends a word and is assigned to a key word in it or in the two before, where the text has any; else empty."""
-        return F.when(keyed, F.regexp_extract(F.concat_ws(" ", shown(words, i - 2), shown(words, i - 1), words[i]), ASSIGNED, 1)).otherwise("")
+        found = F.regexp_extract(F.concat_ws(" ", shown(words, i - 2), shown(words, i - 1), words[i]), ASSIGNED, 1)
+        return F.when(keyed, F.when(F.contains(words[i], F.lit(_PLACE)) & F.contains(found, F.lit(_PLACE)), "").otherwise(found)).otherwise("")
 
     def of(part: Column) -> Column:
         words, keyed = part.words, part.keyed
@@ -271,15 +305,20 @@ def candidates(text: Column) -> Column:
         )
         return F.flatten(F.transform(found, lambda x: F.transform(x.vs, lambda v: around(x, v))))
 
-    def blocks(whole: Column) -> Column:
-        parts = F.split(F.regexp_replace(whole, BLOCK, "\u0000"), "\u0000")
-        before = lambda k: F.size(F.split(F.array_join(F.slice(parts, F.lit(1), k + 1), "x"), r"\s+")) - 1
-        return F.transform(F.regexp_extract_all(whole, F.lit(BLOCK), F.lit(0)), lambda v, k: F.struct(v.alias("value"), F.lit("").alias("before"), F.lit("").alias("after"), before(k).alias("word")))
+    def blocks() -> Column:
+        pieces = F.split(parts.rest, _PLACES, -1)
+        before = lambda k: F.size(F.split(F.array_join(F.slice(pieces, F.lit(1), k + 1), "x"), r"\s+")) - 1
+        return F.transform(parts.blocks, lambda v, k: F.struct(_restored(v).alias("value"), F.lit("").alias("before"), F.lit("").alias("after"), before(k).alias("word")))
 
     # the words and whether any value is assigned are made once and bound, so that the walk stands in the plan once
-    part = F.struct(F.split(F.regexp_replace(text, BLOCK, "x"), r"\s+").alias("words"), has(ASSIGNS).alias("keyed"))
+    part = F.struct(F.split(parts.rest, r"\s+").alias("words"), has(ASSIGNS).alias("keyed"))
     walked = F.when(has(ASSIGNS) | has(RUN), F.transform(F.array(part), of)[0]).otherwise(none)
-    return F.concat(F.when(has(BLOCK), blocks(text)).otherwise(none), walked)
+    walked = F.when(F.contains(text, F.lit("\u0000")), F.transform(walked, lambda x: F.struct(_restored(x.value).alias("value"), _restored(x.before).alias("before"), _restored(x["after"]).alias("after"), x.word.alias("word")))).otherwise(walked)
+    return F.concat(F.when(F.size(parts.blocks) > 0, blocks()).otherwise(none), walked)
+
+
+def _restored(text: Column) -> Column:
+    return F.replace(text, F.lit(_NUL), F.lit("\u0000"))
 
 
 def _before(word: Column, value: Column) -> Column:
@@ -287,6 +326,27 @@ def _before(word: Column, value: Column) -> Column:
     return F.right(F.substring(word, F.lit(1), F.instr(word, value) - 1), F.lit(40))
 
 
+def masked_word(word: Column, values: Column, mask: str) -> Column:
+    """A word with ``mask`` at the places of values: runs that are one, and the assigned value at its end. Overlapping places are one."""
+    pieces, runs = F.split(word, RUN, -1), F.regexp_extract_all(word, F.lit(RUN), F.lit(0))
+    # where each run begins: after the pieces and runs before it
+    before = lambda k: F.length(F.array_join(F.slice(pieces, F.lit(1), k + 1), "")) + F.length(F.array_join(F.slice(runs, F.lit(1), k), ""))
+    span = lambda start, size: F.struct(start.cast("int").alias("a"), (start + size).cast("int").alias("z"))
+    own_runs = F.filter(F.transform(runs, lambda r, k: F.struct(r.alias("r"), before(k).alias("at"))), lambda x: F.array_contains(values, x.r))
+    tail, size = F.length(F.regexp_extract(word, AFTER_VALUE, 0)), F.length(word)
+    # an assigned value ends the word but for punctuation, of which as much as can be is no part of it
+    ends = lambda v: F.filter(F.sequence(tail, F.lit(0)), lambda t: F.substring(word, size - t - F.length(v) + 1, F.length(v)) == v)
+    at_end = F.filter(F.transform(values, lambda v: F.struct(v.alias("v"), F.get(ends(v), F.lit(0)).alias("t"))), lambda x: x.t.isNotNull())
+    spans = F.array_sort(F.concat(F.transform(own_runs, lambda x: span(x["at"], F.length(x.r))), F.transform(at_end, lambda x: span(size - x.t - F.length(x.v), F.length(x.v)))))
+
+    def cut(done: Column, s: Column) -> Column:
+        fresh = F.concat(done.out, F.substring(word, done.pos + 1, s.a - done.pos), F.lit(mask))
+        return F.struct(F.when(s.a >= done.pos, fresh).otherwise(done.out).alias("out"), F.greatest(done.pos, s.z).alias("pos"))
+
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("pos"))
+    return F.aggregate(spans, start, cut, lambda done: F.concat(done.out, F.substring(word, done.pos + 1, size)))
+
+
 def scan(docs: DataFrame, forest: Forest, text_col: str = "text", path_col: str | None = None, out_col: str = "findings", threshold: float = SECRET_FROM) -> DataFrame:
     """``docs`` with an array of findings: value, before, after, word (position), score, is_secret.
 
@@ -309,12 +369,32 @@ def findings(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col:
     return found.select("doc_id", F.posexplode("findings").alias("ordinal", "x")).select("doc_id", "ordinal", "x.word", "x.value", "x.score", "x.is_secret")
 
 
+def masked(text: Column, found: Column, mask: str) -> Column:
+    """A text with ``mask`` at the places of the confirmed ones among its findings: whole blocks, and values in the words that hold them."""
+    escaped = lambda v: F.replace(v, F.lit("\u0000"), F.lit(_NUL))
+
+    def of(p: Column) -> Column:
+        words, between, n = F.split(p.rest, r"\s+", -1), F.regexp_extract_all(p.rest, F.lit(r"\s+"), F.lit(0)), F.size(p.blocks)
+        own = F.transform(F.filter(F.slice(found, n + 1, F.greatest(F.size(found) - n, F.lit(0))), lambda x: x.is_secret), lambda x: F.struct(x.word.alias("word"), escaped(x.value).alias("value")))
+        hit = F.array_distinct(F.transform(own, lambda x: x.word))
+        values = lambda i: F.transform(F.filter(own, lambda x: x.word == i), lambda x: x.value)
+        done = F.transform(words, lambda w, i: F.concat(F.when(F.array_contains(hit, i), masked_word(w, values(i), mask)).otherwise(w), F.coalesce(F.get(between, i), F.lit(""))))
+        place = lambda k: F.concat(F.lit(_PLACE), k.cast("string"), F.lit("\u0000"))
+        kept = F.transform(p.blocks, lambda b, k: F.struct(place(k).alias("place"), F.when(found[k].is_secret, F.lit(mask)).otherwise(b).alias("b")))
+        return _restored(F.aggregate(kept, F.array_join(done, ""), lambda acc, x: F.replace(acc, x.place, x.b)))
+
+    return F.transform(F.array(parted(text)), of)[0]
+
+
 def redact(docs: DataFrame, forest: Forest, text_col: str = "text", path_col: str | None = None, threshold: float = SECRET_FROM, mask: str = "[SECRET]") -> DataFrame:
-    """``docs`` with each confirmed secret in the text replaced by ``mask``; the columns stay as they were."""
+    """``docs`` with each confirmed secret replaced by ``mask`` where it stands; the columns stay as they were.
+
+    Places, not values, are masked: a word that happens to hold a short password elsewhere stays, and of overlapping
+    findings all is masked once. Null and empty texts and texts without secrets are left as they are.
+    """
     hold = "findings"
     while hold in docs.columns:
         hold += "_"
     found = scan(docs, forest, text_col, path_col, hold, threshold)
-    values = F.array_distinct(F.transform(F.filter(hold, lambda x: x.is_secret), lambda x: x.value))
-    masked = F.aggregate(values, F.col(text_col), lambda acc, v: F.replace(acc, v, F.lit(mask)))
-    return found.withColumn(text_col, F.when(F.exists(hold, lambda x: x.is_secret), masked).otherwise(F.col(text_col))).select(*docs.columns)
+    out = F.when(F.exists(hold, lambda x: x.is_secret), masked(F.col(text_col), F.col(hold), mask)).otherwise(F.col(text_col))
+    return found.withColumn(text_col, out).select(*docs.columns)

@@ -6,9 +6,11 @@ last: all shingles of all texts are counted in ``SLOTS`` hashed slots, a table o
 keeps shingles that many texts hold out of the prefixes. A pair whose sizes and places leave no room for the overlap is
 passed over, as is one whose sketches differ too much, and the others are decided by their whole sets.
 
-A posting is first compared by a star (one text with the others); texts that are still of different components after that
-are compared pair by pair by their sketches, inside the task that holds the posting, and only what these leave goes out as a
-pair. Postings travel as packed bytes, a row for each bucket of a batch.
+A posting is first compared by a star (one text with the others). What is still of different components after that is
+linked in rounds: inside the task that holds a posting, sketches find for each component its nearest texts of others,
+``NEAREST`` pairs a component at most, whole sets decide these, and the components that they join leave the posting. Pairs that
+were decided against aren't tried again; a posting in which no sketch leaves a pair open is done. So no group sends out all its
+pairs. Postings travel as packed bytes, a row for each bucket of a batch.
 """
 
 from __future__ import annotations
@@ -27,10 +29,12 @@ BLOCK = 1 << 10
 POSTING_ROWS = 400_000
 BATCH_ROWS = 1 << 19
 #: Up to so many keys (a few bytes each) are sent to all tasks instead of dealing texts or members for them.
-FEW = 200_000
+FEW = 20_000
+#: Pairs that a component of a posting tries in a round.
+NEAREST = 4
 #: Words of 64 bits of a sketch that travels with the entries of postings, and texts whose such sketches are sent to all tasks.
 BRIEF = 64
-FEW_SKETCHES = 50_000
+FEW_SKETCHES = 4_000
 #: Texts of one hub that a task compares; a hub of more goes to several tasks.
 HUB_ROWS = 2000
 #: Rows with whole sets that Python holds at once.
@@ -249,45 +253,70 @@ def open_postings(members: DataFrame) -> DataFrame:
     return members.select("shingle", "key", "n", "pos", "root").mapInArrow(run, "shingle long, key long, n long, pos long, root long")
 
 
-def left_pairs(members: DataFrame, similarity: float) -> DataFrame:
-    """Distinct pairs (a, b) of different components in the postings (shingle, key, n, pos, root, sketch) that sizes, places and sketches leave."""
+def nearest_pairs(members: DataFrame, similarity: float, nearest: int = NEAREST) -> DataFrame:
+    """(shingle, a, b): of postings (shingle, key, n, pos, root, sketch, gone) each component's nearest texts of others, by their sketches.
+
+    Pairs that sizes, places or sketches rule out are none, nor are those with a text among the ``gone`` of the other. All
+    such pairs of a posting are looked at, ``nearest`` a component at most go out.
+    """
 
     def run(batches):
         read = _sorted_postings(batches, 5)
         if read is None:
             return
-        (_, key, n, pos, root, raw), cuts = read
+        (shingle, key, n, pos, root, raw, gone), cuts = read
         # each text's sketch once, in its own length and folded to half of it, for neighbours of the next size
         slot = {k: i for i, k in enumerate(dict.fromkeys(key.tolist()))}
-        words = [None] * len(slot)
-        for k, r in zip(key.tolist(), raw, strict=True):
+        words, never = [None] * len(slot), {}
+        for k, r, g in zip(key.tolist(), raw, gone, strict=True):
             if words[slot[k]] is None:
                 words[slot[k]] = np.frombuffer(r, dtype=np.uint64, offset=8)
+                if g:
+                    never[k] = np.array(g, dtype=np.int64)
         at = np.array([slot[k] for k in key.tolist()])
         width = np.array([len(w) for w in words])
-        found, held = [], 0
+        rows = []
         for s, e in zip(cuts, cuts[1:], strict=False):
+            best: dict[int, list] = {}
             for x in range(s, e - 1):
                 y = np.arange(x + 1, e)
                 y = y[(root[y] != root[x]) & _room(n[x], pos[x], n[y], pos[y], similarity)]
-                kept = []
+                if len(y) and int(key[x]) in never:
+                    y = y[~np.isin(key[y], never[int(key[x])])]
                 for w in np.unique(width[at[y]]).tolist():
                     own = y[width[at[y]] == w]
                     size = min(w, int(width[at[x]]))
-                    rows = _folded(np.stack([words[i] for i in at[own]]), size)
-                    apart = np.bitwise_count(rows ^ _folded(words[at[x]][None, :], size)).sum(axis=1, dtype=np.int64)
-                    kept.append(own[(1 + similarity) * apart <= (1 - similarity) * (n[own] + n[x]) + 1e-9])
-                for own in kept:
-                    if len(own):
-                        found.append(np.stack([np.full(len(own), key[x]), key[own]], axis=1))
-                        held += len(own)
-                if held > BATCH_ROWS:
-                    yield _pair_batch(found)
-                    found, held = [], 0
-        if found:
-            yield _pair_batch(found)
-
-    return members.select("shingle", "key", "n", "pos", "root", "sketch").mapInArrow(run, "a long, b long").distinct()
+                    other = _folded(np.stack([words[i] for i in at[own]]), size)
+                    apart = np.bitwise_count(other ^ _folded(words[at[x]][None, :], size)).sum(axis=1, dtype=np.int64)
+                    ok = (1 + similarity) * apart <= (1 - similarity) * (n[own] + n[x]) + 1e-9
+                    own, apart = own[ok], apart[ok] / (n[own[ok]] + n[x])
+                    # x's component meets its nearest; each other component meets x
+                    order = np.argsort(apart, kind="stable")
+                    for j in order[:nearest].tolist():
+                        _keep(best, int(root[x]), float(apart[j]), int(key[x]), int(key[own[j]]), nearest)
+                    roots, first = np.unique(root[own[order]], return_index=True)
+                    for r, j in zip(roots.tolist(), order[first].tolist(), strict=True):
+                        _keep(best, r, float(apart[j]), int(key[x]), int(key[own[j]]), nearest)
+            rows += [(int(shingle[s]), a, b) for a, b in sorted({(a, b) for kept in best.values() for _, a, b in kept})]
+            if len(rows) > BATCH_ROWS:
+                yield _triples(rows)
+                rows = []
+        yield _triples(rows)
+
+    return members.select("shingle", "key", "n", "pos", "root", "sketch", "gone").mapInArrow(run, "shingle long, a long, b long")
+
+
+def _keep(best: dict[int, list], root: int, apart: float, a: int, b: int, most: int) -> None:
+    """Note a pair of a component if it is among its nearest."""
+    own = best.setdefault(root, [])
+    if len(own) < most or apart < own[-1][0]:
+        own.append((apart, a, b))
+        own.sort()
+        del own[most:]
+
+
+def _triples(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], names=["shingle", "a", "b"])
 
 
 def few(keys: DataFrame, n: int | None = None, most: int | None = None) -> DataFrame:
@@ -413,12 +442,21 @@ def similar_texts(texts: DataFrame, words: int, similarity: float, scratch: Scra
     sketch_passed = lambda pairs: _passed(pairs, marked.select("key", "sketch"), None, lambda a, b: may_be_similar(a, b, similarity), scratch)
     links = verified(sketch_passed(near), texts, words, similarity, scratch)
     roots = components(links, scratch)
-    placed = members.join(few(roots.withColumnRenamed("node", "key")), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    apart = scratch.write(open_postings(placed.repartition(tasks, "shingle")))
-    keys = scratch.write(apart.select("key").distinct())
-    own = scratch.write(brief(marked.select("key", "sketch").join(few(keys), "key", "left_semi")))
-    left = scratch.write(left_pairs(apart.join(few(own, most=FEW_SKETCHES), "key").repartition(tasks, "shingle"), similarity))
-    if left.isEmpty():
-        return roots
-    left = sketch_passed(left)
-    return components(links.union(verified(left, texts, words, similarity, scratch)), scratch)
+    tried = scratch.write(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    while True:
+        placed = members.join(few(roots.withColumnRenamed("node", "key")), "key", "left").withColumn("root", F.coalesce("root", "key"))
+        apart = scratch.write(open_postings(placed.repartition(tasks, "shingle")))
+        keys = scratch.write(apart.select("key").distinct())
+        own = brief(marked.select("key", "sketch").join(few(keys), "key", "left_semi"))
+        gone = tried.join(few(keys.select(F.col("key").alias("a"))), "a", "left_semi").groupBy(F.col("a").alias("key")).agg(F.collect_set("b").alias("gone"))
+        own = scratch.write(own.join(gone, "key", "left"))
+        left = scratch.write(nearest_pairs(apart.join(few(own, most=FEW_SKETCHES), "key").repartition(tasks, "shingle"), similarity))
+        pairs = scratch.write(left.select("a", "b").distinct())
+        if pairs.isEmpty():
+            return roots
+        more = scratch.write(verified(sketch_passed(pairs), texts, words, similarity, scratch))
+        tried = scratch.write(tried.union(pairs))
+        links = scratch.write(links.union(more))
+        roots = components(links, scratch)
+        # a posting in which nothing was left open stays so
+        members = scratch.write(apart.drop("root").join(left.select("shingle").distinct(), "shingle", "left_semi"))

@@ -17,7 +17,7 @@ from .functions.text import line_count, normalize_path
 from .functions.values import FORMATTERS, LINTERS, POLICIES, PROFILES, SCHEMA_VERSION, TOOL_NAMES, TOOLS
 from .operators import capability, formatting, matching, reduction, report, report_sink, scoring
 from .sources import config as configuration
-from .sources import files, process, reports
+from .sources import files, lint_runs, process, reports
 
 
 def parser() -> argparse.ArgumentParser:
@@ -41,6 +41,7 @@ def parser() -> argparse.ArgumentParser:
                     p.add_argument("--profile", choices=PROFILES, default="raw")
                     p.add_argument("--baseline-report", help="captured JSON report (a file, or a folder of them) instead of a run")
                     p.add_argument("--candidate-report")
+                    p.add_argument("--lint-tasks", type=int, default=0, help="run linters in so many portions by tasks, which must see the project under the same root; rules across files see a portion only")
                 else:
                     p.add_argument("--normalize-eol", action="store_true")
     p = commands.add_parser("reduce", help="find the least lines of a file that keep a mismatch")
@@ -215,11 +216,24 @@ def captured(spark: SparkSession, path: Path) -> DataFrame:
     return spark.read.text(str(path), wholetext=True).select(F.monotonically_increasing_id().alias("report_id"), F.col("value").alias("json"))
 
 
+def _with_side(found: DataFrame, side: str) -> DataFrame:
+    fix = F.col("fix") if "fix" in found.columns else F.lit(None)
+    return found.select(F.lit(side).alias("side"), *matching.FIELDS, fix.cast(matching.FIX).alias("fix"))
+
+
 def compare_lint(spark: SparkSession, args: argparse.Namespace, conf: configuration.Config) -> int:
     own, m, root = Comparison(spark, args, conf), conf.mappings, str(conf.root)
     paths: list[str] | None = None
     rows, runs = None, []
     for side, tool, given in (("baseline", args.baseline, args.baseline_report), ("candidate", args.candidate, args.candidate_report)):
+        if not given and args.lint_tasks:
+            ready = process.tool(conf, tool)
+            sizes = own.comparable.select("path", F.octet_length("text").alias("bytes"))
+            ran = lint_runs.lint_runs(sizes, ready, max(1, -(-(sizes.agg(F.sum("bytes")).first()[0] or 0) // args.lint_tasks)))
+            runs.append(lint_runs.run_document(ran, ready))
+            found = lint_runs.diagnostics(ran, tool, root, own.comparable.select("path", "text"))
+            rows = _with_side(found, side) if rows is None else rows.unionByName(_with_side(found, side))
+            continue
         if given:
             texts = captured(spark, conf.root / given)
             done = process.LintRun(tool, given, "captured report")
@@ -231,9 +245,7 @@ def compare_lint(spark: SparkSession, args: argparse.Namespace, conf: configurat
         if tool != "biome":
             done.warnings += [r.warning for r in reports.empty_warnings(texts, tool).select("warning").distinct().collect()]
         found = reports.flat_reports(texts, root) if tool == "eslint" else reports.walked_reports(texts, root, tool, own.comparable.select("path", "text"))
-        fix = F.col("fix") if "fix" in found.columns else F.lit(None)
-        found = found.select(F.lit(side).alias("side"), *matching.FIELDS, fix.cast(matching.FIX).alias("fix"))
-        rows = found if rows is None else rows.unionByName(found)
+        rows = _with_side(found, side) if rows is None else rows.unionByName(_with_side(found, side))
         runs.append(done.document())
     links = matching.linked(rows, m, args.baseline, args.candidate).cache()
     classes = scoring.rule_classes(links, m, args.baseline, args.candidate)

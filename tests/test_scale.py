@@ -132,6 +132,41 @@ def test_unlike_files_of_twenty_thousand_lines():
     assert [j for op, _, j in script if op != "-"] == list(range(4000)) and [i for op, i, _ in script if op != "+"] == list(range(4000))
 
 
+def common_length(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+@pytest.mark.parametrize("farthest", [0, 3, 1000])
+def test_scripts_are_shortest_whatever_the_order(monkeypatch, farthest):
+    """The number of kept lines is that of a dynamic programme, on permuted and repeated lines, where rows of bits split the script too."""
+    monkeypatch.setattr(formatting, "FARTHEST", farthest)
+    rng = random.Random(farthest)
+    for _ in range(60):
+        n = rng.randint(0, 70)
+        a = [str(rng.randint(0, rng.choice([3, 20, 90]))) for _ in range(n)]
+        b = rng.sample(a, len(a)) if rng.random() < 0.5 else [str(rng.randint(0, 20)) for _ in range(rng.randint(0, 70))]
+        script = formatting.edit_script(a, b)
+        assert [a[i] for op, i, _ in script if op != "+"] == a and [b[j] for op, _, j in script if op != "-"] == b
+        assert sum(op == " " for op, _, _ in script) == common_length(a, b) and all(a[i] == b[j] for op, i, j in script if op == " ")
+
+
+def test_a_permutation_of_twenty_thousand_lines():
+    order = list(range(20_000))
+    random.Random(4).shuffle(order)
+    began = time.time()
+    script = formatting.edit_script([str(i) for i in range(20_000)], [str(i) for i in order])
+    tails = []  # the longest rising run of a permutation, by patience sorting
+    for x in order:
+        k = int(np.searchsorted(tails, x))
+        tails[k : k + 1] = [x]
+    assert sum(op == " " for op, _, _ in script) == len(tails) and time.time() - began < 60
+
+
 @pytest.mark.parametrize(("left", "right"), [("a\x0cb\nc\n", "a\x0cc\nc\n"), ("x y\nz", "x q\nz"), ("p\x85q\n", "p\x85r"), ("a\r\nb\r\n", "a\r\nc\r\n"), ("", "one\n"), ("one", "")])
 def test_diffs_with_odd_characters_apply(tmp_path, left, right):
     (tmp_path / "f").write_bytes(left.encode())

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -185,10 +186,33 @@ def failures(results: DataFrame, baseline_tool: str, candidate_tool: str) -> Dat
     return rows.select("path", "x.side", detail.alias("detail"))
 
 
-#: Differences from either end up to which the search for the middle of a script goes on; beyond, it splits where it got farthest.
+#: Differences from either end up to which the search for the middle of a script goes on; beyond, rows of common lengths tell where to split.
 FARTHEST = 1000
 
 
+def _common_row(a: list[int], b: list[int]) -> np.ndarray:
+    """The length of the longest common subsequence of ``a`` with each beginning of ``b``: one row of bits, a step for each line of ``a``."""
+    places: dict[int, int] = {}
+    for j, x in enumerate(b):
+        places[x] = places.get(x, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    row = full  # a bit is unset where the length rises
+    for x in a:
+        hit = row & places.get(x, 0)
+        row = ((row + hit) | (row - hit)) & full
+    raw = np.frombuffer(row.to_bytes(len(b) // 8 + 1, "little"), dtype=np.uint8)
+    rises = 1 - np.unpackbits(raw, bitorder="little", count=len(b)).astype(np.int64)
+    return np.concatenate([[0], np.cumsum(rises)])
+
+
+def _halved(a: list[int], b: list[int]) -> tuple[int, int, int, int]:
+    """A point that a shortest script passes when half of ``a`` is behind it."""
+    half = len(a) // 2
+    ahead, back = _common_row(a[:half], b), _common_row(a[half:][::-1], b[::-1])
+    j = int((ahead + back[::-1]).argmax())
+    return half, j, half, j
+
+
 def _middle(a: list[int], b: list[int]) -> tuple[int, int, int, int]:
     """The middle run (x, y) to (u, v) of a shortest script, by searches from both ends that keep only their fronts."""
     n, m = len(a), len(b)
@@ -196,8 +220,7 @@ def _middle(a: list[int], b: list[int]) -> tuple[int, int, int, int]:
     ahead, back = {1: 0}, {1: 0}
     for d in range(top + 1):
         if d > FARTHEST:
-            _, x, y = max((2 * x - k, x, x - k) for k, x in ahead.items() if x <= n and 0 <= x - k <= m)
-            return x, y, x, y
+            return _halved(a, b)
         for k in range(-d, d + 1, 2):
             x = ahead[k + 1] if k == -d or (k != d and ahead[k - 1] < ahead[k + 1]) else ahead[k - 1] + 1
             x0, y = x, x - k
@@ -253,10 +276,7 @@ def _matched(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
 
 
 def edit_script(a: list[str], b: list[str]) -> list[tuple[str, int, int]]:
-    """A shortest script of (' ' | '-' | '+', position in a, position in b), in memory that grows with the lines alone.
-
-    Between lines that both sides have in another order, more than ``2 * FARTHEST`` differences may leave it longer than the shortest.
-    """
+    """A shortest script of (' ' | '-' | '+', position in a, position in b), in memory that grows with the lines alone."""
     codes: dict[str, int] = {}
     left, right = ([codes.setdefault(t, len(codes)) for t in side] for side in (a, b))
     script, x, y = [], 0, 0

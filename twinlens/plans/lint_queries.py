@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import mapping_tables, matching, reduction, report, report_sink, scoring
+from ..operators import mapping_tables, matching, overlap, reduction, report, report_sink, scoring
 from ..operators.mappings import Mappings
 from ..shared import shared_dir
 from ..sources import lines, reports
@@ -497,3 +497,31 @@ def f5_line_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     spots = docs.select("doc_id", "path", F.explode(F.sequence(F.lit(0).cast("long"), size + 3 * step - 1, step)).alias("byte_offset"))
     found = lines.with_positions(spots, lines.line_index(docs), "path", at="byte_offset")
     return found.select("doc_id", "byte_offset", F.col("at.line").alias("line"), F.col("at.column").alias("col"))
+
+
+#: Spans out of the events: one line, some lines, and now and then thousands.
+SPAN_SQL = """spans AS (SELECT event_id, event_id % 2 AS odd, 'u' || user_id AS path, CAST(day(ts) * 40 + hour(ts) AS BIGINT) AS a,
+    CASE WHEN event_id % 5 < 2 THEN CAST(day(ts) * 40 + hour(ts) + CASE WHEN event_id % 35 = 0 THEN event_id ELSE event_id % 23 END AS BIGINT) END AS z FROM events)"""
+
+
+@query("p13_overlaps", f"""WITH {SPAN_SQL} SELECT l.path, CAST(l.event_id AS BIGINT) AS left_id, CAST(r.event_id AS BIGINT) AS right_id FROM spans l JOIN spans r
+    ON l.path = r.path AND l.odd = 0 AND r.odd = 1 AND (l.a = r.a OR (l.a <= coalesce(r.z, r.a) AND r.a <= coalesce(l.z, l.a)))""")
+def p13_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of the two sides that share a line or begin on the same one."""
+    e, k = demo.table(spark, sf_dir, "events"), F.col("event_id")
+    start = (F.dayofmonth("ts") * 40 + F.hour("ts")).cast("long")
+    spans = e.select(k.cast("long").alias("id"), F.concat(F.lit("u"), "user_id").alias("path"), start.alias("start_line"), F.when(k % 5 < 2, start + F.when(k % 35 == 0, k).otherwise(k % 23)).cast("long").alias("end_line"))
+    return overlap.overlap_pairs(spans.where("id % 2 = 0"), spans.where("id % 2 = 1"))
+
+
+@query(
+    "p13_probable_matches",
+    f"""{demo.LINK_SQL}, lb AS (SELECT l.path, b.tie, b.line, b.col, b.n FROM links l JOIN b ON b.tie = l.b_tie WHERE l.c_tie IS NULL), lc AS (SELECT l.path, c.tie, c.line, c.col, c.n FROM links l JOIN c ON c.tie = l.c_tie WHERE l.b_tie IS NULL),
+        near AS (SELECT x.path, x.tie AS b_tie, y.tie AS c_tie, row_number() OVER (PARTITION BY x.tie ORDER BY abs(x.col - y.col), y.n) AS l, row_number() OVER (PARTITION BY y.tie ORDER BY abs(x.col - y.col), x.n) AS r
+            FROM lb x JOIN lc y ON x.path = y.path AND x.line = y.line)
+        SELECT path, b_tie, c_tie FROM near WHERE l = 1 AND r = 1""",
+)
+def p13_probable_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probable matches among the residuals, which only this call makes."""
+    links = overlap.with_probable(event_links(spark, sf_dir))
+    return links.where("kind = 'probable_match'").select("path", F.col("b.tie").alias("b_tie"), F.col("c.tie").alias("c_tie"))

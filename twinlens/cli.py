@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .errors import CLEAN, DIFFERENCES, OPERATIONAL, OperationalError, ToolFailure, TwinlensError, UsageError
 from .functions.text import line_count, normalize_path
 from .functions.values import FORMATTERS, LINTERS, POLICIES, PROFILES, SCHEMA_VERSION, TOOL_NAMES, TOOLS
-from .operators import capability, formatting, matching, reduction, report, report_sink, scoring
+from .operators import capability, formatting, matching, overlap, reduction, report, report_sink, scoring
 from .sources import config as configuration
 from .sources import files, lint_runs, process, reports
 
@@ -41,6 +41,7 @@ def parser() -> argparse.ArgumentParser:
                     p.add_argument("--profile", choices=PROFILES, default="raw")
                     p.add_argument("--baseline-report", help="captured JSON report (a file, or a folder of them) instead of a run")
                     p.add_argument("--candidate-report")
+                    p.add_argument("--probable", action="store_true", help="pair residuals whose ranges overlap as probable matches")
                     p.add_argument("--lint-tasks", type=int, default=0, help="run linters in so many portions by tasks, which must see the project under the same root; rules across files see a portion only")
                 else:
                     p.add_argument("--normalize-eol", action="store_true")
@@ -247,7 +248,8 @@ def compare_lint(spark: SparkSession, args: argparse.Namespace, conf: configurat
         found = reports.flat_reports(texts, root) if tool == "eslint" else reports.walked_reports(texts, root, tool, own.comparable.select("path", "text"))
         rows = _with_side(found, side) if rows is None else rows.unionByName(_with_side(found, side))
         runs.append(done.document())
-    links = matching.linked(rows, m, args.baseline, args.candidate).cache()
+    links = matching.linked(rows, m, args.baseline, args.candidate)
+    links = (overlap.with_probable(links) if args.probable else links).cache()
     classes = scoring.rule_classes(links, m, args.baseline, args.candidate)
     summaries = {
         "rawSummary": report.one_row(scoring.raw_summary(links)),

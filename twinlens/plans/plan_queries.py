@@ -249,21 +249,22 @@ def t6_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formatting.warnings(ran(spark, sf_dir))
 
 
-#: A text for each file: that of the least document of its path.
-PLANNED_TEXT_SQL = """texts AS (SELECT path, arg_min(text, f.doc_id) AS text FROM files f JOIN documents d ON d.doc_id = f.doc_id GROUP BY path)"""
+#: Each document as a version of its file; several share a path, and so its plan.
+VERSIONS_SQL = """texts AS (SELECT CAST(f.doc_id AS VARCHAR) AS version, f.path, text FROM files f JOIN documents d ON d.doc_id = f.doc_id)"""
 
 
-def planned_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, text, baseline, candidate, comparable): the documents under their ids, with the plan of their files."""
     t = files(spark, sf_dir).join(demo.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
-    return t.groupBy("path").agg(F.min_by("text", "doc_id").alias("text"))
+    return t.join(planned(spark, sf_dir), "path").select(F.col("doc_id").cast("string").alias("path"), "text", "baseline", "candidate", "comparable")
 
 
-@query("t4_planned", f"""WITH {FILES_SQL}, {CLASS_SQL}, {PLANNED_TEXT_SQL} SELECT path, CASE WHEN b_status = 'unsupported' OR c_status = 'unsupported' THEN 'unsupported' WHEN b_status = 'skipped' OR c_status = 'skipped' THEN 'skipped'
+@query("t4_planned", f"""WITH {FILES_SQL}, {CLASS_SQL}, {VERSIONS_SQL} SELECT version AS path, CASE WHEN b_status = 'unsupported' OR c_status = 'unsupported' THEN 'unsupported' WHEN b_status = 'skipped' OR c_status = 'skipped' THEN 'skipped'
         WHEN {SQL_FORMATTERS["collapse"].replace("{x}", "text")} = text THEN 'identical' ELSE 'different' END AS status,
         CASE WHEN b_status IN ('unsupported', 'skipped') THEN b_status ELSE 'success' END AS b_status, CASE WHEN c_status IN ('unsupported', 'skipped') THEN c_status ELSE 'success' END AS c_status FROM planned JOIN texts USING (path)""")
 def t4_planned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T4: the plan's status of a side stands for its run."""
-    t = planned_texts(spark, sf_dir).join(planned(spark, sf_dir).select("path", F.col("baseline.status").alias("bp"), F.col("candidate.status").alias("cp")), "path")
+    t = versions(spark, sf_dir).withColumns({"bp": F.col("baseline.status"), "cp": F.col("candidate.status")})
     out = formatting.compare(t, FORMATTERS["collapse"], FORMATTERS["same"], planned=(F.col("bp"), F.col("cp")), tools=("biome", "oxfmt"))
     return out.select("path", "status", F.col("baseline.status").alias("b_status"), F.col("candidate.status").alias("c_status"))
 
@@ -271,15 +272,14 @@ def t4_planned(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LEFT_OUT = f"'{formatting.LEFT_OUT.replace(chr(39), chr(39) * 2)}'"
 
 
-@query("u2_all_results", f"""WITH {FILES_SQL}, {CLASS_SQL}, {PLANNED_TEXT_SQL}, x AS (SELECT *, b_status IN ('supported', 'unknown') AS b_ok, c_status IN ('supported', 'unknown') AS c_ok FROM planned JOIN texts USING (path))
+@query("u2_all_results", f"""WITH {FILES_SQL}, {CLASS_SQL}, {VERSIONS_SQL}, x AS (SELECT * EXCLUDE (path), version AS path, b_status IN ('supported', 'unknown') AS b_ok, c_status IN ('supported', 'unknown') AS c_ok FROM planned JOIN texts USING (path))
     SELECT path, CASE WHEN b_status = 'unsupported' OR c_status = 'unsupported' THEN 'unsupported' WHEN NOT b_ok OR NOT c_ok THEN 'skipped' WHEN {SQL_FORMATTERS["collapse"].replace("{x}", "text")} = text THEN 'identical' ELSE 'different' END AS status,
         CASE WHEN b_ok AND c_ok THEN 'success' WHEN b_status = 'unsupported' THEN 'unsupported' ELSE 'skipped' END AS b_status, CASE WHEN NOT b_ok THEN b_reason WHEN NOT c_ok THEN {_LEFT_OUT} END AS b_reason,
         CASE WHEN b_ok AND c_ok THEN 'success' WHEN c_status = 'unsupported' THEN 'unsupported' ELSE 'skipped' END AS c_status, CASE WHEN NOT c_ok THEN c_reason WHEN NOT b_ok THEN {_LEFT_OUT} END AS c_reason FROM x""")
 def u2_all_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Compared files and files that only the plan knows, together."""
-    own = planned(spark, sf_dir)
-    ready = planned_texts(spark, sf_dir).join(own.where("comparable").select("path"), "path", "left_semi")
-    done = formatting.compare(ready, FORMATTERS["collapse"], FORMATTERS["same"], diffs=True, tools=("biome", "oxfmt"))
+    own = versions(spark, sf_dir)
+    done = formatting.compare(own.where("comparable"), FORMATTERS["collapse"], FORMATTERS["same"], diffs=True, tools=("biome", "oxfmt"))
     out = done.unionByName(formatting.planned_results(own, "biome", "oxfmt"))
     return out.select("path", "status", F.col("baseline.status").alias("b_status"), F.col("baseline.reason").alias("b_reason"), F.col("candidate.status").alias("c_status"), F.col("candidate.reason").alias("c_reason"))
 

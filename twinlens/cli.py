@@ -96,7 +96,7 @@ def discover(spark: SparkSession, conf: configuration.Config, args: argparse.Nam
         if not full.exists():
             raise UsageError(f"path doesn't exist: {p}")
         full = Path(os.path.abspath(full))
-        rows = files.local_files(spark, [str(full)]) if full.is_file() else files.local_listing(spark, full)
+        rows = files.local_files(spark, [str(full)]) if full.is_file() else files.read_files(_walked(spark, full))
         if full.is_file():
             name = normalize_path(str(full), root)
             if name in excluded:
@@ -104,8 +104,6 @@ def discover(spark: SparkSession, conf: configuration.Config, args: argparse.Nam
             if not _takes(spark, name, d):
                 raise UsageError(f"the include and exclude globs don't take {name}")
             named.append(name)
-        else:
-            rows = rows.where(~_held_back(rows, full))
         rows = rows.withColumn("path", files.normalize_path(F.col("path"), root))
         found = rows if found is None else found.union(rows)
     if found is None:
@@ -119,21 +117,14 @@ def _takes(spark: SparkSession, name: str, discovery: dict) -> bool:
     return spark.range(1).select(files.taken(F.lit(name), discovery["include"], discovery["exclude"]).alias("x")).first().x
 
 
-def _held_back(rows: DataFrame, folder: Path) -> Column:
-    """Whether ignore files, of the folder and of those above it in its work tree, or a link on the way hold a file back."""
-    git = files.in_git(folder)
-    above = []
+def _walked(spark: SparkSession, folder: Path) -> DataFrame:
+    """The files below a folder that neither ignore files, of the folder and of those above it in its work tree, nor links hold back."""
+    git, outer = files.in_git(folder), []
     for top in folder.parents:
-        above += [(normalize_path(str(top / n), str(top)), top) for n in files.IGNORE_FILES if (top / n).is_file() and (git or n == ".ignore")]
+        outer += [files.Outer(normalize_path(str(folder), str(top)), n, (top / n).read_text(errors="replace")) for n in files.IGNORE_FILES if (top / n).is_file() and (git or n == ".ignore")]
         if not git or (top / ".git").exists():
             break
-    held = files.ignored_by(files.normalize_path(F.col("path"), str(folder)), files.found_rules(rows, folder, git))
-    for name, top in above:
-        outer = files.ignore_rules([(name, (top / name).read_text(errors="replace"))])
-        held = held | files.ignored_by(files.normalize_path(F.col("path"), str(top)), outer)
-    for link in files.links(folder):
-        held = held | (F.col("path") == link) | F.col("path").startswith(link + "/")
-    return held
+    return files.walk(spark, str(folder), git, tuple(outer))[0]
 
 
 def emit(args: argparse.Namespace, conf: configuration.Config, mode: str, document: dict, text: str) -> None:

@@ -1,7 +1,8 @@
-"""File scans: a listing by Spark's binary reader, filtered natively by folder, globs and ignore files."""
+"""File scans: a walk of folders that cuts ignored ones off before they are opened, and native filters by folder, globs and ignore files."""
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -13,10 +14,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.globs import matches_any
-from ..functions.scalars import file_name, normalize_path, path_parts
+from ..functions.scalars import normalize_path, path_parts
 from ..functions.values import IGNORED_DIRECTORIES
+from ..shared import Steps
 
 IGNORE_FILES = (".gitignore", ".ignore")
+#: Files that a task holds at once.
+READ_AT_ONCE = 64
 
 
 def taken(path: Column, include: list[str], exclude: list[str]) -> Column:
@@ -37,36 +41,106 @@ def keep_files(paths: DataFrame, root: str, include: list[str], exclude: list[st
     return kept.where(~F.col("path").isin(*excluded_paths)) if excluded_paths else kept
 
 
-def listing(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, text, content) of the files below a folder in any store Spark reads; contents are read only when they are asked for.
+def read_files(paths: DataFrame) -> DataFrame:
+    """(path, text, content) of files by name (path), read where the rows are used; bytes that are no UTF-8 become replacement marks in the text."""
 
-    Spark's readers pass over names that begin with a dot or an underscore.
-    """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return files.select(F.regexp_replace("path", "^[a-z0-9]+:/+", "/").alias("path"), F.decode("content", "UTF-8").alias("text"), "content")
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, READ_AT_ONCE):
+                own = b.column(0).slice(k, READ_AT_ONCE)
+                data = [_content(p) for p in own.to_pylist()]
+                yield pa.RecordBatch.from_arrays([own, pa.array([d.decode(errors="replace") for d in data], pa.string()), pa.array(data, pa.binary())], names=["path", "text", "content"])
+
+    return paths.select("path").mapInArrow(read, "path string, text string, content binary")
 
 
 def local_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, text, content) of local files by name, read where the rows are used."""
-    schema = "path string, text string, content binary"
+    """(path, text, content) of files by name."""
+    return read_files(spark.createDataFrame([(p,) for p in paths], "path string"))
+
+
+def _remote(path: str):
+    """The file system of a URI and the path in it; nothing for local paths."""
+    if not re.match(r"[a-z][a-z0-9+.-]*://", path) or path.startswith("file://"):
+        return None
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path)
+
+
+def _content(path: str) -> bytes:
+    found = _remote(path)
+    if found is None:
+        return Path(path.removeprefix("file://")).read_bytes()
+    with found[0].open_input_stream(found[1]) as f:
+        return f.read()
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data = [Path(p).read_bytes() for p in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([d.decode(errors="replace") for d in data], pa.string()), pa.array(data, pa.binary())], names=["path", "text", "content"])
 
-    return spark.createDataFrame([(p,) for p in paths], "path string").mapInArrow(read, schema)
+def _entries(folder: str) -> list[tuple[str, str, int]]:
+    """(name, kind, bytes) of what lies in a folder, by name; kinds are folder, file, and other for links and the rest."""
+    found = _remote(folder)
+    if found is None:
+        out = []
+        with os.scandir(folder.removeprefix("file://")) as entries:
+            for e in entries:
+                kind = "other" if e.is_symlink() else "folder" if e.is_dir() else "file" if e.is_file() else "other"
+                out.append((e.name, kind, e.stat().st_size if kind == "file" else 0))
+        return sorted(out)
+    from pyarrow import fs
 
+    kinds = {fs.FileType.Directory: "folder", fs.FileType.File: "file"}
+    return sorted((i.base_name, kinds.get(i.type, "other"), i.size or 0) for i in found[0].get_file_info(fs.FileSelector(found[1])))
 
-def local_listing(spark: SparkSession, folder: Path) -> DataFrame:
-    """``listing`` of a local folder with the names that Spark's readers pass over, those that begin with a dot or an underscore."""
-    hidden = []
-    for top, folders, names in os.walk(folder):
-        folders[:] = [x for x in folders if x not in IGNORED_DIRECTORIES and not os.path.islink(os.path.join(top, x))]
-        inside = any(part[0] in "._" for part in Path(top).relative_to(folder).parts)
-        hidden += [os.path.join(top, n) for n in names if (inside or n[0] in "._") and not os.path.islink(os.path.join(top, n))]
-    rows = listing(spark, str(folder))
-    return rows.unionByName(local_files(spark, sorted(hidden))) if hidden else rows
+
+@dataclass(frozen=True)
+class Outer:
+    """An ignore file above a walk: the walk's root relative to its folder, and its text."""
+
+    below: str
+    name: str
+    text: str
+
+
+def walk(spark: SparkSession, folder: str, git: bool = True, outer: tuple[Outer, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """The files below a folder, (path, bytes), and the folders that were opened, (path): a round of tasks for each depth.
+
+    Ignored folders, links, and what ignore files take out are cut off before they are opened: a folder's rules go along with its
+    children. .gitignore counts where ``git`` says so. Tasks open folders by path, so the store must be where tasks run.
+    """
+    base, names = folder.rstrip("/"), IGNORE_FILES if git else IGNORE_FILES[1:]
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        above = [(o.below, ignore_rules([(o.name, o.text)])) for o in outer]
+        for b in batches:
+            rows = []
+            for path, carried in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                inside = path[len(base) :].strip("/")
+                entries = _entries(path)
+                known = json.loads(carried) + [[f"{inside}/{n}".strip("/"), _content(f"{path}/{n}").decode(errors="replace")] for n, kind, _ in entries if kind == "file" and n in names]
+                rules = ignore_rules([tuple(x) for x in known])
+                rows.append(("opened", path, 0, None))
+                for n, kind, size in entries:
+                    own = f"{inside}/{n}".strip("/")
+                    is_folder = kind == "folder"
+                    if kind == "other" or (is_folder and n in IGNORED_DIRECTORIES) or takes_out(rules, own, is_folder) or any(takes_out(r, f"{below}/{own}".strip("/"), is_folder) for below, r in above):
+                        continue
+                    rows.append((kind, f"{path}/{n}", size, json.dumps(known) if is_folder else None))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.string()))], names=["kind", "path", "bytes", "rules"])
+
+    steps, found = Steps(spark), []
+    # the root itself may lie in a folder that rules above it take out
+    cut = any(takes_out(ignore_rules([(o.name, o.text)]), "/".join(o.below.split("/")[:n]), True) for o in outer for n in range(1, len(o.below.split("/")) + 1) if o.below)
+    frontier = spark.createDataFrame([] if cut else [(base or "/", "[]")], "path string, rules string")
+    while True:
+        done = steps.write(frontier.repartition("path").mapInArrow(opened, "kind string, path string, bytes long, rules string"))
+        found.append(done)
+        frontier = done.where("kind = 'folder'").select("path", "rules")
+        if frontier.isEmpty():
+            break
+    rows = found[0]
+    for d in found[1:]:
+        rows = rows.union(d)
+    return rows.where("kind = 'file'").select("path", "bytes"), rows.where("kind = 'opened'").select("path")
 
 
 @dataclass(frozen=True)
@@ -135,22 +209,12 @@ def ignored_by(path: Column, rules: list[IgnoreRule]) -> Column:
     return F.when(F.size(parts) > 0, F.exists(steps, out)).otherwise(F.lit(False))
 
 
-def found_rules(files: DataFrame, root: Path | str, git: bool = True) -> list[IgnoreRule]:
-    """The rules of the ignore files in a listing (path, text), which are few beside the files; .gitignore counts where ``git`` says so."""
-    names = IGNORE_FILES if git else IGNORE_FILES[1:]
-    rows = files.select(normalize_path(F.col("path"), str(root)).alias("path"), "path", "text").toDF("path", "raw", "text").where(file_name(F.col("path")).isin(*names))
-    return ignore_rules([(r.path, r.text or "") for r in rows.select("path", "text").collect()])
+def takes_out(rules: list[IgnoreRule], path: str, folder: bool) -> bool:
+    """Whether rules take out a path as it stands, its folders not looked at; the last that matches decides."""
+    hit = [r for r in rules if (folder or not r.folders_only) and re.match(r.pattern, path)]
+    return bool(hit) and not hit[-1].negated
 
 
 def in_git(folder: Path) -> bool:
     """Whether a local folder belongs to a git work tree."""
     return any((p / ".git").exists() for p in (folder, *folder.parents))
-
-
-def links(folder: Path) -> list[str]:
-    """Symbolic links below a local folder, which are not followed."""
-    out = []
-    for top, folders, files in os.walk(folder):
-        out += [os.path.join(top, x) for x in (*folders, *files) if os.path.islink(os.path.join(top, x))]
-        folders[:] = [x for x in folders if x not in IGNORED_DIRECTORIES]
-    return sorted(out)

@@ -259,7 +259,7 @@ def parted(text: Column) -> Column:
 
     def cut(whole: Column) -> Column:
         pieces, ends = F.split(whole, END, -1), F.regexp_extract_all(whole, F.lit(END), F.lit(0))
-        marked = F.transform(ends, lambda e, k: F.struct(pieces[k].alias("piece"), e.alias("end"), F.regexp_instr(pieces[k], F.lit(BEGIN)).alias("at")))
+        marked = F.zip_with(F.slice(pieces, F.lit(1), F.size(ends)), ends, lambda p, e: F.struct(p.alias("piece"), e.alias("end"), F.regexp_instr(p, F.lit(BEGIN)).alias("at")))
         none = F.struct(F.array().cast("array<string>").alias("blocks"), F.lit("").alias("rest"))
 
         def add(done: Column, m: Column) -> Column:
@@ -374,14 +374,19 @@ def masked(text: Column, found: Column, mask: str) -> Column:
     escaped = lambda v: F.replace(v, F.lit("\u0000"), F.lit(_NUL))
 
     def of(p: Column) -> Column:
-        words, between, n = F.split(p.rest, r"\s+", -1), F.regexp_extract_all(p.rest, F.lit(r"\s+"), F.lit(0)), F.size(p.blocks)
+        n = F.size(p.blocks)
         own = F.transform(F.filter(F.slice(found, n + 1, F.greatest(F.size(found) - n, F.lit(0))), lambda x: x.is_secret), lambda x: F.struct(x.word.alias("word"), escaped(x.value).alias("value")))
-        hit = F.array_distinct(F.transform(own, lambda x: x.word))
-        values = lambda i: F.transform(F.filter(own, lambda x: x.word == i), lambda x: x.value)
-        done = F.transform(words, lambda w, i: F.concat(F.when(F.array_contains(hit, i), masked_word(w, values(i), mask)).otherwise(w), F.coalesce(F.get(between, i), F.lit(""))))
+        # what every word is held against is made once and bound
+        part = F.struct(own.alias("own"), F.array_distinct(F.transform(own, lambda x: x.word)).alias("hit"), F.split(p.rest, r"\s+", -1).alias("words"), F.regexp_extract_all(p.rest, F.lit(r"\s+"), F.lit(0)).alias("between"))
         place = lambda k: F.concat(F.lit(_PLACE), k.cast("string"), F.lit("\u0000"))
         kept = F.transform(p.blocks, lambda b, k: F.struct(place(k).alias("place"), F.when(found[k].is_secret, F.lit(mask)).otherwise(b).alias("b")))
-        return _restored(F.aggregate(kept, F.array_join(done, ""), lambda acc, x: F.replace(acc, x.place, x.b)))
+        return _restored(F.aggregate(kept, F.transform(F.array(part), words_of)[0], lambda acc, x: F.replace(acc, x.place, x.b)))
+
+    def words_of(q: Column) -> Column:
+        values = lambda i: F.transform(F.filter(q.own, lambda x: x.word == i), lambda x: x.value)
+        done = F.transform(q.words, lambda w, i: F.when(F.array_contains(q.hit, i), masked_word(w, values(i), mask)).otherwise(w))
+        # each word and what stands after it; the last has nothing after it
+        return F.array_join(F.zip_with(done, q["between"], lambda w, b: F.concat(w, F.coalesce(b, F.lit("")))), "")
 
     return F.transform(F.array(parted(text)), of)[0]
 

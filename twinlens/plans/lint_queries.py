@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import mapping_tables, matching, overlap, reduction, report, report_sink, scoring
 from ..operators.mappings import Mappings
 from ..shared import shared_dir
-from ..sources import lines, reports
+from ..sources import lines, report_source, reports
 from . import demo
 from .register import query
 
@@ -499,6 +499,28 @@ def f5_line_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "byte_offset", F.col("at.line").alias("line"), F.col("at.column").alias("col"))
 
 
+@query("s1_captured_reports", f"""WITH {REPORT_SQL} SELECT CAST(report_id AS BIGINT) AS report_id, CASE user_id % 3 WHEN 0 THEN 'eslint' WHEN 1 THEN 'biome' ELSE 'oxlint' END AS tool, CAST(n AS BIGINT) AS tie, path, event_type AS code, {_LEVEL} AS severity, 'm' || event_id AS message,
+    line AS start_line, CAST(event_id % 3 AS BIGINT) AS start_column FROM e WHERE user_id % 3 <> 1 AND {_LEVEL} IN ('warning', 'error')""")
+def s1_captured_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of three tools, captured in files and read by the data source with its filters."""
+    e, k = report_events(spark, sf_dir), F.col("event_id")
+    level = F.element_at(F.array(F.lit("info"), F.lit("warning"), F.lit("error")), F.col("level") + 1)
+    column, message = (k % 3).alias("column"), F.concat(F.lit("m"), k).alias("message")
+    kinds = {
+        "eslint": (F.struct(F.col("event_type").alias("ruleId"), F.col("level").alias("severity"), message, "line", column), lambda path, ms: F.to_json(F.array(F.struct(path.alias("filePath"), ms.alias("messages"))))),
+        "biome": (F.struct(F.col("event_type").alias("category"), level.alias("severity"), message, F.struct(F.col("path"), F.struct("line", column).alias("start")).alias("location")), lambda path, ms: F.to_json(F.struct(ms.alias("diagnostics")))),
+        "oxlint": (F.struct(F.col("path").alias("filename"), F.col("event_type").alias("code"), level.alias("severity"), message, "line", column), lambda path, ms: F.to_json(F.struct(ms.alias("diagnostics")))),
+    }
+    texts = None
+    for n, (tool, (member, around)) in enumerate(kinds.items()):
+        own = gathered(e.where(F.col("report_id") % 3 == n), member).select("report_id", F.lit(tool).alias("tool"), around(F.col("path"), F.col("members")).alias("json"))
+        texts = own if texts is None else texts.unionByName(own)
+    folder = f"{shared_dir(spark).rstrip('/')}/captured-{uuid.uuid4().hex}"
+    report_source.capture(texts, folder)
+    found = report_source.scan(spark, folder, demo.ROOT)
+    return found.where(F.col("tool").isin("eslint", "oxlint") & F.col("severity").isin("warning", "error")).select("report_id", "tool", "tie", "path", "code", "severity", "message", "start_line", "start_column")
+
+
 #: Spans out of the events: one line, some lines, and now and then thousands.
 SPAN_SQL = """spans AS (SELECT event_id, event_id % 2 AS odd, 'u' || user_id AS path, CAST(day(ts) * 40 + hour(ts) AS BIGINT) AS a,
     CASE WHEN event_id % 5 < 2 THEN CAST(day(ts) * 40 + hour(ts) + CASE WHEN event_id % 35 = 0 THEN event_id ELSE event_id % 23 END AS BIGINT) END AS z FROM events)"""

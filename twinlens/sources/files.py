@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import json
 import os
 import re
@@ -76,6 +77,15 @@ def _content(path: str) -> bytes:
         return f.read()
 
 
+def _lines(path: str) -> Iterator[str]:
+    """The lines of a UTF-8 file, one at a time."""
+    found = _remote(path)
+    with open(path.removeprefix("file://"), "rb") if found is None else found[0].open_input_file(found[1]) as f:
+        for line in io.BufferedReader(f) if found else f:
+            if line.strip():
+                yield line.decode()
+
+
 def _entries(folder: str) -> list[tuple[str, str, int]]:
     """(name, kind, bytes) of what lies in a folder, by name; kinds are folder, file, and other for links and the rest."""
     found = _remote(folder)

@@ -52,6 +52,12 @@ def test_odd_vectors(spark):
     assert whitening.whiten(spark.createDataFrame([], TABLE)).collect() == []
 
 
+def test_long_ids_beside_null_ones(spark):
+    rows = rows_of([(2**62 + 1, [1, 2]), (None, [3, 5]), (2**62 + 3, [0, 0])])
+    got = whitening.whiten(spark.createDataFrame(rows, TABLE).coalesce(1))
+    assert sorted((r["vec_id"] or 0) for r in got.where("component = 1").collect()) == [0, 2**62 + 1, 2**62 + 3] and dict(got.dtypes)["vec_id"] == "bigint"
+
+
 def test_sums_beyond_64_bits():
     space = whitening.Space(1 << 31, np.array([0]), np.ones((1, 1)), np.ones(1))
     y = space.centred(np.array([[1], [1 << 40]]))

@@ -130,7 +130,7 @@ def whiten(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     """
     spark = vectors.sparkSession
     limit_arrow_batches(spark, rows=SLICE)
-    rows = vectors.where(usable(F.col(vector_col))).select(F.col(id_col).cast("long").alias("vec_id"), whole_numbers(F.col(vector_col)).alias("x"))
+    rows = vectors.where(usable(F.col(vector_col))).select(F.col(id_col).cast("long").cast("string").alias("vec_id"), whole_numbers(F.col(vector_col)).alias("x"))
     distinct = Scratch(spark).write(rows.select("x").distinct())
     spaces = {}
     for d, s in fit(distinct, components).items():
@@ -152,4 +152,6 @@ def whiten(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
                         "explained": np.tile(own.explained, len(some)), "identity_error": own.identity_error,
                     })
 
-    return rows.mapInPandas(run, SCHEMA)
+    # ids travel as text: pandas would make floats of long ids beside nulls
+    out = rows.mapInPandas(run, SCHEMA.replace("vec_id long", "vec_id string"))
+    return out.withColumn("vec_id", F.col("vec_id").cast("long"))

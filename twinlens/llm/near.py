@@ -8,7 +8,7 @@ passed over, as is one whose sketches differ too much, and the others are decide
 
 A posting is first compared by a star (one text with the others). What is still of different components after that is
 linked in rounds: inside the task that holds a posting, sketches find for each component its nearest texts of others,
-``NEAREST`` pairs a component at most, whole sets decide these, and the components that they join leave the posting. Pairs that
+``NEAREST`` pairs a component at most and more in later rounds, whole sets decide these, and the components that they join leave the posting. Pairs that
 were decided against aren't tried again; a posting in which no sketch leaves a pair open is done. So no group sends out all its
 pairs. Postings travel as packed bytes, a row for each bucket of a batch.
 """
@@ -30,8 +30,8 @@ POSTING_ROWS = 400_000
 BATCH_ROWS = 1 << 19
 #: Up to so many keys (a few bytes each) are sent to all tasks instead of dealing texts or members for them.
 FEW = 20_000
-#: Pairs that a component of a posting tries in a round.
-NEAREST = 4
+#: Pairs that a component of a posting tries in the first round, and how many times as many in each round after it.
+NEAREST, MORE = 4, 4
 #: Words of 64 bits of a sketch that travels with the entries of postings, and texts whose such sketches are sent to all tasks.
 BRIEF = 64
 FEW_SKETCHES = 4_000
@@ -443,6 +443,7 @@ def similar_texts(texts: DataFrame, words: int, similarity: float, scratch: Scra
     links = verified(sketch_passed(near), texts, words, similarity, scratch)
     roots = components(links, scratch)
     tried = scratch.write(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    nearest = NEAREST
     while True:
         placed = members.join(few(roots.withColumnRenamed("node", "key")), "key", "left").withColumn("root", F.coalesce("root", "key"))
         apart = scratch.write(open_postings(placed.repartition(tasks, "shingle")))
@@ -450,13 +451,16 @@ def similar_texts(texts: DataFrame, words: int, similarity: float, scratch: Scra
         own = brief(marked.select("key", "sketch").join(few(keys), "key", "left_semi"))
         gone = tried.join(few(keys.select(F.col("key").alias("a"))), "a", "left_semi").groupBy(F.col("a").alias("key")).agg(F.collect_set("b").alias("gone"))
         own = scratch.write(own.join(gone, "key", "left"))
-        left = scratch.write(nearest_pairs(apart.join(few(own, most=FEW_SKETCHES), "key").repartition(tasks, "shingle"), similarity))
+        left = scratch.write(nearest_pairs(apart.join(few(own, most=FEW_SKETCHES), "key").repartition(tasks, "shingle"), similarity, nearest))
         pairs = scratch.write(left.select("a", "b").distinct())
         if pairs.isEmpty():
             return roots
         more = scratch.write(verified(sketch_passed(pairs), texts, words, similarity, scratch))
         tried = scratch.write(tried.union(pairs))
-        links = scratch.write(links.union(more))
-        roots = components(links, scratch)
+        if not more.isEmpty():
+            links = scratch.write(links.union(more))
+            roots = components(links, scratch)
+        # what the first rounds leave is mostly dissimilar: it is tried in few more rounds
+        nearest *= MORE
         # a posting in which nothing was left open stays so
         members = scratch.write(apart.drop("root").join(left.select("shingle").distinct(), "shingle", "left_semi"))

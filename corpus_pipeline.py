@@ -75,9 +75,8 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     other; rows of one id in a leaf are taken or left together. An empty table stays empty.
     """
     count = free_name(docs, "tokens")
-    counted = Scratch(spark).write(packing.with_token_counts(docs, count, *encoder()))
-    mixed = mixing.mix(counted, mixing.source_domain(), mixing.WEIGHTS, fraction=MIX_FRACTION, tokens=F.col(count), keep=True)
-    return mixed.select(*docs.columns)
+    counted = packing.with_token_counts(docs, count, *encoder())
+    return mixing.mix(counted, mixing.source_domain(), mixing.WEIGHTS, fraction=MIX_FRACTION, tokens=F.col(count), keep=docs)
 
 
 def packing_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes that an Arrow batch may carry into a Python worker; whole texts make rows large.
@@ -62,15 +62,21 @@ class Scratch:
     def write(self, df: DataFrame) -> DataFrame:
         path, schema = f"{self.base}/{self.n}", df.schema
         self.n += 1
-        df.write.parquet(path)
+        seen = Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
         out = self.spark.read.schema(schema).parquet(path)
-        out._twinlens_path = path
+        out._twinlens_path, out._twinlens_rows = path, seen.get["n"]
         return out
 
-    def drop(self, df: DataFrame) -> None:
-        """Delete a table of this scratch that no later plan reads."""
-        path = getattr(df, "_twinlens_path", None)
-        if path:
-            jvm = self.spark._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+    def rows(self, df: DataFrame) -> int:
+        """How many rows a table of this scratch has, as counted while it was written."""
+        return df._twinlens_rows
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables of this scratch that no later plan reads."""
+        for df in tables:
+            path = getattr(df, "_twinlens_path", None)
+            if path:
+                jvm = self.spark._jvm
+                p = jvm.org.apache.hadoop.fs.Path(path)
+                p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)

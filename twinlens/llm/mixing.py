@@ -81,13 +81,13 @@ def order_key(id_col: Column, epoch: Column, seed: int) -> Column:
 
 def mix(
     docs: DataFrame, domain: Column, weights: dict[str, dict[str, float]], fraction: float = 0.5, max_epochs: int = 2, seed: int = 17, tokens: Column | None = None,
-    id_col: str = "doc_id", lang_col: str = "lang", source_col: str = "source", keep: bool = False,
+    id_col: str = "doc_id", lang_col: str = "lang", source_col: str = "source", keep: DataFrame | bool = False,
 ) -> DataFrame:
     """The chosen documents, one row for each pass that takes them.
 
     The budget is ``fraction`` of all tokens; what children without weight (0 or less) hold can't be taken, so the result may
     fall short of it. ``tokens`` counts a row's tokens, four bytes each where it isn't given. Returns doc_id, domain, lang, source, tokens, epoch; with ``keep`` the
-    columns of ``docs`` alone, whatever their names. Null domains, languages, sources and ids are values like any other; rows of one id in a
+    columns of ``docs`` alone, whatever their names, or those of a table of the same rows that is read instead of it, for tokens that are dear to count. Null domains, languages, sources and ids are values like any other; rows of one id in a
     leaf stand at one place of the order and are taken or left together. Documents without tokens come with the passes
     and ranges around them. An empty table gives no rows.
     """
@@ -119,7 +119,8 @@ def mix(
     running = W.Window.partitionBy(*names).orderBy("_key").rangeBetween(W.Window.unboundedPreceding, W.Window.currentRow)
     fits = at_edge.withColumn("cum", F.sum("_tokens").over(running)).where("cum <= room").groupBy(*names).agg(F.max("_key").alias("last"))
     cut = scratch.write(edge.join(fits, same, "left").select("e_ldomain", "e_llang", "e_lsource", "edge", "last"))
-    chosen = placed(docs.select(F.struct(*docs.columns).alias("_row"), *named) if keep else slim).join(cut, same, "left")
+    whole = docs if isinstance(keep, bool) else keep
+    chosen = placed(whole.select(F.struct(*whole.columns).alias("_row"), *named[:3], named[4]) if keep is not False else slim).join(cut, same, "left")
     in_prefix = F.when(F.col("rest") <= 0, False).when(F.col("edge").isNull(), True).when(F.col("_range") == F.col("edge"), F.coalesce(F.col("_key") <= F.col("last"), F.lit(False))).otherwise(F.col("_range") < F.col("edge"))
     copies = (F.col("full") + F.when(in_prefix, 1).otherwise(0)).cast("int")
     rows = chosen.withColumn("_copies", copies).where("_copies > 0").withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))

@@ -30,6 +30,8 @@ POSTING_ROWS = 400_000
 BATCH_ROWS = 1 << 19
 #: Up to so many keys (a few bytes each) are sent to all tasks instead of dealing texts or members for them.
 FEW = 20_000
+#: Of more keys a bitmap is sent: bits of it a key, and powers of two of its size at least and at most (4 MB).
+KEY_BITS, LEAST_WIDTH, MOST_WIDTH = 16, 15, 25
 #: Pairs that a component of a posting tries in the first round, and how many times as many in each round after it.
 NEAREST, MORE = 4, 4
 #: Words of 64 bits of a sketch that travels with the entries of postings, and texts whose such sketches are sent to all tasks.
@@ -321,15 +323,56 @@ def _triples(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
 
 def few(keys: DataFrame, n: int | None = None, most: int | None = None) -> DataFrame:
     """Written rows, marked to be sent to all tasks where they are no more than ``most`` (FEW)."""
-    return F.broadcast(keys) if (keys.count() if n is None else n) <= (FEW if most is None else most) else keys
+    return F.broadcast(keys) if (_count(keys) if n is None else n) <= (FEW if most is None else most) else keys
+
+
+def _count(keys: DataFrame) -> int:
+    """Rows of a table; of one that ``Scratch`` wrote they are known."""
+    n = getattr(keys, "_twinlens_rows", None)
+    return keys.count() if n is None else n
+
+
+def may_be_key(rows: DataFrame, keys: DataFrame, key: str, n: int, out_col: str) -> DataFrame:
+    """``rows`` with ``out_col``: whether the hashed ``key`` can be one of ``n`` written ``keys``; never false for one that is.
+
+    Keys set bits of a bitmap, cut into rows of 2**15 bits, that is sent to all tasks. ``out_col`` with anything after it must be no column.
+    """
+    place, part, bits = (f"{out_col}_{x}" for x in ("place", "part", "bits"))
+    size = F.lit(1 << min(MOST_WIDTH, max(LEAST_WIDTH, (KEY_BITS * n).bit_length())))
+    placed = lambda df, *more: df.select(*more, F.pmod(F.col(key), size).alias(place)).withColumn(part, F.shiftright(place, 15))
+    bitmap = placed(keys).groupBy(part).agg(F.bitmap_construct_agg(F.col(place) % (1 << 15)).alias(bits))
+    held = placed(rows, *rows.columns).join(F.broadcast(bitmap), part, "left")
+    byte = F.conv(F.hex(F.substr(bits, F.shiftright((F.col(place) % (1 << 15)).cast("int"), 3) + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = F.floor(byte / F.pow(F.lit(2), F.col(place) % 8)) % 2 == 1
+    return held.select(*rows.columns, F.coalesce(is_set, F.lit(False)).alias(out_col))
+
+
+def joined(rows: DataFrame, keys: DataFrame, key: str, how: str = "inner", n: int | None = None) -> DataFrame:
+    """``rows`` joined with written ``keys`` by a hashed ``key`` (inner, left_semi or left_anti), where rows are large and keys aren't.
+
+    Keys go to all tasks or, when they are many, a bitmap of them, so that only rows that can be met are dealt by key.
+    """
+    n = _count(keys) if n is None else n
+    if n <= FEW:
+        return rows.join(F.broadcast(keys), key, how)
+    may = "may"
+    while any(c.lower().startswith(may) for c in rows.columns):
+        may += "_"
+    held = may_be_key(rows, keys, key, n, may)
+    met = held.where(F.col(may)).drop(may).join(keys, key, how)
+    return met if how != "left_anti" else met.unionByName(held.where(~F.col(may)).drop(may))
 
 
 def brief(sketches: DataFrame) -> DataFrame:
-    """(key, sketch) with sketches folded to BRIEF words at most, to travel with each entry of a posting."""
+    """(key, sketch) with sketches folded once, and to BRIEF words at most, to travel with each entry of a posting.
+
+    About a bit a shingle still tells most sets apart that aren't similar; what it leaves is held against whole sketches.
+    """
 
     def run(batches):
         for b in batches:
-            out = [r[:8] + _folded(np.frombuffer(r, dtype=np.uint64, offset=8)[None, :], BRIEF).tobytes() for r in b.column(1).to_pylist()]
+            own = [np.frombuffer(r, dtype=np.uint64, offset=8)[None, :] for r in b.column(1).to_pylist()]
+            out = [r[:8] + _folded(s, min(BRIEF, max(1, s.shape[1] // 2))).tobytes() for r, s in zip(b.column(1).to_pylist(), own, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["key", "sketch"])
 
     return sketches.mapInArrow(run, "key long, sketch binary")
@@ -377,7 +420,7 @@ def _passed(pairs: DataFrame, values: DataFrame, made, test, scratch: Scratch) -
     hubs = ways.select(F.col("a").alias("key"), "a", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("way"))
     ends = pairs.join(ways, "a").select(F.col("b").alias("key"), "a", F.pmod(F.xxhash64("b"), F.col("last") + 1).alias("way"))
     wanted = scratch.write(hubs.union(ends))
-    n = wanted.count()
+    n = scratch.rows(wanted)
 
     def sets(batches):
         last, own = None, b""
@@ -403,7 +446,7 @@ def _passed(pairs: DataFrame, values: DataFrame, made, test, scratch: Scratch) -
             yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(other, pa.int64())], names=["a", "b"])
 
     tasks = max(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // (2 * HUB_ROWS))
-    dealt = values.toDF("key", "value").join(few(wanted, n), "key").select("key", "a", "way", "value")
+    dealt = joined(values.toDF("key", "value"), wanted, "key", n=n).select("key", "a", "way", "value")
     if made is not None:
         dealt = dealt.mapInArrow(sets, "key long, a long, way long, value binary")
     dealt = dealt.repartition(tasks, "a", "way").sortWithinPartitions("a", "way", F.col("key") != F.col("a"))
@@ -438,29 +481,42 @@ def similar_texts(texts: DataFrame, words: int, similarity: float, scratch: Scra
     total = marked.agg(F.sum("size")).first()[0] or 0
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // POSTING_ROWS)
     members = scratch.write(shared(postings(texts, counts, words, similarity, tasks)))
+    counts.destroy()
     near = scratch.write(across.union(inside).union(star_pairs(members.repartition(tasks, "shingle"), similarity)).distinct())
-    sketch_passed = lambda pairs: _passed(pairs, marked.select("key", "sketch"), None, lambda a, b: may_be_similar(a, b, similarity), scratch)
-    links = verified(sketch_passed(near), texts, words, similarity, scratch)
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        passed = _passed(pairs, marked.select("key", "sketch"), None, lambda a, b: may_be_similar(a, b, similarity), scratch)
+        out = verified(passed, texts, words, similarity, scratch)
+        scratch.drop(passed)
+        return out
+
+    links = linked(near)
     roots = components(links, scratch)
     tried = scratch.write(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    scratch.drop(near)
     nearest = NEAREST
     while True:
         placed = members.join(few(roots.withColumnRenamed("node", "key")), "key", "left").withColumn("root", F.coalesce("root", "key"))
         apart = scratch.write(open_postings(placed.repartition(tasks, "shingle")))
         keys = scratch.write(apart.select("key").distinct())
-        own = brief(marked.select("key", "sketch").join(few(keys), "key", "left_semi"))
-        gone = tried.join(few(keys.select(F.col("key").alias("a"))), "a", "left_semi").groupBy(F.col("a").alias("key")).agg(F.collect_set("b").alias("gone"))
+        own = brief(joined(marked.select("key", "sketch"), keys, "key", "left_semi"))
+        gone = tried.join(few(keys.select(F.col("key").alias("a")), scratch.rows(keys)), "a", "left_semi").groupBy(F.col("a").alias("key")).agg(F.collect_set("b").alias("gone"))
         own = scratch.write(own.join(gone, "key", "left"))
         left = scratch.write(nearest_pairs(apart.join(few(own, most=FEW_SKETCHES), "key").repartition(tasks, "shingle"), similarity, nearest))
         pairs = scratch.write(left.select("a", "b").distinct())
-        if pairs.isEmpty():
+        scratch.drop(keys, own)
+        if not scratch.rows(pairs):
+            scratch.drop(rows, members, links, tried, apart, left, pairs)
             return roots
-        more = scratch.write(verified(sketch_passed(pairs), texts, words, similarity, scratch))
-        tried = scratch.write(tried.union(pairs))
+        more = linked(pairs)
+        before, tried = tried, scratch.write(tried.union(pairs))
+        scratch.drop(before, pairs)
         if not more.isEmpty():
-            links = scratch.write(links.union(more))
+            before, links = links, scratch.write(links.union(more))
+            scratch.drop(before)
             roots = components(links, scratch)
         # what the first rounds leave is mostly dissimilar: it is tried in few more rounds
         nearest *= MORE
         # a posting in which nothing was left open stays so
-        members = scratch.write(apart.drop("root").join(left.select("shingle").distinct(), "shingle", "left_semi"))
+        before, members = members, scratch.write(apart.drop("root").join(left.select("shingle").distinct(), "shingle", "left_semi"))
+        scratch.drop(before, apart, left)

@@ -285,7 +285,10 @@ def deduplicate(
 
 
 def _deduplicate_similar(docs: DataFrame, id_col: str, text_col: str, words: int, max_bits: int, posting_rows: int, similarity: float) -> DataFrame:
-    """One row of each distinct text, told apart by a 64-bit hash, then one of each component of similar texts."""
+    """One row of each distinct text, told apart by a 64-bit hash, then one of each component of similar texts.
+
+    ``docs`` is read for each pass over the texts instead of being written once more, and what the passes leave is deleted.
+    """
     from . import near
 
     limit_arrow_batches(docs.sparkSession)
@@ -299,13 +302,16 @@ def _deduplicate_similar(docs: DataFrame, id_col: str, text_col: str, words: int
     first = scratch.write(own.groupBy(F.col(key).alias("key")).agg(least.alias("least"), F.count("*").alias("n")))
     # only texts that are there more than once are dealt to drop the copies
     again = first.where("n > 1").select(F.col("key").alias(key), F.col("least.mark").alias("least_" + mark))
-    again, n = scratch.write(again), first.where("n > 1").count()
-    copies = own.join(near.few(again, n), key).where(F.col(mark) == F.col("least_" + mark)).dropDuplicates([mark]).select(*own.columns)
-    one = scratch.write(own.join(near.few(again.select(key), n), key, "left_anti").select(*own.columns).unionByName(copies))
+    again = scratch.write(again)
+    n = scratch.rows(again)
+    copies = near.joined(own, again, key, n=n).where(F.col(mark) == F.col("least_" + mark)).dropDuplicates([mark]).select(*own.columns)
+    copies = scratch.write(copies)
+    one = near.joined(own, again.select(key), key, "left_anti", n).select(*own.columns).unionByName(copies)
     texts = one.select(F.col(key).alias("key"), F.col(text_col).alias("text"))
     roots = near.similar_texts(texts, words, similarity, scratch, max_bits, posting_rows)
     members = roots.select(F.col("node").alias("key"), "root").union(roots.select("root", "root")).distinct()
     placed = members.join(first, "key")
     best = placed.groupBy("root").agg(F.min(F.struct("least", "key")).alias("m")).select("root", F.col("m.key").alias("best"))
     gone = scratch.write(placed.join(best, "root").where("key <> best").select(F.col("key").alias(key)))
-    return one.join(near.few(gone), key, "left_anti").select(*docs.columns)
+    scratch.drop(first)
+    return near.joined(one, gone, key, "left_anti").select(*docs.columns)

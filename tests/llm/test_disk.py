@@ -45,3 +45,13 @@ def test_join_with_many_keys_is_a_plain_join(spark, monkeypatch, how):
     held = near.may_be_key(rows, keys, "key", 2000, "maybe")
     assert sorted(held.where("NOT maybe").drop("maybe").join(keys, "key", "left_semi").collect()) == []
     assert 1000 <= held.where("maybe").count() < 4000
+
+
+def test_a_passage_is_one_posting(spark):
+    import numpy as np
+
+    rows = np.array([(s, k, 50, s) for s in (7, 8, 9) for k in (1, 2, 3)] + [(11, 1, 50, 4), (11, 2, 50, 4), (12, 5, 9, 0)], dtype=near.ENTRY)
+    parts = [(0, rows[rows["shingle"] < 9].tobytes()), (1, rows[rows["shingle"] >= 9].tobytes())]
+    met = near.shared(spark.createDataFrame(parts, "bucket long, entries binary").repartition(2, "bucket"))
+    got = sorted((r.shingle, r.key, r.n, r.pos) for r in near.different(met).collect())
+    assert got == [(7, 1, 50, 7), (7, 2, 50, 7), (7, 3, 50, 7), (11, 1, 50, 4), (11, 2, 50, 4)]

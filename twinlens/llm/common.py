@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -68,6 +69,14 @@ class Scratch:
         out._twinlens_path, out._twinlens_rows = path, seen.get["n"]
         return out
 
+    def tidy(self) -> None:
+        """Ask the driver to collect its garbage.
+
+        Shuffle files, broadcasts and plans of steps that are over are freed only then; many short jobs seldom fill its memory.
+        """
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def rows(self, df: DataFrame) -> int:
         """How many rows a table of this scratch has, as counted while it was written."""
         return df._twinlens_rows

@@ -182,7 +182,7 @@ def _room(n1, p1, n2, p2, similarity: float):
 
 
 def shared(dealt: DataFrame) -> DataFrame:
-    """(shingle, key, n, pos): the entries of postings that more than one text is in."""
+    """(shingle, key, n, pos, one, two): the entries of postings that more than one text is in, and two hashes of the posting's set of texts."""
 
     def run(batches):
         held = [np.frombuffer(raw, dtype=ENTRY) for b in batches for raw in b.column(1).to_pylist()]
@@ -193,12 +193,31 @@ def shared(dealt: DataFrame) -> DataFrame:
         rows = rows[np.argsort(rows["shingle"], kind="stable")]
         same = rows["shingle"][1:] == rows["shingle"][:-1]
         rows = rows[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
+        if not len(rows):
+            return
+        starts = np.concatenate([[0], np.flatnonzero(np.diff(rows["shingle"])) + 1])
+        sizes = np.diff(np.append(starts, len(rows)))
+        key = np.ascontiguousarray(rows["key"]).view(np.uint64)
+        sets = []
+        for salt in (_MULTIPLY, _MIX):
+            h = (key ^ (key >> np.uint64(31)) ^ salt) * salt
+            sets.append(np.repeat(np.add.reduceat(h ^ (h >> np.uint64(29)), starts), sizes).view(np.int64))
         for k in range(0, len(rows), 1 << 16):
             part = rows[k : k + (1 << 16)]
             arrays = [pa.array(np.ascontiguousarray(part["shingle"]).view(np.int64)), pa.array(np.ascontiguousarray(part["key"])), pa.array(part["n"].astype(np.int64)), pa.array(part["pos"].astype(np.int64))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["shingle", "key", "n", "pos"])
+            arrays += [pa.array(s[k : k + (1 << 16)]) for s in sets]
+            yield pa.RecordBatch.from_arrays(arrays, names=["shingle", "key", "n", "pos", "one", "two"])
+
+    return dealt.mapInArrow(run, "shingle long, key long, n long, pos long, one long, two long")
+
 
-    return dealt.mapInArrow(run, "shingle long, key long, n long, pos long")
+def different(entries: DataFrame) -> DataFrame:
+    """(shingle, key, n, pos): of written postings that hold the same texts, as those of a passage do, the one of the least shingle.
+
+    No pair is lost: each still meets in a posting, and places and sizes can rule out a similar pair at none of its shared shingles.
+    """
+    first = entries.groupBy("one", "two").agg(F.min("shingle").alias("shingle")).select("shingle")
+    return entries.select("shingle", "key", "n", "pos").join(first, "shingle", "left_semi")
 
 
 def _sorted_postings(batches, columns: int) -> tuple[list, list[int]] | None:
@@ -480,8 +499,11 @@ def similar_texts(texts: DataFrame, words: int, similarity: float, scratch: Scra
     counts = spark.sparkContext.broadcast(slot_counts(rows))
     total = marked.agg(F.sum("size")).first()[0] or 0
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // POSTING_ROWS)
-    members = scratch.write(shared(postings(texts, counts, words, similarity, tasks)))
+    met = scratch.write(shared(postings(texts, counts, words, similarity, tasks)))
     counts.destroy()
+    members = scratch.write(different(met))
+    scratch.drop(met)
+    scratch.tidy()
     near = scratch.write(across.union(inside).union(star_pairs(members.repartition(tasks, "shingle"), similarity)).distinct())
 
     def linked(pairs: DataFrame) -> DataFrame:
@@ -494,6 +516,7 @@ def similar_texts(texts: DataFrame, words: int, similarity: float, scratch: Scra
     roots = components(links, scratch)
     tried = scratch.write(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     scratch.drop(near)
+    scratch.tidy()
     nearest = NEAREST
     while True:
         placed = members.join(few(roots.withColumnRenamed("node", "key")), "key", "left").withColumn("root", F.coalesce("root", "key"))
@@ -505,6 +528,7 @@ def similar_texts(texts: DataFrame, words: int, similarity: float, scratch: Scra
         left = scratch.write(nearest_pairs(apart.join(few(own, most=FEW_SKETCHES), "key").repartition(tasks, "shingle"), similarity, nearest))
         pairs = scratch.write(left.select("a", "b").distinct())
         scratch.drop(keys, own)
+        scratch.tidy()
         if not scratch.rows(pairs):
             scratch.drop(rows, members, links, tried, apart, left, pairs)
             return roots
@@ -520,3 +544,4 @@ def similar_texts(texts: DataFrame, words: int, similarity: float, scratch: Scra
         # a posting in which nothing was left open stays so
         before, members = members, scratch.write(apart.drop("root").join(left.select("shingle").distinct(), "shingle", "left_semi"))
         scratch.drop(before, apart, left)
+        scratch.tidy()

@@ -314,4 +314,5 @@ def _deduplicate_similar(docs: DataFrame, id_col: str, text_col: str, words: int
     best = placed.groupBy("root").agg(F.min(F.struct("least", "key")).alias("m")).select("root", F.col("m.key").alias("best"))
     gone = scratch.write(placed.join(best, "root").where("key <> best").select(F.col("key").alias(key)))
     scratch.drop(first)
+    scratch.tidy()
     return near.joined(one, gone, key, "left_anti").select(*docs.columns)
